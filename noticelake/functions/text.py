@@ -6,7 +6,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # The characters Python's str.split() treats as whitespace,
 # written out because Java's and RE2's \s differ from it and from each other.
@@ -28,6 +28,14 @@ STOPWORDS = (
 ).split()
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Spark recomputes a repeated expression inside filters and lambda bodies; a
+    lambda variable is bound once."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(F.length(c) > 0, c)
 
@@ -37,7 +45,7 @@ def squash(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WHITESPACE + "+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 

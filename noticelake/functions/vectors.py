@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from noticelake.functions.text import tokens
 
@@ -21,15 +21,19 @@ def cosine_similarity(a: Column, b: Column, unit: bool = False) -> Column:
     return dot(a, b) if unit else F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def hashing_vector(text: Column, dimensions: int = 64) -> Column:
-    """Deterministic bag-of-words vector, L2-normalized, computed in the JVM.
-
-    Slot of a word = xxhash64(word) mod dimensions. The counts of all words are
-    built in one pass over the token array."""
-    slots = F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.transform(counts, lambda v: F.when(length > 0, v / length)
-                       .otherwise(F.lit(0.0)).cast("float"))
+def hashing_vectors(df: DataFrame, key: str, text: str, dimensions: int = 64) -> DataFrame:
+    """Deterministic bag-of-words vectors (key, embedding), L2-normalized.
+
+    Slot of a word = leading 32 bits of its MD5 modulo ``dimensions``. Counting
+    is an aggregation that shrinks every text to at most ``dimensions`` rows
+    before the shuffle; a text without words becomes a zero vector."""
+    words = df.select(key, F.explode_outer(tokens(F.col(text))).alias("word"))
+    slot = F.conv(F.left(F.md5("word"), F.lit(8)), 16, 10).cast("long") % dimensions
+    counts = words.select(key, slot.alias("slot")).groupBy(key, "slot").agg(F.count("slot").alias("n"))
+    per_key = counts.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n"))))
+        .alias("slots"), F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("norm"))
+    return per_key.select(key, F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(dimensions - 1).cast("long")),
+        lambda i: F.coalesce(F.try_divide(F.try_element_at("slots", i), F.col("norm")), F.lit(0.0))
+        .cast("float")).alias("embedding"))

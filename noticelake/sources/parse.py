@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from noticelake.functions import values as V
 from noticelake.functions.text import (
-    blank_to_null, contains_any, content_hash, normalize_text, squash, truncated)
+    blank_to_null, contains_any, content_hash, let, normalize_text, squash, truncated)
 from noticelake.schemas import OBSERVATION, VALUE_FIELDS
 from noticelake.sources.html import ROWS, tokenize_batches
 
@@ -98,7 +98,8 @@ def cell_lines(texts: Column) -> Column:
 
 def cell_text(texts: Column, separator: str = " ") -> Column:
     """Text of a cell: every node trimmed, joined by ``separator``."""
-    return F.array_join(F.transform(texts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), separator)
+    return F.array_join(F.transform(texts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")),
+                        separator)
 
 
 def total_pages(html: Column) -> Column:
@@ -119,7 +120,7 @@ def split_brief(parts: Column) -> tuple[Column, Column]:
 
 def split_package(value: Column) -> tuple[Column, Column]:
     """Detail page: first line package number, rest description; one line is prose."""
-    lines = F.filter(F.transform(F.split(value, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(value, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     several = F.size(lines) > 1
     rest = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), " ")
     return (F.when(several, F.get(lines, F.lit(0))),
@@ -152,7 +153,7 @@ def is_test_record(*texts: Column) -> Column:
 
 
 def split_categories(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,;]"), F.trim),
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,;]"), lambda x: F.trim(x)),
                     lambda x: x != "")
 
 
@@ -236,31 +237,32 @@ def _label_pairs(row: Column) -> Column:
     """Label/value pairs of one table row: a cell ending in ':' labels the next."""
     pair = "array<struct<key:string,value:string>>"
     start = F.struct(F.lit(None).cast("string").alias("label"), F.array().cast(pair).alias("pairs"))
+    cells = F.transform(row, lambda c: F.struct(
+        squash(F.array_join(c["texts"], " ")).alias("text"),
+        F.array_join(node_lines(c["texts"]), "\n").alias("value")))
 
     def step(acc: Column, cell: Column) -> Column:
-        text = F.rtrim(squash(F.array_join(cell["texts"], " ")))
-        key = F.lower(F.trim(F.regexp_replace(text, ":+$", "")))
-        value = F.array_join(node_lines(cell["texts"]), "\n")
-        found = F.array(F.struct(acc["label"].alias("key"), value.alias("value")))
+        key = F.lower(F.trim(F.regexp_replace(cell["text"], ":+$", "")))
+        found = F.array(F.struct(acc["label"].alias("key"), cell["value"].alias("value")))
         return F.when(acc["label"].isNull(), F.struct(
-            F.when(text.endswith(":"), key).alias("label"), acc["pairs"].alias("pairs"))
+            F.when(cell["text"].endswith(":"), key).alias("label"), acc["pairs"].alias("pairs"))
         ).otherwise(F.struct(
             F.lit(None).cast("string").alias("label"),
             F.when(acc["label"] != "", F.concat(acc["pairs"], found))
             .otherwise(acc["pairs"]).alias("pairs")))
 
-    return F.aggregate(row, start, step, lambda acc: acc["pairs"])
+    return F.aggregate(cells, start, step, lambda acc: acc["pairs"])
 
 
 def _first_wins(pairs: Column) -> Column:
-    keys = F.transform(pairs, lambda p: p["key"])
-    return F.map_from_entries(F.filter(
-        pairs, lambda p, i: F.array_position(keys, p["key"]) == (i + 1).cast("long")))
+    """Map of (key, value) pairs in which the first of equal keys counts."""
+    return let(pairs, lambda p: let(F.transform(p, lambda x: x["key"]), lambda keys: F.map_from_entries(
+        F.filter(p, lambda x, i: F.array_position(keys, x["key"]) == (i + 1).cast("long")))))
 
 
 def detail_fields(rows: Column) -> Column:
     """Label -> value map of a detail page; the first occurrence of a label wins."""
-    return _first_wins(F.flatten(F.transform(rows, _label_pairs)))
+    return _first_wins(F.flatten(F.transform(rows, lambda r: _label_pairs(r))))
 
 
 def squashed_fields(fields: Column) -> Column:
