@@ -81,43 +81,40 @@ def subscriptions(events: DataFrame) -> DataFrame:
 
 
 def send_streaks(sends: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """Every send with its run of failures, capped at the retirement threshold.
+    """Every send with the failures in a row it ends, up to the threshold.
 
     ``sends`` has (endpoint, ts, seq, outcome) with outcome subscribe, ok, error
     or gone. Only the last five sends decide, so an endpoint of any size can be
-    cut into time chunks with four predecessors each."""
+    cut into time chunks with four predecessors each. A "gone" answer is not a
+    failure and leaves the count of the sends before it."""
     chunk = chunk if chunk is not None else F.to_date("ts")
     ordered = sends.withColumn("at", F.struct("ts", "seq"))
     rows, part = with_history(ordered, ["endpoint"], "at", chunk, MAX_FAILURES - 1, F.lit(True))
     last = Window.partitionBy(*part).orderBy("at").rowsBetween(1 - MAX_FAILURES, 0)
-    errors = F.count_if(F.col("outcome") == "error").over(last)
-    retires = (F.col("outcome") == "gone") | (errors == MAX_FAILURES)
-    return (rows.withColumn("retires", retires).filter(~F.col("_history"))
-            .drop("_history", "_chunk"))
+    recent = F.reverse(F.collect_list("outcome").over(last))
+    rows = (rows.withColumn("_recent", recent).filter(~F.col("_history"))
+            .withColumn("_recent", F.when(F.col("outcome") == "gone", F.slice(
+                "_recent", F.lit(2), F.size("_recent"))).otherwise(F.col("_recent"))))
+    broken = F.filter(F.transform("_recent", lambda o, i: F.when(o != "error", i)),
+                      lambda i: i.isNotNull())
+    streak = F.coalesce(F.get(broken, F.lit(0)), F.size("_recent"))
+    return (rows.withColumn("streak", streak.cast("long"))
+            .withColumn("retires", (F.col("outcome") == "gone") | (F.col("streak") >= MAX_FAILURES))
+            .drop("_history", "_chunk", "_recent"))
 
 
 def subscription_health(sends: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Failure count, retirement and last success per endpoint.
 
     Five failures in a row, or an explicit "gone", retire an endpoint until it
-    subscribes again; nothing is sent to it in between, so later outcomes of a
-    retired endpoint do not count. Everything is aggregates per endpoint over
-    the streaks, which combine before the shuffle."""
-    df = send_streaks(sends, chunk)
-    revived = df.groupBy("endpoint").agg(
-        F.max(F.when(F.col("outcome") == "subscribe", F.col("at"))).alias("_since"))
-    df = df.join(revived, "endpoint").withColumn("_current", F.coalesce(
-        F.col("at") >= F.col("_since"), F.lit(True)))
-    retired = df.filter("_current").groupBy("endpoint").agg(
-        F.min(F.when(F.col("retires"), F.col("at"))).alias("_retired"))
-    # What a retired endpoint reports after its retirement does not count.
-    df = df.join(retired, "endpoint").filter(
-        F.coalesce(F.col("at") <= F.col("_retired"), F.lit(True)))
-    reset = F.col("outcome").isin("ok", "subscribe")
-    resets = df.groupBy("endpoint").agg(F.max(F.when(reset, F.col("at"))).alias("_reset"))
-    after_reset = F.coalesce(F.col("at") > F.col("_reset"), F.lit(True))
-    return df.join(resets, "endpoint").groupBy("endpoint").agg(
-        F.count_if(F.col("_current") & after_reset & (F.col("outcome") == "error"))
-        .alias("failure_count"),
-        F.max("_retired.ts").alias("retired_at"),
+    subscribes again; nothing is sent to it in between, so what a retired
+    endpoint reports moves neither count nor retirement."""
+    subscribed = sends.filter("outcome = 'subscribe'").groupBy("endpoint").agg(
+        F.max(F.struct("ts", "seq")).alias("_since"))
+    df = send_streaks(sends, chunk).join(subscribed, "endpoint", "left")
+    current = F.coalesce(F.col("at") >= F.col("_since"), F.lit(True))
+    retirement = F.when(current & F.col("retires"), F.col("at"))
+    return df.groupBy("endpoint").agg(
+        F.coalesce(F.min_by("streak", retirement), F.max_by("streak", "at")).alias("failure_count"),
+        F.min(retirement)["ts"].alias("retired_at"),
         F.max(F.when(F.col("outcome") == "ok", F.col("ts"))).alias("last_success_at"))

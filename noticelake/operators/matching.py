@@ -231,37 +231,71 @@ def reciprocal_rank(position: Column) -> Column:
     return F.coalesce(F.lit(1.0) / (F.lit(RRF_K + 1) + position), F.lit(0.0))
 
 
-def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, limit: int = MATCH_LIMIT,
-         floor: float | None = None) -> DataFrame:
-    """Fuse the arms. A purely semantic hit must reach the floor, a fraction of
-    the user's own best similarity; a keyword hit passes on its own."""
-    both = vector_hits.join(keyword_hits, PAIR, "full_outer")
-    best = F.max("similarity").over(Window.partitionBy("user_id"))
+def _fused(hits: DataFrame, limit: int, floor: float | None) -> DataFrame:
+    """Scores, floor and reasons of pairs that carry their position in each arm."""
+    best = F.max(F.when(F.col("vector_position").isNotNull(), F.col("similarity"))).over(
+        Window.partitionBy("user_id"))
     relative = F.greatest(F.lit(ABSOLUTE_FLOOR), F.coalesce(
         best * RELATIVE_FLOOR, F.lit(ABSOLUTE_FLOOR)))
-    df = both.withColumn("floor", relative if floor is None else F.lit(floor))
+    df = hits.withColumn("floor", relative if floor is None else F.lit(floor))
     in_vector, in_words = F.col("vector_position").isNotNull(), F.col("keyword_position").isNotNull()
-    kept = df.filter(in_words | (F.col("similarity") >= F.col("floor"))).select(
+    similarity = F.when(in_vector, F.col("similarity"))
+    kept = df.filter(in_words | (in_vector & (F.col("similarity") >= F.col("floor")))).select(
         *PAIR, (reciprocal_rank(F.col("vector_position"))
                 + reciprocal_rank(F.col("keyword_position"))).alias("score"),
-        F.col("similarity").alias("layer2_score"), "hits", "vector_position", "keyword_position",
+        similarity.alias("layer2_score"), F.when(in_words, F.col("hits")).alias("hits"),
+        "vector_position", "keyword_position",
         F.struct(
             F.when(in_vector & in_words, "both").when(in_vector, "semantic")
             .otherwise("keyword").alias("matched_by"),
-            F.round("similarity", 4).alias("similarity"),
+            F.round(similarity, 4).alias("similarity"),
             F.round("floor", 4).alias("floor")).alias("reasons"))
     return _top(kept, "score", limit).withColumnRenamed("_rn", "position")
 
 
+def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, limit: int = MATCH_LIMIT,
+         floor: float | None = None) -> DataFrame:
+    """Fuse two ranked lists. A purely semantic hit must reach the floor, a
+    fraction of the user's own best similarity; a keyword hit passes on its own."""
+    return _fused(vector_hits.join(keyword_hits, PAIR, "full_outer"), limit, floor)
+
+
 def match_all(notices: DataFrame, profiles: DataFrame, notice_vectors: DataFrame,
               profile_vectors: DataFrame, as_of: str, model: str, seen: list[DataFrame] = (),
-              limit: int = MATCH_LIMIT, **options) -> DataFrame:
-    """Matches of all profiles with a usable text, best first per user."""
+              limit: int = MATCH_LIMIT, unit: bool = True, **options) -> DataFrame:
+    """Matches of all profiles with a usable text, best first per user.
+
+    Gives what :func:`fuse` gives for :func:`vector_arm` and :func:`keyword_arm`,
+    but scores both arms in one pass over the candidates: they meet the notice's
+    vector and words in one join and the user's in another, and both rankings,
+    the floor and the final cut share the user's partition. A user has at most
+    500 candidates, so no partition grows with the corpus."""
     texts = profile_texts(profiles).filter("text <> ''")
     usable = profiles.join(texts.select("user_id"), "user_id", "left_semi")
-    pairs = candidates(notices, usable, as_of, seen, **options)
-    return fuse(vector_arm(pairs, notice_vectors, profile_vectors, model),
-                keyword_arm(pairs, notice_words(notices), profile_keywords(texts)), limit)
+    pairs = candidates(notices, usable, as_of, seen, **options).select(*PAIR)
+    vectors = notice_vectors.filter(F.col("model") == model).select(
+        F.col("id").alias("notice_id"), F.col("embedding").alias("nv"))
+    theirs = notice_words(notices.filter(matchable(timestamp(as_of)))).join(
+        vectors, "notice_id", "left")
+    wanted = profile_keywords(texts).groupBy("user_id").agg(F.collect_set("word").alias("wanted"))
+    mine = texts.select("user_id").join(wanted, "user_id", "left").join(
+        profile_vectors.select("user_id", F.col("embedding").alias("pv")), "user_id", "left")
+    hits = F.coalesce(occurrences(F.col("words"), F.col("wanted")), F.lit(0))
+    scored = (pairs.join(theirs, "notice_id").join(mine, "user_id")
+              .select(*PAIR, F.round(cosine_similarity(F.col("nv"), F.col("pv"), unit), 6)
+                      .alias("similarity"), hits.alias("hits"))
+              .filter(F.col("similarity").isNotNull() | (F.col("hits") > 0)))
+
+    def position(score: str, present: Column) -> Column:
+        w = Window.partitionBy("user_id").orderBy(F.col(score).desc_nulls_last(), "notice_id")
+        rank = F.row_number().over(w) - 1
+        return F.when(present & (rank < ARM_LIMIT), rank)
+
+    ranked = scored.withColumns({
+        "vector_position": position("similarity", F.col("similarity").isNotNull()),
+        "keyword_position": position("hits", F.col("hits") > 0)})
+    return _fused(ranked.filter("vector_position IS NOT NULL OR keyword_position IS NOT NULL"),
+                  limit, None)
 
 
 def upsert_matches(current: DataFrame, fresh: DataFrame) -> DataFrame:

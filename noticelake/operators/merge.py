@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from noticelake.functions.records import canonical_hash, change_type, changed_fields
 from noticelake.operators.skew import HOT_ROWS, split_hot
-from noticelake.schemas import HASH_FIELDS, KEY, VALUE_FIELDS, VERSION
+from noticelake.schemas import HASH_FIELDS, KEY, NOTICE, VALUE_FIELDS, VERSION
 from noticelake.session import cut_lineage
-from noticelake.sources.tables import publish_snapshot, read_snapshot
+from noticelake.sources.tables import has_batch, publish_snapshot, read_snapshot
 
 STORED = ["canonical_hash", "version_no", "first_seen_at", "last_seen_at", "detail_fetched_at"]
 
@@ -262,25 +262,23 @@ def apply_merge(current: DataFrame, merged: DataFrame) -> DataFrame:
     return current.join(merged.select(*KEY), KEY, "left_anti").unionByName(merged)
 
 
-def merge_into(path: str, observations: DataFrame, empty: DataFrame, **options) -> DataFrame:
-    """Merge a batch into the tables below ``path``; returns the outcome counts.
+def merge_into(path: str, observations: DataFrame, batch: str, **options) -> DataFrame | None:
+    """Merge a named batch into the tables below ``path``; returns outcome counts.
 
-    The fold feeds three outputs, so it is checkpointed once. Versions go out
-    before the snapshot commits; a rerun after a failure in between starts from
-    the old snapshot and writes the same version numbers again, which
-    :func:`distinct_versions` removes on read."""
+    The fold feeds three outputs, so it is checkpointed once. The batch's
+    versions go into a directory of their own before the snapshot commits under
+    the batch's name: a rerun after a failure overwrites that directory, and a
+    batch that has been committed is not merged again (None)."""
     spark = observations.sparkSession
+    if has_batch(spark, f"{path}/notices", batch):
+        return None
     current = read_snapshot(spark, f"{path}/notices")
-    current = empty if current is None else current
+    current = spark.createDataFrame([], NOTICE) if current is None else current
     folded = cut_lineage(fold_observations(current, observations, **options))
     result = results_of(folded)
-    result.versions.write.mode("append").parquet(f"{path}/versions")
-    publish_snapshot(apply_merge(current, result.current), f"{path}/notices")
-    return result.outcomes.groupBy("outcome").agg(F.sum("n").alias("n"))
-
-
-def distinct_versions(versions: DataFrame) -> DataFrame:
-    return versions.dropDuplicates([*KEY, "version_no"])
+    result.versions.write.mode("overwrite").parquet(f"{path}/versions/batch={batch}")
+    publish_snapshot(apply_merge(current, result.current), f"{path}/notices", batch)
+    return result.outcomes.groupBy("outcome", "kind").agg(F.sum("n").alias("n"))
 
 
 def healed(notices: DataFrame) -> DataFrame:

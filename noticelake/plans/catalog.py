@@ -504,6 +504,17 @@ def _(t):
                               C("layer2_score").alias("similarity"), "reasons.matched_by", "reasons.floor")
 
 
+@query("fused_arms", """
+SELECT user_id, notice_id, position, round(score, 9) AS score, similarity, matched_by FROM fused""")
+def _(t):
+    words = matching.profile_keywords(embedding.profile_texts(t.profiles()))
+    pairs = _pairs(t)
+    fused = matching.fuse(matching.vector_arm(pairs, t.notice_vectors(), t.profile_vectors(), MODEL),
+                          matching.keyword_arm(pairs, matching.notice_words(t.corpus()), words))
+    return fused.select("user_id", "notice_id", "position", F.round("score", 9).alias("score"),
+                        C("layer2_score").alias("similarity"), "reasons.matched_by")
+
+
 @query("match_report", """
 SELECT p.user_id, false AS skipped_no_profile, (SELECT count(*) FROM corpus_candidates c WHERE c.user_id = p.user_id) AS candidates,
   (SELECT count(*) FROM fused f WHERE f.user_id = p.user_id) AS ranked,
@@ -565,7 +576,7 @@ def _(t):
 
 def _folded(t: Tables) -> DataFrame:
     empty = t.spark.createDataFrame([], NOTICE)
-    observations = parse.as_observations(t.observations(), normalize=False)
+    observations = parse.as_observations(t.observations())
     return merge.fold_observations(empty, observations, hot_rows=None)
 
 
@@ -608,7 +619,7 @@ SELECT external_ref, k, outcome, hash FROM outcomes""")
 def _(t):
     # The same fold with every key treated as oversized: chunks of one day.
     empty = t.spark.createDataFrame([], NOTICE)
-    observations = parse.as_observations(t.observations(), normalize=False)
+    observations = parse.as_observations(t.observations())
     return merge.fold_observations(empty, observations, hot_rows=0, chunk_seconds=86400).select(
         "external_ref", _sweep(), "outcome", C("_hash").alias("hash"))
 
@@ -621,7 +632,7 @@ def _(t):
     again = folded.select(*[c for c in folded.columns if c not in merge.STORED], F.lit("list").alias("kind"),
                           (C("last_seen_at") + F.expr("INTERVAL 1 DAY")).alias("observed_at"),
                           F.lit(0).cast("long").alias("raw_document_id"))
-    result = merge.merge_observations(folded, parse.as_observations(again, normalize=False), hot_rows=None)
+    result = merge.merge_observations(folded, parse.as_observations(again), hot_rows=None)
     r = quality.replay_is_idempotent(result.outcomes)
     return r.select(C("items_new").cast("int"), C("items_changed").cast("int"), "idempotent")
 
@@ -854,16 +865,16 @@ def _(t):
 
 
 _HEALTH = f"""
-SELECT endpoint, count(*) FILTER (current AND outcome = 'error' AND (reset IS NULL OR (ts, seq) > reset)) AS failure_count,
+SELECT endpoint, count(*) FILTER (current AND counted AND outcome = 'error' AND (reset IS NULL OR (ts, seq) > reset)) AS failure_count,
   {ts('max(retired.ts)')} AS retired_at, {ts("max(ts) FILTER (outcome = $$ok$$)")} AS last_success_at
-FROM (SELECT *, max(CASE WHEN outcome IN ('ok', 'subscribe') THEN (ts, seq) END) OVER (PARTITION BY endpoint) AS reset
-  FROM (SELECT * FROM (SELECT *, min(CASE WHEN current AND retires THEN struct_pack(ts := ts, seq := seq) END)
+FROM (SELECT *, max(CASE WHEN counted AND outcome IN ('ok', 'subscribe') THEN (ts, seq) END) OVER (PARTITION BY endpoint) AS reset
+  FROM (SELECT *, retired IS NULL OR struct_pack(ts := ts, seq := seq) <= retired AS counted
+        FROM (SELECT *, min(CASE WHEN current AND retires THEN struct_pack(ts := ts, seq := seq) END)
             OVER (PARTITION BY endpoint) AS retired
           FROM (SELECT *, coalesce((ts, seq) >= since, true) AS current
             FROM (SELECT *, outcome = 'gone' OR count(*) FILTER (outcome = 'error') OVER (PARTITION BY endpoint
                     ORDER BY ts, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AS retires,
-                  max(CASE WHEN outcome = 'subscribe' THEN (ts, seq) END) OVER (PARTITION BY endpoint) AS since FROM sends)))
-        WHERE retired IS NULL OR struct_pack(ts := ts, seq := seq) <= retired))
+                  max(CASE WHEN outcome = 'subscribe' THEN (ts, seq) END) OVER (PARTITION BY endpoint) AS since FROM sends)))))
 GROUP BY endpoint"""
 
 

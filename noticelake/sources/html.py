@@ -1,21 +1,33 @@
 """Table cells of an HTML payload. The only per-row Python of the parse job:
-everything after the cells is Column expressions (:mod:`noticelake.sources.parse`)."""
+everything after the cells and labels is Column expressions
+(:mod:`noticelake.sources.parse`)."""
 
 from __future__ import annotations
 
 import gzip
+import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import types as T
 
 CELL = T.StructType([
-    T.StructField("texts", T.ArrayType(T.StringType())),       # text nodes in order
+    T.StructField("texts", T.ArrayType(T.StringType())),       # NFC text nodes in order
     T.StructField("link_texts", T.ArrayType(T.StringType())),  # text nodes of the first <a>
     T.StructField("hrefs", T.ArrayType(T.StringType())),
 ])
-ROWS = T.ArrayType(T.ArrayType(CELL))
+FIELDS = T.MapType(T.StringType(), T.StringType())
+TOKENIZED = [
+    T.StructField("rows", T.ArrayType(T.ArrayType(CELL))),
+    T.StructField("fields", FIELDS),    # detail pages: label -> value
+    T.StructField("squashed", FIELDS),  # the same, labels without whitespace
+    T.StructField("error", T.StringType()),
+]
+_TEXTS = pa.list_(pa.string())
+_ROWS = pa.list_(pa.list_(pa.struct([("texts", _TEXTS), ("link_texts", _TEXTS), ("hrefs", _TEXTS)])))
+_MAP = pa.map_(pa.string(), pa.string())
+LOT_CELLS = 6  # Fixed value: width of the lot table of a detail page.
 
 # Fixed value: marks the page the portal answers with instead of results.
 EXPIRED_MARK = "Session Expired"
@@ -77,6 +89,8 @@ class _Cells(HTMLParser):
             self.link_owner = []
 
     def handle_data(self, data):
+        if not data.isascii():
+            data = unicodedata.normalize("NFC", data)
         for _, cell in self.open_cells:
             cell["texts"].append(data)
         for cell in self.link_owner:
@@ -99,17 +113,51 @@ def cells_of(content: bytes) -> list[list[dict]]:
     return reader.rows
 
 
-def tokenize_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas body: ``content`` -> ``rows`` or, when reading fails, ``error``.
+def labelled(rows: list[list[dict]]) -> dict[str, str]:
+    """Label -> value of a detail page: a cell ending in ':' labels the next cell.
+
+    Cells pair up by position, so added or reordered rows do no harm; the first
+    occurrence of a label wins."""
+    fields: dict[str, str] = {}
+    for row in rows:
+        label = None
+        for cell in row:
+            if label is None:
+                text = " ".join(" ".join(cell["texts"]).split())
+                if text.endswith(":"):
+                    label = text.rstrip(":").strip().lower()
+                continue
+            if label:
+                lines = (" ".join(x.split()) for x in "\n".join(cell["texts"]).split("\n"))
+                fields.setdefault(label, "\n".join(x for x in lines if x))
+            label = None
+    return fields
+
+
+def _read(content: bytes, kind: str) -> tuple:
+    rows = cells_of(content)
+    if kind != "detail":
+        return rows, None, None, None
+    fields = labelled(rows)
+    squashed = {"".join(k.split()): v for k, v in fields.items()}
+    lots = [r for r in rows if len(r) == LOT_CELLS]
+    return lots, list(fields.items()), list(squashed.items()), None
+
+
+def tokenize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: ``content`` -> ``rows`` and labels, or an ``error``.
 
     A broken payload never fails the task; its error travels with its row."""
     for batch in batches:
-        rows, errors = [], []
-        for content in batch["content"]:
+        out = []
+        for content, kind in zip(batch.column("content").to_pylist(),
+                                 batch.column("kind").to_pylist(), strict=True):
             try:
-                rows.append(cells_of(bytes(content)))
-                errors.append(None)
+                out.append(_read(content, kind))
             except Exception as exc:  # noqa: BLE001
-                rows.append(None)
-                errors.append(f"{type(exc).__name__}: {exc}")
-        yield batch.drop(columns="content").assign(rows=rows, error=errors)
+                out.append((None, None, None, f"{type(exc).__name__}: {exc}"))
+        kept = [n for n in batch.schema.names if n != "content"]
+        columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], [], []), (
+            _ROWS, _MAP, _MAP, pa.string()), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(n) for n in kept] + columns, names=kept + [f.name for f in TOKENIZED])

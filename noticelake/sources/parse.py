@@ -6,13 +6,13 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from noticelake.functions import values as V
 from noticelake.functions.text import (
-    blank_to_null, contains_any, content_hash, let, normalize_text, squash, truncated)
-from noticelake.schemas import OBSERVATION, VALUE_FIELDS
-from noticelake.sources.html import ROWS, tokenize_batches
+    blank_to_null, contains_any, content_hash, squash, truncated)
+from noticelake.schemas import OBSERVATION
+from noticelake.sources.html import TOKENIZED, tokenize_batches
 
 # Shapes of package numbers, links and page markers at the source.
 PACKAGE_NO = r"^(?=.*[\p{Nd}/])[\p{L}\p{N}_./()\-]+$"
@@ -64,16 +64,14 @@ def payload_id(source: Column, url: Column, fetched_at: Column, content: Column)
 
 
 def tokenized(payloads: DataFrame) -> DataFrame:
-    """One row per payload with ``rows`` (table cells) or ``error``; no shuffle."""
+    """One row per payload with its table cells and labels, or an ``error``; no shuffle."""
     narrow = payloads.select(
         payload_id(F.col("source_key"), F.col("url"), F.col("fetched_at"),
                    F.col("content")).alias("raw_document_id"),
         "source_key", "kind", "url", "fetched_at",
         F.try_element_at("meta", F.lit("tender_id")).alias("meta_ref"), "content")
-    schema = T.StructType(
-        [f for f in narrow.schema.fields if f.name != "content"]
-        + [T.StructField("rows", ROWS), T.StructField("error", T.StringType())])
-    return narrow.mapInPandas(tokenize_batches, schema)
+    schema = T.StructType([f for f in narrow.schema.fields if f.name != "content"] + TOKENIZED)
+    return narrow.mapInArrow(tokenize_batches, schema)
 
 
 def html_rows(cells: DataFrame, min_cells: int) -> DataFrame:
@@ -83,12 +81,6 @@ def html_rows(cells: DataFrame, min_cells: int) -> DataFrame:
             .filter(F.size("cells") >= min_cells))
 
 
-def node_lines(texts: Column) -> Column:
-    """Text nodes split on line breaks, whitespace collapsed, blanks dropped."""
-    lines = F.transform(F.split(F.array_join(texts, "\n"), "\n"), squash)
-    return F.filter(lines, lambda x: x != "")
-
-
 def cell_lines(texts: Column) -> Column:
     """Lines of a cell. Names contain commas, so only trailing ones are cut."""
     lines = F.transform(F.split(F.array_join(texts, "\n"), "\n"),
@@ -165,20 +157,16 @@ def lot_security_total(lots: Column) -> Column:
     return F.when(total > 0, total)
 
 
-def as_observations(df: DataFrame, normalize: bool = True) -> DataFrame:
-    """Fill in absent fields and normalize text fields to the observation schema."""
-    plain = {"status", "procurement_nature", "app_id", "detail_url"}
-    out = []
-    for field in OBSERVATION.fields:
-        if field.name not in df.columns:
-            c = F.lit(None)
-        elif (normalize and field.name in VALUE_FIELDS and field.name not in plain
-              and isinstance(field.dataType, T.StringType)):
-            c = normalize_text(F.col(field.name))
-        else:
-            c = F.col(field.name)
-        out.append(c.cast(field.dataType).alias(field.name))
-    return df.select(out)
+def clean(c: Column) -> Column:
+    """Whitespace collapsed, '' becomes NULL; the cells are NFC already."""
+    return blank_to_null(squash(c))
+
+
+def as_observations(df: DataFrame) -> DataFrame:
+    """Project to the observation schema; absent fields are NULL."""
+    return df.select([
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in OBSERVATION.fields])
 
 
 def _row_fields(rows: DataFrame) -> DataFrame:
@@ -233,45 +221,6 @@ def parse_offline(cells: DataFrame, as_of: Column, base_url: str) -> DataFrame:
     return as_observations(df)
 
 
-def _label_pairs(row: Column) -> Column:
-    """Label/value pairs of one table row: a cell ending in ':' labels the next."""
-    pair = "array<struct<key:string,value:string>>"
-    start = F.struct(F.lit(None).cast("string").alias("label"), F.array().cast(pair).alias("pairs"))
-    cells = F.transform(row, lambda c: F.struct(
-        squash(F.array_join(c["texts"], " ")).alias("text"),
-        F.array_join(node_lines(c["texts"]), "\n").alias("value")))
-
-    def step(acc: Column, cell: Column) -> Column:
-        key = F.lower(F.trim(F.regexp_replace(cell["text"], ":+$", "")))
-        found = F.array(F.struct(acc["label"].alias("key"), cell["value"].alias("value")))
-        return F.when(acc["label"].isNull(), F.struct(
-            F.when(cell["text"].endswith(":"), key).alias("label"), acc["pairs"].alias("pairs"))
-        ).otherwise(F.struct(
-            F.lit(None).cast("string").alias("label"),
-            F.when(acc["label"] != "", F.concat(acc["pairs"], found))
-            .otherwise(acc["pairs"]).alias("pairs")))
-
-    return F.aggregate(cells, start, step, lambda acc: acc["pairs"])
-
-
-def _first_wins(pairs: Column) -> Column:
-    """Map of (key, value) pairs in which the first of equal keys counts."""
-    return let(pairs, lambda p: let(F.transform(p, lambda x: x["key"]), lambda keys: F.map_from_entries(
-        F.filter(p, lambda x, i: F.array_position(keys, x["key"]) == (i + 1).cast("long")))))
-
-
-def detail_fields(rows: Column) -> Column:
-    """Label -> value map of a detail page; the first occurrence of a label wins."""
-    return _first_wins(F.flatten(F.transform(rows, lambda r: _label_pairs(r))))
-
-
-def squashed_fields(fields: Column) -> Column:
-    """The same map keyed without whitespace: labels break differently per layout."""
-    entries = F.transform(F.map_entries(fields), lambda e: F.struct(
-        F.regexp_replace(e["key"], r"\s+", "").alias("key"), e["value"].alias("value")))
-    return _first_wins(F.reverse(entries))
-
-
 def first_present(fields: Column, squashed: Column, *labels: str) -> Column:
     found = []
     for label in labels:
@@ -297,10 +246,7 @@ def lots(rows: Column) -> Column:
 
 def parse_detail(cells: DataFrame, as_of: Column, base_url: str) -> DataFrame:
     """Detail pages -> full observations."""
-    df = (cells.filter(F.size("rows") > 0)
-          .withColumns({"fields": detail_fields(F.col("rows")), "lots": lots(F.col("rows"))})
-          .filter(F.cardinality("fields") > 0)
-          .withColumn("squashed", squashed_fields(F.col("fields"))))
+    df = cells.filter(F.cardinality("fields") > 0).withColumn("lots", lots(F.col("rows")))
     get = {name: first_present(F.col("fields"), F.col("squashed"), *labels)
            for name, labels in LABELS.items()}
     df = df.select("*", *[get[n].alias(f"f_{n}") for n in LABELS])
@@ -313,7 +259,7 @@ def parse_detail(cells: DataFrame, as_of: Column, base_url: str) -> DataFrame:
           .withColumns({
               "kind": F.lit("detail"), "observed_at": F.col("fetched_at"),
               "title": F.coalesce("description", "package_no"),
-              "organization": F.struct(*[normalize_text(f(n)).alias(n) for n in (
+              "organization": F.struct(*[clean(f(n)).alias(n) for n in (
                   "ministry", "division", "agency", "procuring_entity")]),
               "upazila": F.get("lots", F.lit(0))["location"],
               "procurement_nature": V.nature(f("nature")),
@@ -325,15 +271,16 @@ def parse_detail(cells: DataFrame, as_of: Column, base_url: str) -> DataFrame:
               "detail_url": F.col("url"),
               **{n: V.local_timestamp(f(n)) for n in (
                   "published_at", "closing_at", "opening_at", "document_last_selling_at")},
-              **{n: f(n) for n in ("reference_no", "district", "procurement_type",
-                                   "eligibility_text", "project_name", "app_id")}}))
+              "app_id": f("app_id"),
+              **{n: clean(f(n)) for n in ("reference_no", "district", "procurement_type",
+                                          "eligibility_text", "project_name")}}))
     return as_observations(df)
 
 
 def parse_awards(cells: DataFrame, base_url: str = "") -> DataFrame:
     """Award rows (eight cells) -> awards; a row without a winner is not an award."""
     cell = lambda i: F.col("cells")[i]
-    ident = normalize_text(cell_text(cell(2)["link_texts"], ""))
+    ident = clean(cell_text(cell(2)["link_texts"], ""))
     href = F.coalesce(F.get(cell(2)["hrefs"], F.lit(0)), F.lit(""))
     lot_id, ref = (blank_to_null(F.regexp_extract(href, AWARD_LINK, i)) for i in (1, 2))
     body = cell_text(cell(2)["texts"], "\n")
@@ -350,12 +297,12 @@ def parse_awards(cells: DataFrame, base_url: str = "") -> DataFrame:
         "source_key", "tender_external_ref", "pkg_lot_id",
         F.when(has_ref, blank_to_null(squash(F.regexp_replace("ident", "^[^,]*,", ""))))
         .alias("reference_no"),
-        normalize_text(title).alias("title"),
-        normalize_text(cell_text(cell(1)["texts"])).alias("ministry"),
+        clean(title).alias("title"),
+        clean(cell_text(cell(1)["texts"])).alias("ministry"),
         F.get("entity", F.lit(0)).alias("procuring_entity"),
         F.get("entity", F.lit(1)).alias("procurement_method"),
-        normalize_text(cell_text(cell(4)["texts"], "")).alias("district_name"),
-        normalize_text(cell_text(cell(6)["texts"])).alias("winner"),
+        clean(cell_text(cell(4)["texts"], "")).alias("district_name"),
+        clean(cell_text(cell(6)["texts"])).alias("winner"),
         V.award_value(cell_text(cell(7)["texts"], "")).alias("value_crore"),
         V.local_timestamp(advertised).alias("advertised_at"),
         V.local_timestamp(cell_text(cell(5)["texts"], "")).alias("contract_signed_at"),
@@ -376,18 +323,31 @@ PARSERS: dict[tuple[str, str], Parser] = {
 }
 
 
+def _records(cells_of: Callable[[Column], DataFrame], as_of: Column, base_url: str,
+             parsers: dict[tuple[str, str], Parser] | None) -> DataFrame:
+    parts = []
+    for (source, kind), parser in (parsers or PARSERS).items():
+        mine = (F.col("source_key") == source) & (F.col("kind") == kind)
+        parts.append(parser(cells_of(mine).filter("error IS NULL"), as_of, base_url))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def parse_payloads(payloads: DataFrame, as_of: Column, base_url: str = "",
                    parsers: dict[tuple[str, str], Parser] | None = None) -> ParseResult:
     """Parse every payload with the projection registered for its source and kind.
 
-    Records and failures are two projections of the same tokenized payloads; a
-    payload that cannot be read lands in ``failures`` and stops nothing."""
-    parsers = parsers or PARSERS
-    cells = tokenized(payloads)
-    parts = [parser(cells.filter((F.col("source_key") == source) & (F.col("kind") == kind)
-                                 & F.col("error").isNull()), as_of, base_url)
-             for (source, kind), parser in parsers.items()]
-    return ParseResult(reduce(DataFrame.unionByName, parts), failures(cells))
+    Payloads are split by source and kind before they are tokenized, so each is
+    tokenized once and the archive's partitions are pruned. A payload that
+    cannot be read lands in ``failures`` and stops nothing. Callers that write
+    both outputs should tokenize once and use :func:`parse_cells`."""
+    records = _records(lambda mine: tokenized(payloads.filter(mine)), as_of, base_url, parsers)
+    return ParseResult(records, failures(tokenized(payloads)))
+
+
+def parse_cells(cells: DataFrame, as_of: Column, base_url: str = "",
+                parsers: dict[tuple[str, str], Parser] | None = None) -> ParseResult:
+    """As :func:`parse_payloads`, from stored or checkpointed :func:`tokenized` rows."""
+    return ParseResult(_records(cells.filter, as_of, base_url, parsers), failures(cells))
 
 
 def failures(cells: DataFrame) -> DataFrame:
@@ -401,8 +361,6 @@ def failures(cells: DataFrame) -> DataFrame:
 def probe(payloads: DataFrame, as_of: Column, n: int = 3, base_url: str = "",
           parsers: dict[tuple[str, str], Parser] | None = None) -> DataFrame:
     """Parse without writing: record count per payload and its first n records."""
-    from pyspark.sql import Window
-
     records = parse_payloads(payloads, as_of, base_url, parsers).records
     counts = records.groupBy("raw_document_id").agg(F.count("*").alias("records"))
     w = Window.partitionBy("raw_document_id").orderBy("external_ref")
