@@ -23,7 +23,7 @@ from noticelake.functions.text import is_keyword, tokens
 from noticelake.functions.vectors import cosine_similarity
 from noticelake.operators.embedding import profile_texts
 from noticelake.operators.filters import matchable, timestamp
-from noticelake.operators.search import document, occurrences
+from noticelake.operators.search import document
 
 CANDIDATE_LIMIT, ARM_LIMIT, MATCH_LIMIT, KEYWORD_LIMIT = 500, 100, 50, 12
 # Fusion damping, relative floor and its absolute backstop.
@@ -190,7 +190,7 @@ def vector_arm(pairs: DataFrame, notice_vectors: DataFrame, profile_vectors: Dat
     vectors = notice_vectors.filter(F.col("model") == model).select(
         F.col("id").alias("notice_id"), F.col("embedding").alias("nv"))
     mine = profile_vectors.select("user_id", F.col("embedding").alias("pv"))
-    scored = (pairs.select(*PAIR).join(vectors, "notice_id").join(mine, "user_id")
+    scored = (pairs.select(*PAIR).join(mine, "user_id").join(vectors, "notice_id")
               .select(*PAIR, F.round(cosine_similarity(F.col("nv"), F.col("pv"), unit), 6)
                       .alias("similarity")))
     return _top(scored, "similarity", limit).select(
@@ -207,24 +207,41 @@ def profile_keywords(texts: DataFrame, limit: int = KEYWORD_LIMIT) -> DataFrame:
             .filter(F.col("position") <= limit))
 
 
-def keyword_arm(pairs: DataFrame, notice_words: DataFrame, keywords: DataFrame,
-                limit: int = ARM_LIMIT) -> DataFrame:
-    """Top keyword scores per user: a word of the profile counts per occurrence.
+def word_counts(notices: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(notice_id, counts): how often each word that is anyone's keyword occurs.
+
+    Counting shrinks every text before the shuffle; the words of a notice end up
+    beside it in a small map, so a word found everywhere makes no hot join key."""
+    vocabulary = keywords.select("word").distinct()
+    return (notices.select(F.col("id").alias("notice_id"), F.explode(tokens(document())).alias("word"))
+            .groupBy("notice_id", "word").agg(F.count("*").alias("n"))
+            .join(vocabulary, "word", "left_semi")
+            .groupBy("notice_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n")))
+                                      .alias("counts")))
+
+
+def keyword_lists(keywords: DataFrame) -> DataFrame:
+    return keywords.groupBy("user_id").agg(F.collect_set("word").alias("wanted"))
+
 
-    ``notice_words`` has (notice_id, words). The words stay in an array beside
-    their notice, so a word found in every notice makes no hot join key."""
-    lists = keywords.groupBy("user_id").agg(F.collect_set("word").alias("wanted"))
-    scored = (pairs.select(*PAIR).join(notice_words, "notice_id").join(lists, "user_id")
-              .select(*PAIR, occurrences(F.col("words"), F.col("wanted")).alias("hits"))
+def keyword_hits() -> Column:
+    """Occurrences of the user's keywords in the notice. The lookups are spelled
+    out, one per keyword, which keeps them in generated code."""
+    found = [F.coalesce(F.try_element_at("counts", F.get("wanted", F.lit(i))), F.lit(0))
+             for i in range(KEYWORD_LIMIT)]
+    return reduce(lambda a, b: a + b, found)
+
+
+def keyword_arm(pairs: DataFrame, counts: DataFrame, keywords: DataFrame,
+                limit: int = ARM_LIMIT) -> DataFrame:
+    """Top keyword scores per user; ``counts`` comes from :func:`word_counts`."""
+    scored = (pairs.select(*PAIR).join(keyword_lists(keywords), "user_id")
+              .join(counts, "notice_id").select(*PAIR, keyword_hits().alias("hits"))
               .filter("hits > 0"))
     return _top(scored, "hits", limit).select(
         *PAIR, "hits", (F.col("_rn") - 1).alias("keyword_position"))
 
 
-def notice_words(notices: DataFrame) -> DataFrame:
-    return notices.select(F.col("id").alias("notice_id"), tokens(document()).alias("words"))
-
-
 # ------------------------------------------------------------------ fusion
 
 def reciprocal_rank(position: Column) -> Column:
@@ -266,24 +283,27 @@ def match_all(notices: DataFrame, profiles: DataFrame, notice_vectors: DataFrame
     """Matches of all profiles with a usable text, best first per user.
 
     Gives what :func:`fuse` gives for :func:`vector_arm` and :func:`keyword_arm`,
-    but scores both arms in one pass over the candidates: they meet the notice's
-    vector and words in one join and the user's in another, and both rankings,
-    the floor and the final cut share the user's partition. A user has at most
-    500 candidates, so no partition grows with the corpus."""
+    but scores both arms in one pass over the candidates: they meet the user's
+    vector and keywords in one join and the notice's vector and words in another,
+    and both rankings, the floor and the final cut share the user's partition. A
+    user has at most 500 candidates, so no group grows with the corpus."""
     texts = profile_texts(profiles).filter("text <> ''")
     usable = profiles.join(texts.select("user_id"), "user_id", "left_semi")
     pairs = candidates(notices, usable, as_of, seen, **options).select(*PAIR)
     vectors = notice_vectors.filter(F.col("model") == model).select(
         F.col("id").alias("notice_id"), F.col("embedding").alias("nv"))
-    theirs = notice_words(notices.filter(matchable(timestamp(as_of)))).join(
-        vectors, "notice_id", "left")
-    wanted = profile_keywords(texts).groupBy("user_id").agg(F.collect_set("word").alias("wanted"))
-    mine = texts.select("user_id").join(wanted, "user_id", "left").join(
+    keywords = profile_keywords(texts)
+    eligible = notices.filter(matchable(timestamp(as_of)))
+    theirs = (eligible.select(F.col("id").alias("notice_id"))
+              .join(word_counts(eligible, keywords), "notice_id", "left")
+              .join(vectors, "notice_id", "left"))
+    mine = texts.select("user_id").join(keyword_lists(keywords), "user_id", "left").join(
         profile_vectors.select("user_id", F.col("embedding").alias("pv")), "user_id", "left")
-    hits = F.coalesce(occurrences(F.col("words"), F.col("wanted")), F.lit(0))
-    scored = (pairs.join(theirs, "notice_id").join(mine, "user_id")
+    # The user's side travels to the pair, not the notice's: a dozen keywords and
+    # a vector are shuffled per pair, what a notice says only once.
+    scored = (pairs.join(mine, "user_id").join(theirs, "notice_id")
               .select(*PAIR, F.round(cosine_similarity(F.col("nv"), F.col("pv"), unit), 6)
-                      .alias("similarity"), hits.alias("hits"))
+                      .alias("similarity"), keyword_hits().alias("hits"))
               .filter(F.col("similarity").isNotNull() | (F.col("hits") > 0)))
 
     def position(score: str, present: Column) -> Column:

@@ -488,7 +488,7 @@ def _(t):
 @query("keyword_arm", "SELECT user_id, notice_id, hits, keyword_position FROM keyword_hits")
 def _(t):
     words = matching.profile_keywords(embedding.profile_texts(t.profiles()))
-    return matching.keyword_arm(_pairs(t), matching.notice_words(t.corpus()), words).select(
+    return matching.keyword_arm(_pairs(t), matching.word_counts(t.corpus(), words), words).select(
         "user_id", "notice_id", C("hits").cast("long").alias("hits"), "keyword_position")
 
 
@@ -510,7 +510,7 @@ def _(t):
     words = matching.profile_keywords(embedding.profile_texts(t.profiles()))
     pairs = _pairs(t)
     fused = matching.fuse(matching.vector_arm(pairs, t.notice_vectors(), t.profile_vectors(), MODEL),
-                          matching.keyword_arm(pairs, matching.notice_words(t.corpus()), words))
+                          matching.keyword_arm(pairs, matching.word_counts(t.corpus(), words), words))
     return fused.select("user_id", "notice_id", "position", F.round("score", 9).alias("score"),
                         C("layer2_score").alias("similarity"), "reasons.matched_by")
 

@@ -13,6 +13,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows here are small and costly (texts, vectors): a megabyte of ids can be
+    # minutes of scoring, so small shuffles still spread over the cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Payload pages are ~100 KB each; this keeps an Arrow batch near 100 MB.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",

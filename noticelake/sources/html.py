@@ -5,9 +5,10 @@ everything after the cells and labels is Column expressions
 from __future__ import annotations
 
 import gzip
+import re
 import unicodedata
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import types as T
@@ -33,68 +34,77 @@ LOT_CELLS = 6  # Fixed value: width of the lot table of a detail page.
 EXPIRED_MARK = "Session Expired"
 
 
-class _Cells(HTMLParser):
-    """Collects every <tr> with all <td> below it, nested tables included.
+# Comments, scripts and tags; what lies between two matches is one text node.
+_MARKUP = re.compile(
+    r"""<!--.*?(?:-->|$)|<(?:script|style)\b.*?</(?:script|style)\s*>"""
+    r"""|<(/?)([a-z][a-z0-9]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S | re.I)
+_HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+
+
+def _text(data: str) -> str:
+    if "&" in data:
+        data = unescape(data)
+    return data if data.isascii() else unicodedata.normalize("NFC", data)
+
+
+def table_cells(html: str, in_table: bool) -> list[list[dict]]:
+    """Every <tr> with all <td> below it, nested tables included.
 
     Markup omits closing tags freely, so a new cell closes an open one and a new
     row closes an open row of the same table."""
-
-    def __init__(self, in_table: bool) -> None:
-        super().__init__(convert_charrefs=True)
-        self.depth = 1 if in_table else 0
-        self.rows: list[list[dict]] = []
-        self.open_rows: list[tuple[int, list[dict]]] = []
-        self.open_cells: list[tuple[int, dict]] = []
-        self.link_owner: list[dict] = []
-
-    def _close(self, cells_from: int, rows_from: int) -> None:
-        self.link_owner = []
-        while self.open_cells and self.open_cells[-1][0] >= cells_from:
-            self.open_cells.pop()
-        while self.open_rows and self.open_rows[-1][0] >= rows_from:
-            self.open_rows.pop()
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self.depth += 1
-        elif tag == "tr" and self.depth:
-            self._close(self.depth, self.depth)
-            row: list[dict] = []
-            self.rows.append(row)
-            self.open_rows.append((self.depth, row))
-        elif tag == "td" and self.open_rows:
-            self._close(self.depth, self.depth + 1)
-            cell = {"texts": [], "link_texts": None, "hrefs": []}
-            for _, row in self.open_rows:
-                row.append(cell)
-            self.open_cells.append((self.depth, cell))
-        elif tag == "a" and self.open_cells:
-            href = dict(attrs).get("href") or ""
-            self.link_owner = []
-            for _, cell in self.open_cells:
-                cell["hrefs"].append(href)
-                if cell["link_texts"] is None:
-                    cell["link_texts"] = []
-                    self.link_owner.append(cell)
-
-    def handle_endtag(self, tag):
-        if tag == "table" and self.depth:
-            self._close(self.depth, self.depth)
-            self.depth -= 1
+    depth = 1 if in_table else 0
+    rows: list[list[dict]] = []
+    open_rows: list[tuple[int, list[dict]]] = []
+    open_cells: list[tuple[int, dict]] = []
+    link_owners: list[dict] = []
+    end = 0
+
+    def leave(cells_from: int, rows_from: int) -> None:
+        link_owners.clear()
+        while open_cells and open_cells[-1][0] >= cells_from:
+            open_cells.pop()
+        while open_rows and open_rows[-1][0] >= rows_from:
+            open_rows.pop()
+
+    for mark in _MARKUP.finditer(html):
+        if open_cells and mark.start() > end:
+            data = _text(html[end:mark.start()])
+            for _, cell in open_cells:
+                cell["texts"].append(data)
+            for cell in link_owners:
+                cell["link_texts"].append(data)
+        end = mark.end()
+        closing, tag, attributes = mark.groups()
+        tag = tag and tag.lower()
+        if tag == "td":
+            leave(depth, depth + 1)
+            if not closing and open_rows:
+                cell = {"texts": [], "link_texts": None, "hrefs": []}
+                for _, row in open_rows:
+                    row.append(cell)
+                open_cells.append((depth, cell))
         elif tag == "tr":
-            self._close(self.depth, self.depth)
-        elif tag == "td":
-            self._close(self.depth, self.depth + 1)
+            leave(depth, depth)
+            if not closing and depth:
+                rows.append([])
+                open_rows.append((depth, rows[-1]))
+        elif tag == "table":
+            if not closing:
+                depth += 1
+            elif depth:
+                leave(depth, depth)
+                depth -= 1
         elif tag == "a":
-            self.link_owner = []
-
-    def handle_data(self, data):
-        if not data.isascii():
-            data = unicodedata.normalize("NFC", data)
-        for _, cell in self.open_cells:
-            cell["texts"].append(data)
-        for cell in self.link_owner:
-            cell["link_texts"].append(data)
+            link_owners.clear()
+            if not closing and open_cells:
+                found = _HREF.search(attributes)
+                href = unescape(next((g for g in found.groups() if g is not None), "")) if found else ""
+                for _, cell in open_cells:
+                    cell["hrefs"].append(href)
+                    if cell["link_texts"] is None:
+                        cell["link_texts"] = []
+                        link_owners.append(cell)
+    return rows
 
 
 def cells_of(content: bytes) -> list[list[dict]]:
@@ -107,10 +117,7 @@ def cells_of(content: bytes) -> list[list[dict]]:
     html = content.decode("utf-8", errors="replace")
     if EXPIRED_MARK in html:
         return []
-    reader = _Cells(in_table="<table" not in html[:200].lower())
-    reader.feed(html)
-    reader.close()
-    return reader.rows
+    return table_cells(html, in_table="<table" not in html[:200].lower())
 
 
 def labelled(rows: list[list[dict]]) -> dict[str, str]:
