@@ -59,6 +59,13 @@ def table_cells(html: str, in_table: bool) -> list[list[dict]]:
     link_owners: list[dict] = []
     end = 0
 
+    def add_text(data: str) -> None:
+        data = _text(data)
+        for _, cell in open_cells:
+            cell["texts"].append(data)
+        for cell in link_owners:
+            cell["link_texts"].append(data)
+
     def leave(cells_from: int, rows_from: int) -> None:
         link_owners.clear()
         while open_cells and open_cells[-1][0] >= cells_from:
@@ -68,11 +75,7 @@ def table_cells(html: str, in_table: bool) -> list[list[dict]]:
 
     for mark in _MARKUP.finditer(html):
         if open_cells and mark.start() > end:
-            data = _text(html[end:mark.start()])
-            for _, cell in open_cells:
-                cell["texts"].append(data)
-            for cell in link_owners:
-                cell["link_texts"].append(data)
+            add_text(html[end:mark.start()])
         end = mark.end()
         closing, tag, attributes = mark.groups()
         tag = tag and tag.lower()
@@ -104,6 +107,8 @@ def table_cells(html: str, in_table: bool) -> list[list[dict]]:
                     if cell["link_texts"] is None:
                         cell["link_texts"] = []
                         link_owners.append(cell)
+    if open_cells and end < len(html):
+        add_text(html[end:])
     return rows
 
 

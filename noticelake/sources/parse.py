@@ -171,7 +171,7 @@ def as_observations(df: DataFrame) -> DataFrame:
 
 def _row_fields(rows: DataFrame) -> DataFrame:
     """Line arrays shared by the two list layouts."""
-    lines = lambda i: cell_lines(F.col("cells")[i]["texts"])
+    lines = lambda i: cell_lines(F.get("cells", F.lit(i))["texts"])
     return (rows.select("*", lines(1).alias("ident"), lines(2).alias("brief"),
                         lines(3).alias("org"), lines(4).alias("proc"), lines(5).alias("dates"))
             .filter(F.get("ident", F.lit(0)).rlike(r"^\p{Nd}+$")))
@@ -207,7 +207,7 @@ def parse_list(cells: DataFrame, as_of: Column, base_url: str) -> DataFrame:
 
 def parse_offline(cells: DataFrame, as_of: Column, base_url: str) -> DataFrame:
     """List rows of offline notices -> observations; status comes from the dates."""
-    hrefs = F.array_join(F.col("cells")[2]["hrefs"], " ")
+    hrefs = F.array_join(F.get("cells", F.lit(2))["hrefs"], " ")
     link = blank_to_null(F.regexp_extract(hrefs, OFFLINE_LINK, 1))
     df = (_common(_row_fields(html_rows(cells, 6)))
           .withColumn("description", blank_to_null(F.array_join("rest", " ")))
@@ -232,7 +232,7 @@ def first_present(fields: Column, squashed: Column, *labels: str) -> Column:
 def lots(rows: Column) -> Column:
     """Lot table: rows of six cells with a lot number and a positive amount."""
     def lot(row: Column) -> Column:
-        text = lambda i: cell_text(row[i]["texts"])
+        text = lambda i: cell_text(F.get(row, F.lit(i))["texts"])
         return F.struct(
             text(0).alias("lot_no"), blank_to_null(squash(text(1))).alias("description"),
             blank_to_null(squash(text(2))).alias("location"),
@@ -279,7 +279,7 @@ def parse_detail(cells: DataFrame, as_of: Column, base_url: str) -> DataFrame:
 
 def parse_awards(cells: DataFrame, base_url: str = "") -> DataFrame:
     """Award rows (eight cells) -> awards; a row without a winner is not an award."""
-    cell = lambda i: F.col("cells")[i]
+    cell = lambda i: F.get("cells", F.lit(i))
     ident = clean(cell_text(cell(2)["link_texts"], ""))
     href = F.coalesce(F.get(cell(2)["hrefs"], F.lit(0)), F.lit(""))
     lot_id, ref = (blank_to_null(F.regexp_extract(href, AWARD_LINK, i)) for i in (1, 2))

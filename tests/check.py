@@ -49,9 +49,8 @@ def rows_of(columns, rows):
     return Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, name: str, run, oracle: str | None, sf_dir: str) -> str | None:
+def compare(con, df, oracle: str | None) -> str | None:
     """None when equal, otherwise what differs."""
-    df = run(spark, sf_dir)
     got = df.collect()
     if oracle is None:
         return None if got else "no rows"
@@ -82,7 +81,7 @@ def main(argv: list[str]) -> int:
             continue
         start = time.time()
         try:
-            result = compare(spark, con, name, run, oracles.get(name), sf_dir)
+            result = compare(con, run(spark, sf_dir), oracles.get(name))
         except Exception as exc:  # noqa: BLE001
             result = f"{type(exc).__name__}: {str(exc)[:700]}"
         bad += result is not None
