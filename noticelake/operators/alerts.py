@@ -11,6 +11,9 @@ DIGEST_LIMIT, PROFILE_LIMIT = 10, 20
 URGENT_HOURS = 48
 MAX_TITLE, MAX_BODY, MAX_ALERT_ERROR = 80, 160, 1000
 ALERT_IDS = 1000  # ids per alert row
+# Wording of an urgent alert.
+TITLE_ONE, TITLE_MANY = "Closing soon: 1 tender for you", "Closing soon: %d tenders for you"
+BODY_WITHOUT_TITLE = "Tap to view"
 
 
 def alerted_pairs(alerts: DataFrame, where: Column) -> DataFrame:
@@ -89,10 +92,10 @@ def group_alert_ids(urgent: DataFrame, ids_per_row: int = ALERT_IDS) -> DataFram
         .select("user_id", "part", "total",
                 F.transform("ids", lambda x: x["id"]).alias("notice_ids"),
                 "top.top_notice_id",
-                F.when(F.col("total") == 1, "Closing soon: 1 tender for you").otherwise(F.concat(
-                    F.lit("Closing soon: "), F.col("total").cast("string"),
-                    F.lit(" tenders for you"))).substr(1, MAX_TITLE).alias("title"),
-                truncated(F.coalesce("top.top_title", F.lit("Tap to view")), MAX_BODY).alias("body")))
+                truncated(F.when(F.col("total") == 1, TITLE_ONE).otherwise(
+                    F.format_string(TITLE_MANY, "total")), MAX_TITLE).alias("title"),
+                truncated(F.coalesce("top.top_title", F.lit(BODY_WITHOUT_TITLE)), MAX_BODY)
+                .alias("body")))
 
 
 def alert_rows(groups: DataFrame, channel: str, created_at: Column) -> DataFrame:
