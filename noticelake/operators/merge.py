@@ -30,6 +30,9 @@ from noticelake.schemas import HASH_FIELDS, KEY, NOTICE, VALUE_FIELDS, VERSION
 from noticelake.session import cut_lineage
 from noticelake.sources.tables import has_batch, publish_snapshot, read_snapshot
 
+# A batch with at most this many distinct keys (some 50 MB) is broadcast to the
+# current table instead of shuffling the table to the batch.
+BROADCAST_KEYS = 500_000
 STORED = ["canonical_hash", "version_no", "first_seen_at", "last_seen_at", "detail_fetched_at"]
 
 
@@ -257,27 +260,39 @@ def merge_observations(current: DataFrame, observations: DataFrame, **options) -
     return results_of(fold_observations(current, observations, **options))
 
 
-def apply_merge(current: DataFrame, merged: DataFrame) -> DataFrame:
+def apply_merge(current: DataFrame, merged: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Full current state: touched notices replace their stored rows."""
-    return current.join(merged.select(*KEY), KEY, "left_anti").unionByName(merged)
+    keys = merged.select(*KEY) if keys is None else keys
+    return current.join(keys, KEY, "left_anti").unionByName(merged)
 
 
-def merge_into(path: str, observations: DataFrame, batch: str, **options) -> DataFrame | None:
+def batch_keys(observations: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """The distinct keys of a batch, counted, and marked for broadcast only when
+    there are few: a sweep then reads the current table without shuffling it."""
+    keys = cut_lineage(observations.select(*KEY).distinct())
+    return F.broadcast(keys) if keys.count() <= broadcast_keys else keys
+
+
+def merge_into(path: str, observations: DataFrame, batch: str, broadcast_keys: int = BROADCAST_KEYS,
+               **options) -> DataFrame | None:
     """Merge a named batch into the tables below ``path``; returns outcome counts.
 
-    The fold feeds three outputs, so it is checkpointed once. The batch's
-    versions go into a directory of their own before the snapshot commits under
-    the batch's name: a rerun after a failure overwrites that directory, and a
-    batch that has been committed is not merged again (None)."""
+    Only the stored rows of the batch's own keys take part in the fold. It feeds
+    three outputs, so it is checkpointed once. The batch's versions go into a
+    directory of their own before the snapshot commits under the batch's name: a
+    rerun after a failure overwrites that directory, and a batch that has been
+    committed is not merged again (None)."""
     spark = observations.sparkSession
     if has_batch(spark, f"{path}/notices", batch):
         return None
     current = read_snapshot(spark, f"{path}/notices")
     current = spark.createDataFrame([], NOTICE) if current is None else current
-    folded = cut_lineage(fold_observations(current, observations, **options))
+    keys = batch_keys(observations, broadcast_keys)
+    touched = current.join(keys, KEY, "left_semi")
+    folded = cut_lineage(fold_observations(touched, observations, **options))
     result = results_of(folded)
     result.versions.write.mode("overwrite").parquet(f"{path}/versions/batch={batch}")
-    publish_snapshot(apply_merge(current, result.current), f"{path}/notices", batch)
+    publish_snapshot(apply_merge(current, result.current, keys), f"{path}/notices", batch)
     return result.outcomes.groupBy("outcome", "kind").agg(F.sum("n").alias("n"))
 
 

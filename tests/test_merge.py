@@ -150,6 +150,15 @@ def test_hash_ignores_whitespace_free_noise_and_money_scale(spark):
     assert M.healed(merged(spark, random_rows(3, 5)).current).isEmpty()
 
 
+@pytest.mark.parametrize("broadcast_keys", [0, M.BROADCAST_KEYS])
+def test_batch_keys_are_broadcast_only_when_few(spark, broadcast_keys):
+    rows = frame(spark, random_rows(2, 6))
+    plan = spark.range(10).select(F.lit("s").alias("source_key"), F.col("id").cast("string").alias("external_ref")
+                                  ).join(M.batch_keys(rows, broadcast_keys), S.KEY, "left_semi")
+    hinted = "strategy=broadcast" in plan._jdf.queryExecution().logical().toString()
+    assert hinted == (broadcast_keys > 0)
+
+
 def test_merge_job_is_idempotent_per_batch(spark, tmp_path):
     path = str(tmp_path)
     rows = random_rows(5, 10)
