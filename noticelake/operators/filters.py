@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from noticelake.functions.values import STALE_DAYS, TEST_RECORD_PHRASES, is_fresh  # noqa: F401
+from noticelake.functions.values import STALE_DAYS, TEST_RECORD_PHRASES
 from noticelake.functions.text import contains_any
 from noticelake.schemas import AMENDMENT_TYPES
 

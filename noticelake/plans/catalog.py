@@ -15,8 +15,8 @@ from noticelake.operators import (
     repair, search)
 from noticelake.plans.oracle import AS_OF as SQL_AS_OF, EVENTS_AS_OF as SQL_EVENTS_AS_OF, sql, ts
 from noticelake.plans.proxies import AS_OF, EVENTS_AS_OF, MODEL, Tables
-from noticelake.functions import records, text as X, values as V, vectors
-from noticelake.schemas import HASH_FIELDS, KEY, NOTICE
+from noticelake.functions import text as X, values as V, vectors
+from noticelake.schemas import NOTICE
 from noticelake.sources import archive, parse, tables
 
 

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from noticelake.functions.text import tokens  # noqa: F401
 from noticelake.session import tune
 
 AS_OF = "1998-01-01 00:00:00"        # clock of the order-based tables

@@ -21,10 +21,10 @@ def test_query(spark, con, sf, name):
     assert compare(con, df, oracle_sql().get(name)) is None
 
 
-def test_filters_and_columns_reach_the_scan(spark, sf):
-    plan = queries()["hard_filter_one_profile"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(o_orderkey)" in plan or "PushedFilters: [IsNotNull" in plan
-    assert "o_orderpriority" not in plan  # unused columns are not read
+def test_only_the_needed_columns_are_read(spark, sf):
+    plan = queries()["district_pages"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+    assert "o_totalprice" not in plan and "c_mktsegment" not in plan
 
 
 @pytest.mark.parametrize("name", ["candidates_all_users", "unsent_matches", "facets", "trailing_yield"])
