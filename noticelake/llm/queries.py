@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticelake.llm import chat, repetition, simhash, substrings
+from noticelake.llm import chat, packing, pii, repetition, simhash, substrings
+
+#: Stands for the secret of a production run; whoever has it can recompute surrogates.
+PII_KEY = "for tests only"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +20,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, PII_KEY, count="n_replaced")
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +47,8 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
+    "op4_surrogates": op4_surrogates,
     "op6_substrings": op6_substrings,
     "op9_chat": op9_chat,
     "op10_repetition": op10_repetition,
