@@ -9,8 +9,8 @@ Two lossless steps keep most windows out of the count. Texts with the same SHA-2
 their words are the same windows, so all but those of the least id are removed whole.
 And every window has an anchor, the least hash of the ``anchor_words``-word shingles in
 it: equal windows have equal anchors, so a window whose anchor no other document has
-is unique. Only windows under shared anchors are counted; a frequent window is one
-pre-aggregated row on one side of the join and split on the other.
+is unique. Only windows under shared anchors are counted; those under anchors of many
+documents are salted by document and counted in two steps.
 
 Null texts have no words. Rows with a null id have no order: they neither cause nor
 suffer a removal. Rows that share an id do not remove from each other. Repeated rows
@@ -30,6 +30,9 @@ from noticelake.llm.common import slices, stored
 
 WINDOW = 50
 ANCHOR_WORDS = 8
+#: From this many documents on, the windows under an anchor are salted.
+HOT = 2000
+SALTS = 64
 KEY = "id long, key long"
 
 
@@ -52,68 +55,77 @@ def _scan(docs: DataFrame, window: int, anchor_words: int) -> DataFrame:
                 buf = _buffer(text)
                 starts, ends = W.spans(buf)
                 n_words.append(len(starts))
-                digests.append(hashlib.sha256(b" ".join((text or b"").split())).hexdigest())
+                digests.append(hashlib.sha256(b" ".join((text or b"").split())).digest())
                 found = np.empty(0, np.uint64)
                 if len(starts) >= window:
                     found = np.unique(_anchors(W.word_hashes(buf, starts, ends), window, anchor_words))
                 anchors.append(found.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(digests, pa.string()),
+                [b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(anchors, pa.list_(pa.int64()))], names=["id", "key", "n_words", "words_sha", "anchors"])
 
-    return docs.mapInArrow(run, f"{KEY}, n_words long, words_sha string, anchors array<long>")
+    return docs.mapInArrow(run, f"{KEY}, n_words long, words_sha binary, anchors array<long>")
 
 
 def _windows(docs: DataFrame, window: int, anchor_words: int) -> DataFrame:
-    """(h1, h2, id, key, start) of the windows whose anchor is listed, of (id, key, t, shared)."""
-    names = ["h1", "h2", "id", "key", "start"]
+    """(h1, h2, id, key, start, salt) of the windows whose anchor is listed, of (id, key,
+    t, shared: anchors, hot: those of them in many documents). Windows under hot anchors
+    are salted, others have salt -1."""
+    names = ["h1", "h2", "id", "key", "start", "salt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
-            for doc, key, text, shared in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, key, text, shared, hot in zip(*(c.to_pylist() for c in b.columns)):
                 buf = _buffer(text)
                 starts, ends = W.spans(buf)
                 words = W.word_hashes(buf, starts, ends)
                 anchors = _anchors(words, window, anchor_words)
                 at = np.flatnonzero(np.isin(anchors, np.array(shared, np.int64).view(np.uint64)))
+                often = np.isin(anchors[at], np.array(hot, np.int64).view(np.uint64))
                 first = W.window_hashes(words, window, 0)[at].view(np.int64)
                 second = W.window_hashes(W.word_hashes(buf, starts, ends, 1), window, 1)[at].view(np.int64)
+                salt = np.where(often, doc % SALTS, -1).astype(np.int32)
                 for i in range(0, len(at), 65536):
                     part = slice(i, i + 65536)
                     n = len(at[part])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(first[part]), pa.array(second[part]), pa.array(np.full(n, doc, np.int64)),
-                         pa.array(np.full(n, key, np.int64)), pa.array(at[part].astype(np.int32))], names=names)
+                         pa.array(np.full(n, key, np.int64)), pa.array(at[part].astype(np.int32)), pa.array(salt[part])], names=names)
 
-    return docs.mapInArrow(run, f"h1 long, h2 long, {KEY}, start int")
+    return docs.mapInArrow(run, f"h1 long, h2 long, {KEY}, start int, salt int")
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
-             anchor_words: int = ANCHOR_WORDS) -> tuple[DataFrame, DataFrame]:
-    """What is to be removed, as two written tables: each row of ``docs`` as (id, key,
-    n_words, words_sha, copy: whether all of it goes), where ``key`` tells texts of one
-    id apart; and the removed intervals of the others as (id, key, spans: array of
-    [first, last + 1] word numbers, ordered and apart from each other)."""
+             anchor_words: int = ANCHOR_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is to be removed, as written tables: each row of ``docs`` as (id, key,
+    n_words, words_sha), where ``key`` tells texts of one id apart; the (id, key) of
+    which all goes; and the others that lose words as (id, key, t: text, spans: array
+    of [first, last + 1] word numbers, ordered and apart from each other)."""
     if not 0 < anchor_words <= window:
         raise ValueError("an anchor lies within the window")
     rows = keyed(docs, doc_id, text)
     seen = stored(_scan(rows, window, anchor_words))
-    ordered = seen.where("id IS NOT NULL")
-    full = (ordered.where(F.col("n_words") >= window).groupBy("words_sha")
-            .agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("words_sha", "least"))
-    listed = stored(seen.join(full, "words_sha", "left").select(
-        "id", "key", "n_words", "words_sha", F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("copy"), "anchors"))
-    under = listed.where("id IS NOT NULL AND NOT copy").select("id", "key", F.explode("anchors").alias("anchor"))
-    shared = (under.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-              .where("least < most").select("anchor"))
-    affected = under.join(shared, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("shared"))
-    windows = stored(_windows(rows.join(affected, ["id", "key"]).select("id", "key", "t", "shared"), window, anchor_words))
-    first = (windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-             .where("least < most").select("h1", "h2", "least"))
-    hits = windows.join(first, ["h1", "h2"]).where("id > least")
+    whole = seen.where(f"id IS NOT NULL AND n_words >= {window}")
+    least, most = F.min("id").alias("least"), F.max("id").alias("most")
+    full = whole.groupBy("words_sha").agg(least, most).where("least < most").drop("most")
+    copies = stored(whole.select("id", "key", "words_sha").join(full, "words_sha").where("id > least").select("id", "key").distinct())
+    under = whole.join(copies, ["id", "key"], "left_anti").select("id", "key", F.explode("anchors").alias("anchor"))
+    shared = (under.groupBy("anchor").agg(least, most, F.count(F.lit(1)).alias("n")).where("least < most")
+              .select("anchor", (F.col("n") > HOT).alias("hot")))
+    affected = under.join(shared, "anchor").groupBy("id", "key").agg(
+        F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    texts = stored(rows.join(affected, ["id", "key"]).select("id", "key", "t", "shared", "hot").dropDuplicates(["id", "key"]))
+    # One exchange serves the counts and the way back; salted windows are counted per salt first.
+    windows = _windows(texts, window, anchor_words).repartition("h1", "h2", "salt")
+    counts = windows.groupBy("h1", "h2", "salt").agg(least, most)
+    cold = windows.join(counts.where("salt < 0 AND least < most").drop("most"), ["h1", "h2", "salt"]).where("id > least")
+    often = (counts.where("salt >= 0").groupBy("h1", "h2").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+             .where("least < most").drop("most"))
+    hot = windows.where("salt >= 0").join(often, ["h1", "h2"]).where("id > least")
+    hits = cold.select("id", "key", "start").union(hot.select("id", "key", "start"))
     spans = hits.groupBy("id", "key").agg(F.array_sort(F.collect_set("start")).alias("starts")).select(
         "id", "key", merged(F.col("starts"), window).alias("spans"))
-    return listed.drop("anchors"), stored(spans)
+    return seen.drop("anchors"), copies, texts.select("id", "key", "t").join(spans, ["id", "key"])
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -129,9 +141,9 @@ def merged(starts, window: int):
     return F.transform(F.arrays_zip(opens.alias("a"), closes.alias("b")), lambda z: F.array(z["a"], z["b"] + window))
 
 
-def remove(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The texts that have ``spans``, without them: (id, key, n_removed, kept), the kept
-    words joined by one blank."""
+def remove(texts: DataFrame) -> DataFrame:
+    """(id, key, t, spans) -> (id, key, n_removed, kept): the words that stay, joined by
+    one blank."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             removed, kept = [], []
@@ -148,20 +160,19 @@ def remove(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str
                 [b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())],
                 names=["id", "key", "n_removed", "kept"])
 
-    some = keyed(docs, doc_id, text).join(spans, ["id", "key"]).select("id", "key", "t", "spans")
-    return some.mapInArrow(run, f"{KEY}, n_removed long, kept binary")
+    return texts.select("id", "key", "t", "spans").mapInArrow(run, f"{KEY}, n_removed long, kept binary")
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """Per row of ``docs``: (doc_id, n_words, n_removed, kept_sha256)."""
-    rows, spans = removals(docs, doc_id, text, **how)
-    cut = (remove(docs, spans, doc_id, text).select("id", "key", "n_removed", F.sha2("kept", 256).alias("kept_sha"))
-           .dropDuplicates(["id", "key"]))
-    return rows.join(cut, ["id", "key"], "left").select(
+    rows, copies, texts = removals(docs, doc_id, text, **how)
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    changed = remove(texts).select("id", "key", "n_removed", F.sha2("kept", 256).alias("kept_sha")).union(
+        copies.select("id", "key", F.lit(None).cast("long"), none))
+    return rows.join(changed, ["id", "key"], "left").select(
         F.col("id").alias("doc_id"), "n_words",
-        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(F.col("copy"), F.lit(hashlib.sha256(b"").hexdigest()))
-        .otherwise(F.coalesce("kept_sha", "words_sha")).alias("kept_sha256"))
+        F.when(F.col("kept_sha").isNull(), 0).otherwise(F.coalesce("n_removed", "n_words")).alias("n_removed"),
+        F.coalesce("kept_sha", F.lower(F.hex("words_sha"))).alias("kept_sha256"))
 
 
 SQL = r"""
