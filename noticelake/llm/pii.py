@@ -78,10 +78,12 @@ def _digits(c: Column) -> Column:
 
 
 def kind(m: Column) -> Column:
+    """The type of a match; null for a long number that is no card by its check digit."""
     given = {n: g for g, names in reversed(GIVEN.items()) for n in names.split()}
     table = F.create_map(*[F.lit(x) for item in given.items() for x in item])
     return (F.when(m.rlike(_SECRET), "secret").when(m.contains("@"), "email").when(m.rlike(r"^[+(]|^\d{3}-\d{3}-"), "phone")
-            .when(m.rlike(r"^\d{3}-\d{2}-"), "ssn").when(m.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip").when(m.rlike(r"^\d"), "card")
+            .when(m.rlike(r"^\d{3}-\d{2}-"), "ssn").when(m.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
+            .when(m.rlike(r"^\d"), F.when(_luhn(_digits(m)) == 0, "card"))
             .when(m.rlike("^A[KS]IA[0-9A-Z]{16}$"), "access key").otherwise(F.coalesce(table[m], F.lit("surname"))))
 
 
@@ -210,7 +212,7 @@ def replace(docs: DataFrame, key: str, text: str = "text", count: str | None = N
     some = F.col("t").rlike(PATTERN)
     listed = whole.where(some).select(F.array_distinct(found("t")).alias("all"))
     mentions = stored(listed.select(F.explode("all").alias("m")).distinct()
-                      .select("m", kind(F.col("m")).alias("kind"))
+                      .select("m", kind(F.col("m")).alias("kind")).where("kind IS NOT NULL")
                       .select("m", "kind", norm(F.col("m"), F.col("kind")).alias("entity")))
     new = surrogates(mentions.select("kind", "entity").distinct(), key)
     table = mentions.join(new, ["kind", "entity"]).select("m", mention(F.col("m"), F.col("kind"), F.col("surrogate")).alias("s"))
@@ -218,12 +220,14 @@ def replace(docs: DataFrame, key: str, text: str = "text", count: str | None = N
     signature = F.sha2(F.array_join(found("t"), "\x1f"), 256)
     orders = (whole.where(some).select(signature.alias("signature"), found("t").alias("all"))
               .groupBy("signature").agg(F.first("all").alias("all")))
-    replaced = (orders.select("signature", F.posexplode("all").alias("i", "m")).join(table, "m")
-                .groupBy("signature").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("news")))
+    replaced = (orders.select("signature", F.posexplode("all").alias("i", "m")).join(table, "m", "left")
+                .groupBy("signature").agg(
+                    F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("s", "m").alias("s")))), lambda x: x["s"]).alias("news"),
+                    F.count("s").alias("n")))
     gaps = F.split("t", PATTERN, -1)
     fused = F.array_join(F.zip_with(gaps, F.col("news"), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     changed = (whole.where(some).withColumn("signature", signature).join(replaced, "signature")
-               .select("doc", fused.alias("t"), F.size("news").cast("long").alias("n")))
+               .select("doc", fused.alias("t"), "n"))
     rows = whole.where(~F.coalesce(some, F.lit(False))).select("doc", "t", F.lit(0).cast("long").alias("n")).union(changed)
     out = rows.select(F.col("doc").withField(f"`{name}`", F.col("t")).alias("doc"), "n")
     if count is None:
