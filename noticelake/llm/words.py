@@ -13,6 +13,8 @@ import numpy as np
 SEGMENT = 1 << 16
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
 
 @functools.cache
@@ -36,6 +38,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def folded(text: bytes | None) -> np.ndarray:
+    """The bytes of a text in lower case with blanks for ASCII punctuation."""
+    lower = np.frombuffer((text or b"").decode("utf-8", "replace").lower().encode("utf-8", "replace"), np.uint8).copy()
+    lower[PUNCTUATION[lower]] = 0x20
+    return lower
+
+
 def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte positions at which the words of ``buf`` start and end."""
     inside = np.empty(len(buf) + 2, bool)
