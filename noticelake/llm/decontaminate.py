@@ -269,7 +269,8 @@ def search(docs: DataFrame, found: Index, weights: np.ndarray, vectors: np.ndarr
                 column, row = np.nonzero(cosine.T >= COSINE)
                 begins = part[row]
                 # Neighbouring windows that are close to one item are looked at together.
-                owner = np.searchsorted(starts, begins * STRIDE, side="right") - 1
+                touched = rare_at[np.searchsorted(rare_at, begins * STRIDE)]  # a window touches one document
+                owner = np.searchsorted(starts, touched, side="right") - 1
                 apart = (column[1:] != column[:-1]) | (owner[1:] != owner[:-1]) | (begins[1:] - begins[:-1] > 2)
                 opens = np.flatnonzero(np.concatenate(([True], apart))) if len(row) else []
                 for k, low_ in enumerate(opens):
@@ -281,7 +282,8 @@ def search(docs: DataFrame, found: Index, weights: np.ndarray, vectors: np.ndarr
                         continue
                     p = index_.passages[number]
                     doc = int(owner[low_])
-                    ratio, start, answered = _verified(p, wheres[number], at, terms, max(begin - STRIDE, int(starts[doc])), end + STRIDE)
+                    ratio, start, answered = _verified(p, wheres[number], at, terms, 
+                                                       max(begin - STRIDE, int(starts[doc])), min(end + STRIDE, int(starts[doc + 1])))
                     if ratio >= SAME or ratio >= ALIKE and answered:
                         match = Match(p.item, ratio, float(cosine[row[low_:high_], column[low_]].max()), start - int(starts[doc]), answered)
                         old = best.get((doc, p.item))
