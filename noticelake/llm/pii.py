@@ -45,20 +45,21 @@ TITLES = "Mr Mrs Ms Miss Herr Frau Monsieur Madame Mme Mlle Señor Señora Seño
 _ALL = "|".join(sorted({n for names in GIVEN.values() for n in names.split()}, key=lambda n: (-len(n), n)))
 _TITLE = "|".join(sorted(TITLES, key=lambda t: (-len(t), t)))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-PARTS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
-    "phone": r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
-             r"|\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?<s>[ .-])\d{2,4}(?:\k<s>\d{2,4}){0,3}(?!\d)"
-             r"|(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\d-])",
-    "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"[3-6]\d{3}(?<c>[ -]?)\d{4}\k<c>\d{4}\k<c>\d{4}(?!\d)|3[47]\d{2}(?<x>[ -]?)\d{6}\k<x>\d{5}(?!\d)",
-    "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "access key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "secret": r"(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\x22']?[^\s\x22',;]{5,}[^\s\x22',;.]",
-    "given": rf"(?:{_ALL})(?= \p{{Lu}}\p{{Ll}})",
-    "surname": rf"(?=\p{{Lu}}\p{{Ll}})(?<=(?:{_TITLE})\.? |(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}{{1,24}} |(?:{_ALL}) )\p{{L}}+(?:-\p{{L}}+)*+",
-}
-PATTERN = r"(?<![\p{L}\p{N}@.+-])(?:" + "|".join(PARTS.values()) + ")"
+_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_NUMBERS = "|".join((
+    r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?<s>[ .-])\d{2,4}(?:\k<s>\d{2,4}){0,3}(?!\d)",
+    r"(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\d-])",
+    r"\d{3}-\d{2}-\d{4}(?![\d-])",
+    r"[3-6]\d{3}(?<c>[ -]?)\d{4}\k<c>\d{4}\k<c>\d{4}(?!\d)", r"3[47]\d{2}(?<x>[ -]?)\d{6}\k<x>\d{5}(?!\d)",
+    rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"))
+#: A cheap look at the next characters goes before each costly alternative.
+PATTERN = r"(?<![\p{L}\p{N}@.+-])(?:" + "|".join((
+    rf"(?=[\d+(])(?:{_NUMBERS})",
+    r"(?=[PpSsTtAa])(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\x22']?[^\s\x22',;]{5,}[^\s\x22',;.]",
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
+    rf"(?=\p{{Lu}}\p{{Ll}}*+\.? \p{{Lu}}\p{{Ll}})(?:(?:{_TITLE})\.? (?:{_NAME} )?|(?:{_ALL}) ){_NAME}",
+    r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}")) + ")"
 _SECRET = r"(?s)^((?i:password|passwd|secret|token|api_?key) ?[=:] ?[\x22']?)(.*)$"
 
 _CLASSES = [  # (pattern of a character, what stands for it)
@@ -79,12 +80,17 @@ def _digits(c: Column) -> Column:
 
 def kind(m: Column) -> Column:
     """The type of a match; null for a long number that is no card by its check digit."""
-    given = {n: g for g, names in reversed(GIVEN.items()) for n in names.split()}
-    table = F.create_map(*[F.lit(x) for item in given.items() for x in item])
     return (F.when(m.rlike(_SECRET), "secret").when(m.contains("@"), "email").when(m.rlike(r"^[+(]|^\d{3}-\d{3}-"), "phone")
             .when(m.rlike(r"^\d{3}-\d{2}-"), "ssn").when(m.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
             .when(m.rlike(r"^\d"), F.when(_luhn(_digits(m)) == 0, "card"))
-            .when(m.rlike("^A[KS]IA[0-9A-Z]{16}$"), "access key").otherwise(F.coalesce(table[m], F.lit("surname"))))
+            .when(m.rlike("^A[KS]IA[0-9A-Z]{16}$"), "access key").otherwise("name"))
+
+
+def name_part(word: Column) -> Column:
+    """Of a word of a name: null for a title, the group of a given name, or surname."""
+    given = {n: g for g, names in reversed(GIVEN.items()) for n in names.split()}
+    table = F.create_map(*[F.lit(x) for item in given.items() for x in item])
+    return F.when(~F.replace(word, F.lit("."), F.lit("")).isin(TITLES), F.coalesce(table[word], F.lit("surname")))
 
 
 def norm(m: Column, of: Column) -> Column:
@@ -210,23 +216,25 @@ def replace(docs: DataFrame, key: str, text: str = "text", count: str | None = N
     name = [c for c in docs.columns if c.lower() == text.lower()][0]
     whole = docs.select(F.struct("*").alias("doc"), F.col(name).alias("t"))
     some = F.col("t").rlike(PATTERN)
-    listed = whole.where(some).select(F.array_distinct(found("t")).alias("all"))
-    mentions = stored(listed.select(F.explode("all").alias("m")).distinct()
-                      .select("m", kind(F.col("m")).alias("kind")).where("kind IS NOT NULL")
-                      .select("m", "kind", norm(F.col("m"), F.col("kind")).alias("entity")))
-    new = surrogates(mentions.select("kind", "entity").distinct(), key)
-    table = mentions.join(new, ["kind", "entity"]).select("m", mention(F.col("m"), F.col("kind"), F.col("surrogate")).alias("s"))
     # Texts with the same entities in the same order share one row of replacements.
-    signature = F.sha2(F.array_join(found("t"), "\x1f"), 256)
-    orders = (whole.where(some).select(signature.alias("signature"), found("t").alias("all"))
-              .groupBy("signature").agg(F.first("all").alias("all")))
+    signature = F.sha2(F.array_join("all", "\x1f"), 256)
+    orders = stored(whole.where(some).select(found("t").alias("all")).groupBy(signature.alias("signature")).agg(F.first("all").alias("all")))
+    matched = orders.select(F.explode("all").alias("m")).distinct().select("m", kind(F.col("m")).alias("kind")).where("kind IS NOT NULL")
+    parts = stored(matched.select("m", "kind", F.posexplode(
+        F.when(F.col("kind") == "name", F.split("m", " ")).otherwise(F.array("m"))).alias("i", "part"))
+        .withColumn("kind", F.when(F.col("kind") == "name", name_part(F.col("part"))).otherwise(F.col("kind")))
+        .withColumn("entity", norm(F.col("part"), F.col("kind"))))
+    new = surrogates(parts.where("kind IS NOT NULL").select("kind", "entity").distinct(), key)
+    table = parts.join(new, ["kind", "entity"], "left").select("m", "i", F.coalesce(
+        mention(F.col("part"), F.col("kind"), F.col("surrogate")), "part").alias("s"))
+    table = table.groupBy("m").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ").alias("s"))
     replaced = (orders.select("signature", F.posexplode("all").alias("i", "m")).join(table, "m", "left")
                 .groupBy("signature").agg(
                     F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("s", "m").alias("s")))), lambda x: x["s"]).alias("news"),
                     F.count("s").alias("n")))
     gaps = F.split("t", PATTERN, -1)
     fused = F.array_join(F.zip_with(gaps, F.col("news"), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
-    changed = (whole.where(some).withColumn("signature", signature).join(replaced, "signature")
+    changed = (whole.where(some).withColumn("all", found("t")).withColumn("signature", signature).drop("all").join(replaced, "signature")
                .select("doc", fused.alias("t"), "n"))
     rows = whole.where(~F.coalesce(some, F.lit(False))).select("doc", "t", F.lit(0).cast("long").alias("n")).union(changed)
     out = rows.select(F.col("doc").withField(f"`{name}`", F.col("t")).alias("doc"), "n")
