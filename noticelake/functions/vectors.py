@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noticelake.functions.text import tokens
@@ -21,19 +23,25 @@ def cosine_similarity(a: Column, b: Column, unit: bool = False) -> Column:
     return dot(a, b) if unit else F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def hashing_vector(text: Column, dimensions: int = 64) -> Column:
+    """Deterministic bag-of-words vector of a text, L2-normalized.
+
+    Slot of a word = leading 32 bits of its MD5 modulo ``dimensions``. The slots are
+    found in the JVM and counted per Arrow batch, row by row: nothing is shuffled. A
+    text without words becomes a zero vector."""
+    slots = F.transform(F.coalesce(tokens(text), F.array().cast("array<string>")),
+                        lambda w: (F.conv(F.left(F.md5(w), F.lit(8)), 16, 10).cast("long") % dimensions).cast("int"))
+
+    @F.pandas_udf("array<float>")
+    def counted(column: pd.Series) -> pd.Series:
+        def vector(row):
+            n = np.bincount(row, minlength=dimensions).astype(np.float64) if len(row) else np.zeros(dimensions)
+            return (n / (np.sqrt((n * n).sum()) or 1.0)).astype(np.float32)
+        return column.map(vector)
+
+    return counted(slots)
+
+
 def hashing_vectors(df: DataFrame, key: str, text: str, dimensions: int = 64) -> DataFrame:
-    """Deterministic bag-of-words vectors (key, embedding), L2-normalized.
-
-    Slot of a word = leading 32 bits of its MD5 modulo ``dimensions``. Counting
-    is an aggregation that shrinks every text to at most ``dimensions`` rows
-    before the shuffle; a text without words becomes a zero vector."""
-    words = df.select(key, F.explode_outer(tokens(F.col(text))).alias("word"))
-    slot = F.conv(F.left(F.md5("word"), F.lit(8)), 16, 10).cast("long") % dimensions
-    counts = words.select(key, slot.alias("slot")).groupBy(key, "slot").agg(F.count("slot").alias("n"))
-    per_key = counts.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n"))))
-        .alias("slots"), F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("norm"))
-    return per_key.select(key, F.transform(
-        F.sequence(F.lit(0).cast("long"), F.lit(dimensions - 1).cast("long")),
-        lambda i: F.coalesce(F.try_divide(F.try_element_at("slots", i), F.col("norm")), F.lit(0.0))
-        .cast("float")).alias("embedding"))
+    """(key, embedding) per row."""
+    return df.select(key, hashing_vector(F.col(text), dimensions).alias("embedding"))

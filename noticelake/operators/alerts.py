@@ -10,7 +10,6 @@ from noticelake.operators.filters import timestamp
 DIGEST_LIMIT, PROFILE_LIMIT = 10, 20
 URGENT_HOURS = 48
 MAX_TITLE, MAX_BODY, MAX_ALERT_ERROR = 80, 160, 1000
-ALERT_IDS = 1000  # ids per alert row
 # Wording of an urgent alert.
 TITLE_ONE, TITLE_MANY = "Closing soon: 1 tender for you", "Closing soon: %d tenders for you"
 BODY_WITHOUT_TITLE = "Tap to view"
@@ -59,7 +58,10 @@ def urgent_matches(matches: DataFrame, notices: DataFrame, users: DataFrame, ale
     soon = F.col("closing_at").between(now, now + F.expr(f"INTERVAL {within_hours} HOURS"))
     found = _open_matches(matches.filter(F.col("score") >= min_score), notices, soon,
                           ["title", "closing_at"])
-    pushed = alerted_pairs(alerts, F.col("channel") == "push")
+    # A push that failed and was never sent leaves its notices open for the next one.
+    failed = (F.col("sent_at").isNull() & F.col("error").isNotNull() if {"sent_at", "error"} <= set(alerts.columns)
+              else F.lit(False))
+    pushed = alerted_pairs(alerts, (F.col("channel") == "push") & ~failed)
     return (found.join(users.filter("unsubscribed_at IS NULL").select("user_id"), "user_id", "left_semi")
             .join(pushed, ["user_id", "notice_id"], "left_anti"))
 
@@ -73,37 +75,24 @@ def digests(unsent: DataFrame, recipients: DataFrame) -> DataFrame:
         F.count("*").alias("n"))
 
 
-def group_alert_ids(urgent: DataFrame, ids_per_row: int = ALERT_IDS) -> DataFrame:
-    """Alert rows per user: ids best first, with the top title for the message.
-
-    A user with more matches than ``ids_per_row`` gets several rows, split by a
-    hash of the notice, so that no array and no task grows with one user."""
+def group_alert_ids(urgent: DataFrame) -> DataFrame:
+    """One alert row per user: ids best first, with the top title for the message."""
     order = F.struct((-F.col("score")).alias("by"), F.col("notice_id").alias("id"))
-    heads = urgent.groupBy("user_id").agg(
-        F.count("*").alias("total"),
-        F.min_by(F.struct(F.col("notice_id").alias("top_notice_id"),
-                          F.col("title").alias("top_title")), order).alias("top"))
-    parts = F.ceil(F.col("total") / ids_per_row)
-    split = (urgent.join(heads, "user_id")
-             .withColumn("part", F.pmod(F.xxhash64("notice_id"), parts).cast("int")))
-    return (split.groupBy("user_id", "part").agg(
-        F.first("total").alias("total"), F.first("top").alias("top"),
-        F.sort_array(F.collect_list(order)).alias("ids"))
-        .select("user_id", "part", "total",
-                F.transform("ids", lambda x: x["id"]).alias("notice_ids"),
-                "top.top_notice_id",
-                truncated(F.when(F.col("total") == 1, TITLE_ONE).otherwise(
+    total = F.col("total")
+    return (urgent.groupBy("user_id").agg(
+        F.count("*").alias("total"), F.sort_array(F.collect_list(order)).alias("ids"),
+        F.min_by("title", order).alias("top_title"))
+        .select("user_id", "total", F.transform("ids", lambda x: x["id"]).alias("notice_ids"),
+                F.get("ids", F.lit(0))["id"].alias("top_notice_id"),
+                truncated(F.when(total == 1, TITLE_ONE).otherwise(
                     F.format_string(TITLE_MANY, "total")), MAX_TITLE).alias("title"),
-                truncated(F.coalesce("top.top_title", F.lit(BODY_WITHOUT_TITLE)), MAX_BODY)
-                .alias("body")))
+                truncated(F.coalesce("top_title", F.lit(BODY_WITHOUT_TITLE)), MAX_BODY).alias("body")))
 
 
 def alert_rows(groups: DataFrame, channel: str, created_at: Column) -> DataFrame:
-    """Alert rows to append before anything is sent."""
-    part = F.col("part") if "part" in groups.columns else F.lit(0)
+    """Alert rows to append before anything is sent: not sent until an outcome says so."""
     return groups.select(
-        F.xxhash64("user_id", F.lit(channel), created_at, part).alias("alert_id"),
-        "user_id", F.lit(channel).alias("channel"), "notice_ids", created_at.alias("created_at"))
+        F.xxhash64("user_id", F.lit(channel), created_at, "notice_ids").alias("alert_id"), "user_id", F.lit(channel).alias("channel"), "notice_ids", created_at.alias("created_at"))
 
 
 def alerts_with_outcome(alerts: DataFrame, outcomes: DataFrame) -> DataFrame:

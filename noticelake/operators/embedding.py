@@ -7,13 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from noticelake.functions.text import notice_text, profile_text, text_digest, truncated
-from noticelake.functions.vectors import hashing_vectors
+from noticelake.functions.text import notice_text, profile_text, text_digest
+from noticelake.functions.vectors import hashing_vector
 from noticelake.sources.tables import upsert
 
 MODEL = "hashing-64"
 BATCH = 64
-SOURCE_TEXT_CHARS = 2000
 
 # A vectorizer factory is called once per Python worker and returns a function
 # from a list of texts to a list of vectors.
@@ -53,10 +52,8 @@ def embed(todo: DataFrame, vectorizer: Vectorizer | None = None, model: str = MO
     Without a vectorizer the JVM hashing vector is used. With one, batches go
     through Arrow and the model is loaded once per worker."""
     if vectorizer is None:
-        vectors = hashing_vectors(todo, "id", "text", dimensions)
-        return todo.join(vectors, "id").select(
-            "id", "embedding", F.lit(model).alias("model"),
-            truncated(F.col("text"), SOURCE_TEXT_CHARS).alias("source_text"), "text_digest")
+        return todo.select("id", hashing_vector(F.col("text"), dimensions).alias("embedding"), F.lit(model).alias("model"),
+                           F.col("text").alias("source_text"), "text_digest")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = vectorizer()
@@ -67,7 +64,7 @@ def embed(todo: DataFrame, vectorizer: Vectorizer | None = None, model: str = MO
                 vectors.extend(encode(texts[start:start + BATCH]))
             yield pd.DataFrame({
                 "id": batch["id"], "embedding": vectors, "model": model,
-                "source_text": [t[:SOURCE_TEXT_CHARS] for t in texts],
+                "source_text": texts,
                 "text_digest": batch["text_digest"]})
 
     return todo.select("id", "text", "text_digest").mapInPandas(
@@ -79,6 +76,9 @@ def upsert_embeddings(current: DataFrame, fresh: DataFrame) -> DataFrame:
     return upsert(current, fresh.withColumn("_at", F.lit(0)), ["id"], "_at")
 
 
-def embed_profiles(profiles: DataFrame, model: str = MODEL, dimensions: int = 64) -> DataFrame:
-    texts = profile_texts(profiles).filter("text <> ''")
-    return hashing_vectors(texts, "user_id", "text", dimensions).withColumn("model", F.lit(model))
+def embed_profiles(profiles: DataFrame, vectorizer: Vectorizer | None = None, model: str = MODEL,
+                   dimensions: int = 64) -> DataFrame:
+    """(user_id, embedding, model), by the same vectorizer and model as the notices."""
+    texts = profile_texts(profiles).filter("text <> ''").select(
+        F.col("user_id").alias("id"), "text", F.lit("").alias("text_digest"))
+    return embed(texts, vectorizer, model, dimensions).select(F.col("id").alias("user_id"), "embedding", "model")

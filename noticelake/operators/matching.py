@@ -31,6 +31,7 @@ RRF_K, RELATIVE_FLOOR, ABSOLUTE_FLOOR = 60, 0.6, 0.15
 
 PAIR = ["user_id", "notice_id"]
 CELL = ["c_district", "c_nature", "c_method"]
+# Values in cells start with "=", so no value of the data is one of these.
 ANY = "*"        # wildcard of a cell
 UNKNOWN = "?"    # district not known yet: passes every district list
 
@@ -46,12 +47,16 @@ def _recency() -> Column:
 def _notice_rows(notices: DataFrame, as_of: str) -> DataFrame:
     return (notices.filter(matchable(timestamp(as_of)))
             .select(F.col("id").alias("notice_id"), "published_at", "tender_security",
-                    F.coalesce("district", F.lit(UNKNOWN)).alias("c_district"),
-                    F.col("procurement_nature").alias("c_nature"),
-                    F.col("procurement_method").alias("c_method"))
+                    F.coalesce(_value("district"), F.lit(UNKNOWN)).alias("c_district"),
+                    _value("procurement_nature").alias("c_nature"),
+                    _value("procurement_method").alias("c_method"))
             .withColumn("recency", _recency()).drop("published_at"))
 
 
+def _value(c: Column | str) -> Column:
+    return F.concat(F.lit("="), c)
+
+
 def _notice_cells(rows: DataFrame) -> DataFrame:
     """Each notice in its eight cells: every dimension as itself and as ANY."""
     for c in CELL:
@@ -64,7 +69,7 @@ def _user_cells(profiles: DataFrame) -> DataFrame:
 
     Cells of one user never share a notice, so no duplicates arise."""
     def values(column: str, *extra: str) -> Column:
-        listed = F.array_distinct(F.coalesce(column, F.array().cast("array<string>")))
+        listed = F.transform(F.array_distinct(F.coalesce(column, F.array().cast("array<string>"))), _value)
         some = F.array_union(listed, F.array(*map(F.lit, extra))) if extra else listed
         return F.when(F.size(listed) > 0, some).otherwise(F.array(F.lit(ANY)))
 
@@ -105,8 +110,7 @@ def candidates(notices: DataFrame, profiles: DataFrame, as_of: str,
                cell_rows: int | None = None) -> DataFrame:
     """Up to ``limit`` newest candidates per user, without the pairs in ``seen``
     (stored matches, given verdicts). ``cell_rows`` is the cut per cell."""
-    # Above 1000 Spark no longer prunes row_number() before the shuffle.
-    cell_rows = cell_rows or min(2 * limit, 999)
+    cell_rows = cell_rows or 2 * limit
     cells = _notice_cells(_notice_rows(notices, as_of))
     order = Window.partitionBy(*CELL).orderBy("recency")
     # One row more than the cut tells that, and where, a cell was cut.
@@ -184,12 +188,17 @@ def _top(scored: DataFrame, score: str, limit: int) -> DataFrame:
     return scored.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
 
 
+def _of_model(vectors: DataFrame, model: str) -> DataFrame:
+    """Vectors of two models live in different spaces and are never compared."""
+    return vectors.filter(F.col("model") == model) if "model" in vectors.columns else vectors
+
+
 def vector_arm(pairs: DataFrame, notice_vectors: DataFrame, profile_vectors: DataFrame,
                model: str, limit: int = ARM_LIMIT, unit: bool = True) -> DataFrame:
     """Top similarities per user among the candidates that have a vector."""
     vectors = notice_vectors.filter(F.col("model") == model).select(
         F.col("id").alias("notice_id"), F.col("embedding").alias("nv"))
-    mine = profile_vectors.select("user_id", F.col("embedding").alias("pv"))
+    mine = _of_model(profile_vectors, model).select("user_id", F.col("embedding").alias("pv"))
     scored = (pairs.select(*PAIR).join(mine, "user_id").join(vectors, "notice_id")
               .select(*PAIR, F.round(cosine_similarity(F.col("nv"), F.col("pv"), unit), 6)
                       .alias("similarity")))
@@ -225,11 +234,9 @@ def keyword_lists(keywords: DataFrame) -> DataFrame:
 
 
 def keyword_hits() -> Column:
-    """Occurrences of the user's keywords in the notice. The lookups are spelled
-    out, one per keyword, which keeps them in generated code."""
-    found = [F.coalesce(F.try_element_at("counts", F.get("wanted", F.lit(i))), F.lit(0))
-             for i in range(KEYWORD_LIMIT)]
-    return reduce(lambda a, b: a + b, found)
+    """Occurrences of all of the user's keywords in the notice."""
+    return F.coalesce(F.aggregate("wanted", F.lit(0).cast("long"), lambda n, word: n + F.coalesce(
+        F.try_element_at("counts", word).cast("long"), F.lit(0).cast("long"))), F.lit(0).cast("long"))
 
 
 def keyword_arm(pairs: DataFrame, counts: DataFrame, keywords: DataFrame,
@@ -298,7 +305,7 @@ def match_all(notices: DataFrame, profiles: DataFrame, notice_vectors: DataFrame
               .join(word_counts(eligible, keywords), "notice_id", "left")
               .join(vectors, "notice_id", "left"))
     mine = texts.select("user_id").join(keyword_lists(keywords), "user_id", "left").join(
-        profile_vectors.select("user_id", F.col("embedding").alias("pv")), "user_id", "left")
+        _of_model(profile_vectors, model).select("user_id", F.col("embedding").alias("pv")), "user_id", "left")
     # The user's side travels to the pair, not the notice's: a dozen keywords and
     # a vector are shuffled per pair, what a notice says only once.
     scored = (pairs.join(mine, "user_id").join(theirs, "notice_id")

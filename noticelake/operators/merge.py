@@ -4,7 +4,8 @@ A list sweep sees a few fields of a notice, its detail page sees all of them,
 and the two render the same field differently. The rules of the fold:
 
 * an empty value never erases a known one;
-* once a detail page has been seen, list observations only fill gaps;
+* once a detail page has been seen, list observations only fill gaps, but for the
+  fields that always follow the latest observation (status and closing date);
 * a version is written only when a version-defining field really changed;
 * fields learned for the first time are an enrichment, not an amendment.
 
@@ -33,6 +34,8 @@ from noticelake.sources.tables import has_batch, publish_snapshot, read_snapshot
 # A batch with at most this many distinct keys (some 50 MB) is broadcast to the
 # current table instead of shuffling the table to the batch.
 BROADCAST_KEYS = 500_000
+# Fields that list sweeps may move after a detail page was seen.
+ALWAYS_LATEST = ("status", "closing_at")
 STORED = ["canonical_hash", "version_no", "first_seen_at", "last_seen_at", "detail_fetched_at"]
 
 
@@ -140,10 +143,14 @@ def _fold(rows: DataFrame, part: list[str], always_latest: tuple[str, ...]) -> D
 
 def _fold_ordinary(obs: DataFrame, stored: DataFrame, always_latest) -> DataFrame:
     w = Window.partitionBy(*KEY).orderBy("_ord")
+    # Exact copies lie side by side in the order of the fold: one stays and is counted.
+    copies = Window.partitionBy(*KEY, "_ord")
+    obs = (obs.repartition(*KEY).withColumns({
+        "_copies": F.count("*").over(copies),
+        "_copy": F.row_number().over(copies.orderBy(F.lit(0)))}).filter("_copy = 1").drop("_copy"))
     seen = F.coalesce(F.max("_detail").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                       F.lit(False)) | F.col("_st_detail_fetched_at").isNotNull()
     rows = obs.join(stored, KEY, "left").withColumns({
-        "_copies": F.lit(1).cast("long"),
         "_exists": F.coalesce("_exists", F.lit(False)),
         "_versions": F.coalesce("_st_version_no", F.lit(0)),
         "_detail_at": F.col("_st_detail_fetched_at"),
@@ -209,14 +216,15 @@ def _fold_hot(obs: DataFrame, stored: DataFrame, always_latest, chunk_seconds: i
 
 
 def fold_observations(current: DataFrame, observations: DataFrame,
-                      always_latest: tuple[str, ...] = (), hot_rows: int | None = HOT_ROWS,
+                      always_latest: tuple[str, ...] = ALWAYS_LATEST, hot_rows: int | None = HOT_ROWS,
                       chunk_seconds: int = 3600) -> DataFrame:
-    """One row per (distinct) observation with state, outcome and diff inputs.
+    """One row per distinct observation, its copies counted, with state, outcome
+    and diff inputs; the same rows whatever ``hot_rows`` is.
 
     ``always_latest`` names fields that the newest observation always decides,
     list or detail, so that an extension seen only by list sweeps is not hidden
-    behind an old detail page: pass ("status", "closing_at") for that. The
-    default keeps the detail page authoritative for every field.
+    behind an old detail page. With () the detail page is authoritative for
+    every field.
 
     ``hot_rows=None`` skips the search for oversized keys, for batches known to
     hold few observations per key."""
@@ -275,7 +283,7 @@ def batch_keys(observations: DataFrame, broadcast_keys: int = BROADCAST_KEYS) ->
 
 def merge_into(path: str, observations: DataFrame, batch: str, broadcast_keys: int = BROADCAST_KEYS,
                **options) -> DataFrame | None:
-    """Merge a named batch into the tables below ``path``; returns outcome counts.
+    """Merge a named batch into the tables below ``path``; returns outcome counts per source.
 
     Only the stored rows of the batch's own keys take part in the fold. It feeds
     three outputs, so it is checkpointed once. The batch's versions go into a
@@ -293,7 +301,7 @@ def merge_into(path: str, observations: DataFrame, batch: str, broadcast_keys: i
     result = results_of(folded)
     result.versions.write.mode("overwrite").parquet(f"{path}/versions/batch={batch}")
     publish_snapshot(apply_merge(current, result.current, keys), f"{path}/notices", batch)
-    return result.outcomes.groupBy("outcome", "kind").agg(F.sum("n").alias("n"))
+    return result.outcomes.groupBy("source_key", "outcome", "kind").agg(F.sum("n").alias("n"))
 
 
 def healed(notices: DataFrame) -> DataFrame:

@@ -438,9 +438,9 @@ UNION ALL SELECT '/tenders/district/' || url_encode(district), NULL, 'daily', '0
 UNION ALL SELECT '/tenders/organization/' || regexp_replace(lower(organization_path), '[^a-z0-9]+', '-', 'g'), NULL, 'daily', '0.6'
   FROM notices GROUP BY organization_path HAVING count(*) >= 5
 UNION ALL SELECT '/tenders/' || id, strftime(greatest(first_seen_at, last_seen_at), '%Y-%m-%d'), 'daily', '0.5'
-  FROM (SELECT id, first_seen_at, last_seen_at FROM notices WHERE status = 'live' ORDER BY first_seen_at DESC, id LIMIT 2000)""")
+  FROM (SELECT id, first_seen_at, last_seen_at FROM notices WHERE status = 'live' ORDER BY first_seen_at DESC, id LIMIT 40000)""")
 def _(t):
-    return browse.sitemap_entries(t.notices(), limit=2000)
+    return browse.sitemap_entries(t.notices())
 
 
 # ------------------------------------------------------------------ matching
@@ -550,12 +550,11 @@ def _(t):
 
 
 @query("embed_newest", """
-SELECT id, left(t, 2000) AS source_text, 'hashing-64' AS model, left(sha256(t), 16) AS text_digest, 64 AS dimensions
-FROM (SELECT id, trim(description) AS t, published_at FROM corpus WHERE status = 'live' AND trim(description) <> ''
-  ORDER BY published_at DESC NULLS LAST, id LIMIT 1000)""")
+SELECT id, t AS source_text, 'hashing-64' AS model, left(sha256(t), 16) AS text_digest, 64 AS dimensions
+FROM (SELECT id, trim(description) AS t FROM corpus WHERE status = 'live' AND trim(description) <> '')""")
 def _(t):
     held = t.notice_vectors().withColumn("text_digest", F.lit("")).limit(0)
-    fresh = embedding.embed(embedding.needs_embedding(t.corpus(), held, limit=1000))
+    fresh = embedding.embed(embedding.needs_embedding(t.corpus(), held))
     return fresh.select("id", "source_text", "model", "text_digest", F.size("embedding").alias("dimensions"))
 
 
@@ -577,7 +576,7 @@ def _(t):
 def _folded(t: Tables) -> DataFrame:
     empty = t.spark.createDataFrame([], NOTICE)
     observations = parse.as_observations(t.observations())
-    return merge.fold_observations(empty, observations, hot_rows=None)
+    return merge.fold_observations(empty, observations, (), hot_rows=None)
 
 
 def _sweep() -> Column:
@@ -620,7 +619,7 @@ def _(t):
     # The same fold with every key treated as oversized: chunks of one day.
     empty = t.spark.createDataFrame([], NOTICE)
     observations = parse.as_observations(t.observations())
-    return merge.fold_observations(empty, observations, hot_rows=0, chunk_seconds=86400).select(
+    return merge.fold_observations(empty, observations, (), hot_rows=0, chunk_seconds=86400).select(
         "external_ref", _sweep(), "outcome", C("_hash").alias("hash"))
 
 
@@ -1041,16 +1040,17 @@ def _(t):
 
 @query("award_links", f"""
 SELECT a.tender_external_ref, a.pkg_lot_id, a.winner, n.id AS notice_id, n.id IS NOT NULL AS has_notice, count(*) AS n
-FROM awards a LEFT JOIN notices n ON n.external_ref = a.tender_external_ref GROUP BY ALL""")
+FROM awards a LEFT JOIN (SELECT external_ref, min(id) AS id FROM notices WHERE source_key = 'etender' GROUP BY 1) n
+  ON n.external_ref = a.tender_external_ref GROUP BY ALL""")
 def _(t):
-    linked = awards.link_notices(t.awards(), t.notices())
+    linked = awards.link_notices(t.awards(), t.notices(), "etender")
     return linked.groupBy("tender_external_ref", "pkg_lot_id", "winner", "notice_id", "has_notice").agg(
         F.count("*").alias("n"))
 
 
 @query("newest_awards", f"""
 SELECT {ts('contract_signed_at')} AS contract_signed_at, tender_external_ref, pkg_lot_id, winner FROM awards
-ORDER BY contract_signed_at DESC, tender_external_ref, pkg_lot_id NULLS FIRST, winner LIMIT 100""")
+ORDER BY contract_signed_at DESC, tender_external_ref, pkg_lot_id NULLS FIRST, winner""")
 def _(t):
     return awards.newest(t.awards()).select(
         stamp("contract_signed_at").alias("contract_signed_at"), "tender_external_ref", "pkg_lot_id", "winner")

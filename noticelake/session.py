@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     # Rows here are small and costly (texts, vectors): a megabyte of ids can be
     # minutes of scoring, so small shuffles still spread over the cores.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Newest-k per group is pruned before the shuffle up to this k.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Payload pages are ~100 KB each; this keeps an Arrow batch near 100 MB.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",

@@ -21,8 +21,7 @@ CELL = T.StructType([
 FIELDS = T.MapType(T.StringType(), T.StringType())
 TOKENIZED = [
     T.StructField("rows", T.ArrayType(T.ArrayType(CELL))),
-    T.StructField("fields", FIELDS),    # detail pages: label -> value
-    T.StructField("squashed", FIELDS),  # the same, labels without whitespace
+    T.StructField("fields", FIELDS),    # detail pages: label without white space -> value
     T.StructField("error", T.StringType()),
 ]
 _TEXTS = pa.list_(pa.string())
@@ -34,10 +33,8 @@ LOT_CELLS = 6  # Fixed value: width of the lot table of a detail page.
 EXPIRED_MARK = "Session Expired"
 
 
-# Comments, scripts and tags; what lies between two matches is one text node.
-_MARKUP = re.compile(
-    r"""<!--.*?(?:-->|$)|<(?:script|style)\b.*?</(?:script|style)\s*>"""
-    r"""|<(/?)([a-z][a-z0-9]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S | re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
+_STOP = re.compile(r"[>\"']")
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -47,12 +44,68 @@ def _text(data: str) -> str:
     return data if data.isascii() else unicodedata.normalize("NFC", data)
 
 
-def table_cells(html: str, in_table: bool) -> list[list[dict]]:
+def _marks(html: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """Comments, scripts and tags as (start, end, closing, tag, attributes); what lies
+    between two of them is one text node.
+
+    One pass from left to right: what was once looked for in vain to the end of the
+    page (the end of a script, a second quote) is not looked for again."""
+    at, size, gone, lower = 0, len(html), set(), None
+    while (low := html.find("<", at)) >= 0:
+        if html.startswith("<!--", low):
+            end = html.find("-->", low + 4)
+            at = size if end < 0 else end + 3
+            yield low, at, False, None, ""
+            continue
+        name = _TAG.match(html, low)
+        if not name:
+            at = low + 1
+            if html[at:at + 1] in ("!", "?") and "declaration" not in gone:
+                end = html.find(">", low)
+                if end < 0:
+                    gone.add("declaration")
+                else:
+                    at = end + 1
+                    yield low, at, False, None, ""
+            continue
+        tag, closing = name[2].lower(), bool(name[1])
+        if tag in ("script", "style") and not closing and tag not in gone:
+            lower = lower or re.sub("[A-Z]", lambda m: m[0].lower(), html)
+            end = lower.find(f"</{tag}", name.end())
+            end = html.find(">", end) if end >= 0 else -1
+            if end >= 0:
+                at = end + 1
+                yield low, at, False, None, ""
+                continue
+            gone.add(tag)
+        end = name.end()
+        while stop := _STOP.search(html, end):
+            end = stop.end()
+            if stop[0] == ">":
+                break
+            if stop[0] not in gone:
+                other = html.find(stop[0], end)
+                if other < 0:
+                    gone.add(stop[0])
+                else:
+                    end = other + 1
+        else:
+            # Quotes swallowed the rest: from here on they count as ordinary signs.
+            gone |= {"'", '"'}
+            end = html.find(">", name.end()) + 1
+            if not end:
+                return
+        at = end
+        yield low, end, closing, tag, html[name.end():end - 1]
+
+
+def table_cells(html: str) -> list[list[dict]]:
     """Every <tr> with all <td> below it, nested tables included.
 
     Markup omits closing tags freely, so a new cell closes an open one and a new
-    row closes an open row of the same table."""
-    depth = 1 if in_table else 0
+    row closes an open row of the same table. List payloads are bare <tr> runs, so
+    the page counts as the inside of a table."""
+    depth = 1
     rows: list[list[dict]] = []
     open_rows: list[tuple[int, list[dict]]] = []
     open_cells: list[tuple[int, dict]] = []
@@ -73,12 +126,10 @@ def table_cells(html: str, in_table: bool) -> list[list[dict]]:
         while open_rows and open_rows[-1][0] >= rows_from:
             open_rows.pop()
 
-    for mark in _MARKUP.finditer(html):
-        if open_cells and mark.start() > end:
-            add_text(html[end:mark.start()])
-        end = mark.end()
-        closing, tag, attributes = mark.groups()
-        tag = tag and tag.lower()
+    for start, stop, closing, tag, attributes in _marks(html):
+        if open_cells and start > end:
+            add_text(html[end:start])
+        end = stop
         if tag == "td":
             leave(depth, depth + 1)
             if not closing and open_rows:
@@ -88,13 +139,13 @@ def table_cells(html: str, in_table: bool) -> list[list[dict]]:
                 open_cells.append((depth, cell))
         elif tag == "tr":
             leave(depth, depth)
-            if not closing and depth:
+            if not closing:
                 rows.append([])
                 open_rows.append((depth, rows[-1]))
         elif tag == "table":
             if not closing:
                 depth += 1
-            elif depth:
+            elif depth > 1:
                 leave(depth, depth)
                 depth -= 1
         elif tag == "a":
@@ -113,23 +164,21 @@ def table_cells(html: str, in_table: bool) -> list[list[dict]]:
 
 
 def cells_of(content: bytes) -> list[list[dict]]:
-    """Rows of cells of one payload; a session page has none.
-
-    List payloads are bare <tr> runs without a <table>, so unless a table opens
-    near the start the whole payload is read as the inside of one."""
+    """Rows of cells of one payload; a session page has none."""
     if content[:2] == b"\x1f\x8b":
         content = gzip.decompress(content)
     html = content.decode("utf-8", errors="replace")
     if EXPIRED_MARK in html:
         return []
-    return table_cells(html, in_table="<table" not in html[:200].lower())
+    return table_cells(html)
 
 
 def labelled(rows: list[list[dict]]) -> dict[str, str]:
     """Label -> value of a detail page: a cell ending in ':' labels the next cell.
 
     Cells pair up by position, so added or reordered rows do no harm; the first
-    occurrence of a label wins."""
+    occurrence of a label wins. Line breaks inside a label vary, so labels are
+    compared without white space."""
     fields: dict[str, str] = {}
     for row in rows:
         label = None
@@ -137,7 +186,7 @@ def labelled(rows: list[list[dict]]) -> dict[str, str]:
             if label is None:
                 text = " ".join(" ".join(cell["texts"]).split())
                 if text.endswith(":"):
-                    label = text.rstrip(":").strip().lower()
+                    label = "".join(text.rstrip(":").split()).lower()
                 continue
             if label:
                 lines = (" ".join(x.split()) for x in "\n".join(cell["texts"]).split("\n"))
@@ -149,11 +198,9 @@ def labelled(rows: list[list[dict]]) -> dict[str, str]:
 def _read(content: bytes, kind: str) -> tuple:
     rows = cells_of(content)
     if kind != "detail":
-        return rows, None, None, None
-    fields = labelled(rows)
-    squashed = {"".join(k.split()): v for k, v in fields.items()}
+        return rows, None, None
     lots = [r for r in rows if len(r) == LOT_CELLS]
-    return lots, list(fields.items()), list(squashed.items()), None
+    return lots, list(labelled(rows).items()), None
 
 
 def tokenize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +214,9 @@ def tokenize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             try:
                 out.append(_read(content, kind))
             except Exception as exc:  # noqa: BLE001
-                out.append((None, None, None, f"{type(exc).__name__}: {exc}"))
+                out.append((None, None, f"{type(exc).__name__}: {exc}"))
         kept = [n for n in batch.schema.names if n != "content"]
-        columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], [], []), (
-            _ROWS, _MAP, _MAP, pa.string()), strict=True)]
+        columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), (
+            _ROWS, _MAP, pa.string()), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(n) for n in kept] + columns, names=kept + [f.name for f in TOKENIZED])

@@ -54,6 +54,7 @@ LABELS = {
 class ParseResult(NamedTuple):
     records: DataFrame
     failures: DataFrame
+    awards: DataFrame    # contract awards
 
 
 # ------------------------------------------------------------------ cells
@@ -221,12 +222,9 @@ def parse_offline(cells: DataFrame, as_of: Column, base_url: str) -> DataFrame:
     return as_observations(df)
 
 
-def first_present(fields: Column, squashed: Column, *labels: str) -> Column:
-    found = []
-    for label in labels:
-        found.append(blank_to_null(F.try_element_at(fields, F.lit(label))))
-        found.append(blank_to_null(F.try_element_at(squashed, F.lit("".join(label.split())))))
-    return F.coalesce(*found)
+def labelled_value(fields: Column, labels: list[str]) -> Column:
+    """The value of the first of the labels that a detail page has, blanks apart."""
+    return F.coalesce(*[blank_to_null(F.try_element_at(fields, F.lit("".join(x.split())))) for x in labels])
 
 
 def lots(rows: Column) -> Column:
@@ -247,9 +245,7 @@ def lots(rows: Column) -> Column:
 def parse_detail(cells: DataFrame, as_of: Column, base_url: str) -> DataFrame:
     """Detail pages -> full observations."""
     df = cells.filter(F.cardinality("fields") > 0).withColumn("lots", lots(F.col("rows")))
-    get = {name: first_present(F.col("fields"), F.col("squashed"), *labels)
-           for name, labels in LABELS.items()}
-    df = df.select("*", *[get[n].alias(f"f_{n}") for n in LABELS])
+    df = df.select("*", *[labelled_value(F.col("fields"), labels).alias(f"f_{n}") for n, labels in LABELS.items()])
     f = lambda name: F.col(f"f_{name}")
     package_no, description = split_package(f("package"))
     df = (df.select("*", package_no.alias("package_no"), description.alias("description"))
@@ -321,6 +317,10 @@ PARSERS: dict[tuple[str, str], Parser] = {
     ("etender", "detail"): parse_detail,
     ("offline", "list"): parse_offline,
 }
+# The same for sources whose pages hold awards.
+AWARD_PARSERS: dict[tuple[str, str], Callable[[DataFrame, str], DataFrame]] = {
+    ("awards", "list"): parse_awards,
+}
 
 
 def _records(cells_of: Callable[[Column], DataFrame], as_of: Column, base_url: str,
@@ -332,6 +332,12 @@ def _records(cells_of: Callable[[Column], DataFrame], as_of: Column, base_url: s
     return reduce(DataFrame.unionByName, parts)
 
 
+def _awards(cells_of: Callable[[Column], DataFrame], base_url: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [
+        parser(cells_of((F.col("source_key") == source) & (F.col("kind") == kind)).filter("error IS NULL"), base_url)
+        for (source, kind), parser in AWARD_PARSERS.items()])
+
+
 def parse_payloads(payloads: DataFrame, as_of: Column, base_url: str = "",
                    parsers: dict[tuple[str, str], Parser] | None = None) -> ParseResult:
     """Parse every payload with the projection registered for its source and kind.
@@ -340,14 +346,16 @@ def parse_payloads(payloads: DataFrame, as_of: Column, base_url: str = "",
     tokenized once and the archive's partitions are pruned. A payload that
     cannot be read lands in ``failures`` and stops nothing. Callers that write
     both outputs should tokenize once and use :func:`parse_cells`."""
-    records = _records(lambda mine: tokenized(payloads.filter(mine)), as_of, base_url, parsers)
-    return ParseResult(records, failures(tokenized(payloads)))
+    cells_of = lambda mine: tokenized(payloads.filter(mine))
+    return ParseResult(_records(cells_of, as_of, base_url, parsers), failures(tokenized(payloads)),
+                       _awards(cells_of, base_url))
 
 
 def parse_cells(cells: DataFrame, as_of: Column, base_url: str = "",
                 parsers: dict[tuple[str, str], Parser] | None = None) -> ParseResult:
     """As :func:`parse_payloads`, from stored or checkpointed :func:`tokenized` rows."""
-    return ParseResult(_records(cells.filter, as_of, base_url, parsers), failures(cells))
+    return ParseResult(_records(cells.filter, as_of, base_url, parsers), failures(cells),
+                       _awards(cells.filter, base_url))
 
 
 def failures(cells: DataFrame) -> DataFrame:

@@ -9,50 +9,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from noticelake.operators import alerts, embedding, filters, matching, metrics
-from noticelake.sources.tables import path_exists, publish_snapshot, read_snapshot
-from noticelake.streaming.jobs import run_stages
+from noticelake.sources.tables import publish_snapshot, read_snapshot
+from noticelake.streaming.jobs import alert_log, run_stages
 
 MATCH = ("user_id long, notice_id long, score double, layer2_score double, "
          "reasons struct<matched_by: string, similarity: double, floor: double>")
 VECTOR = "id long, embedding array<float>, model string, source_text string, text_digest string"
-ALERT = ("alert_id long, user_id long, channel string, notice_ids array<bigint>, "
-         "created_at timestamp, sent_at timestamp, day string")
 
 
 def daily(spark: SparkSession, path: str, notices: DataFrame, profiles: DataFrame, users: DataFrame,
-          verdicts: DataFrame, as_of: str, embed_limit: int | None = None) -> dict[str, str | None]:
-    """Run the chain over the tables below ``path``; returns each stage's error."""
+          verdicts: DataFrame, as_of: str, embed_limit: int | None = None,
+          vectorizer: embedding.Vectorizer | None = None, model: str = embedding.MODEL) -> dict[str, str | None]:
+    """Run the chain over the tables below ``path``; returns each stage's error.
+
+    Digest rows are written before anything is sent; what the sender appends to
+    ``path``/alerts/outcomes decides, so a digest that was not sent comes back."""
     day = as_of[:10]
 
     def table(name: str, schema: str) -> DataFrame:
         df = read_snapshot(spark, f"{path}/{name}")
         return spark.createDataFrame([], schema) if df is None else df
 
-    def alert_log() -> DataFrame:
-        folder = f"{path}/alerts"
-        log = (spark.read.schema(ALERT).parquet(folder) if path_exists(spark, folder)
-               else spark.createDataFrame([], ALERT))
-        return log.filter(F.col("day") != day)
-
     def embed() -> None:
         held = table("embeddings", VECTOR)
-        todo = embedding.needs_embedding(notices, held, limit=embed_limit)
-        publish_snapshot(embedding.upsert_embeddings(held, embedding.embed(todo)), f"{path}/embeddings")
+        todo = embedding.needs_embedding(notices, held, model, embed_limit)
+        publish_snapshot(embedding.upsert_embeddings(held, embedding.embed(todo, vectorizer, model)), f"{path}/embeddings")
 
     def match() -> None:
         held = table("matches", MATCH)
         active = profiles.join(filters.active_users(users).select("user_id"), "user_id", "left_semi")
         fresh = matching.match_all(
-            notices, active, table("embeddings", VECTOR), embedding.embed_profiles(active), as_of,
-            embedding.MODEL, seen=[held, verdicts]).select(*held.columns)
+            notices, active, table("embeddings", VECTOR), embedding.embed_profiles(active, vectorizer, model), as_of,
+            model, seen=[held, verdicts]).select(*held.columns)
         publish_snapshot(matching.upsert_matches(held, fresh), f"{path}/matches")
 
     def digest() -> None:
-        unsent = alerts.unsent_matches(table("matches", MATCH), notices, alert_log(), as_of)
+        log = alert_log(spark, f"{path}/alerts").filter(F.col("batch") != day)
+        unsent = alerts.unsent_matches(table("matches", MATCH), notices, log, as_of)
         groups = alerts.digests(unsent, filters.digest_recipients(users))
         rows = alerts.alert_rows(groups, "email", F.lit(as_of).cast("timestamp"))
-        rows.withColumn("sent_at", F.lit(as_of).cast("timestamp")).write.mode("overwrite").parquet(
-            f"{path}/alerts/day={day}")
+        rows.write.mode("overwrite").parquet(f"{path}/alerts/log/batch={day}")
 
     def measure() -> None:
         metrics.match_precision(verdicts).withColumn("day", F.lit(day)).write.mode(

@@ -36,29 +36,55 @@ def start(writer: DataStreamWriter, checkpoint: str, interval: str | None = None
     return writer.trigger(**trigger).start()
 
 
-def ingest(payloads: DataFrame, path: str, as_of: Column, base_url: str = "",
-           **options) -> DataStreamWriter:
-    """Archive, parse and merge payloads as they arrive.
+def batch_name(batch: DataFrame, stream: str, batch_id: int) -> str:
+    """A name that no other batch has: batch numbers start again with every checkpoint
+    folder and in every stream, the id of a query is kept in its checkpoint."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{stream}-{query or 'batch'}-{batch_id}"
+
+
+def ingest(payloads: DataFrame, path: str, as_of: Column, base_url: str = "", stream: str = "ingest",
+           full_sweep: bool = True, **options) -> DataStreamWriter:
+    """Archive, parse and merge payloads as they arrive, and close the run.
 
     The raw payload is stored before it is parsed, and tokenized once for
-    records and failures."""
+    records, awards and failures. A run row per source says what the batch
+    brought and did and whether its yield fell; a batch that is replayed after its
+    commit adds nothing. ``full_sweep`` says that a batch is a whole sweep, and so
+    may serve later ones as a yardstick."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        archive.archive_payloads(batch, f"{path}/archive", str(batch_id))
+        spark, name = batch.sparkSession, batch_name(batch, stream, batch_id)
+        archive.archive_payloads(batch, f"{path}/archive", name)
         cells = cut_lineage(parse.tokenized(batch))
         result = parse.parse_cells(cells, as_of, base_url)
-        result.failures.write.mode("overwrite").parquet(f"{path}/failures/batch={batch_id}")
-        merge.merge_into(path, result.records, str(batch_id), **options)
+        result.failures.write.mode("overwrite").parquet(f"{path}/failures/batch={name}")
+        result.awards.write.mode("overwrite").parquet(f"{path}/award_pages/batch={name}")
+        merged = merge.merge_into(path, result.records, name, **options)
+        if merged is not None:
+            rows = metrics.ingest_runs(batch, cells, result.records, result.failures, merged).withColumns({
+                "run_id": F.xxhash64(F.lit(name), "source_key"), "finished_at": as_of, "is_full_sweep": F.lit(full_sweep)})
+            history = run_log(spark, path).filter(F.col("batch") != name)
+            metrics.yield_verdicts(rows, history).write.mode("overwrite").parquet(f"{path}/runs/batch={name}")
 
     return payloads.writeStream.foreachBatch(run)
 
 
-def merge_stream(observations: DataFrame, path: str, **options) -> DataStreamWriter:
+RUN = ("run_id long, source_key string, started_at timestamp, finished_at timestamp, status string, "
+       "is_full_sweep boolean, items_found long, batch string")
+
+
+def run_log(spark: SparkSession, path: str) -> DataFrame:
+    folder = f"{path}/runs"
+    return spark.read.schema(RUN).parquet(folder) if path_exists(spark, folder) else spark.createDataFrame([], RUN)
+
+
+def merge_stream(observations: DataFrame, path: str, stream: str = "merge", **options) -> DataStreamWriter:
     """Fold observations into current state and versions, batch by batch.
 
     Observations older than what is stored for their notice arrive late; the
     fold lets them fill gaps and never overwrite."""
     return observations.writeStream.foreachBatch(
-        lambda batch, batch_id: merge.merge_into(path, batch, str(batch_id), **options))
+        lambda batch, batch_id: merge.merge_into(path, batch, batch_name(batch, stream, batch_id), **options))
 
 
 def dedup(payloads: DataFrame, horizon: str = "1 day") -> DataFrame:
@@ -103,20 +129,21 @@ def subscription_health(sends: DataFrame) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failures, retired, success = state.get if state.exists else (0, None, None)
-        for event in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples():
-            if event.outcome == "ok":
-                success = event.ts
-            if event.outcome == "subscribe":
-                failures, retired = 0, None
-            elif retired is not None:
-                continue
-            elif event.outcome == "ok":
-                failures = 0
-            elif event.outcome == "gone":
-                retired = event.ts
-            else:
-                failures += 1
-                retired = event.ts if failures >= MAX_FAILURES else None
+        events = pd.concat(list(batches)).sort_values(["ts", "seq"], ignore_index=True)
+        good = events[events["outcome"] == "ok"]
+        success = good["ts"].iloc[-1] if len(good) else success
+        # A subscription starts afresh: only what follows the last one counts.
+        renewed = events.index[events["outcome"] == "subscribe"]
+        if len(renewed):
+            failures, retired, events = 0, None, events.loc[renewed[-1] + 1:]
+        if retired is None and len(events):
+            bad = ~events["outcome"].isin(["ok", "gone"])
+            run = (events["outcome"] == "ok").cumsum()
+            streak = bad.groupby(run).cumsum() + failures * (run == 0)
+            over = events.index[(events["outcome"] == "gone") | bad & (streak >= MAX_FAILURES)]
+            last = over[0] if len(over) else events.index[-1]
+            retired = events.at[last, "ts"] if len(over) else None
+            failures = int(streak.at[last])
         state.update((failures, retired, success))
         yield pd.DataFrame({
             "endpoint": [key[0]], "failure_count": [failures],
@@ -128,24 +155,36 @@ def subscription_health(sends: DataFrame) -> DataFrame:
 
 
 def urgent_alerts(matches: DataFrame, notices: DataFrame, users: DataFrame, path: str, as_of: str,
-                  **options) -> DataStreamWriter:
+                  stream: str = "push", **options) -> DataStreamWriter:
     """Alert rows for newly matched notices that close soon, each pair once.
 
-    The alert log itself tells what was sent; a replayed batch ignores its own
-    earlier rows and rewrites them."""
+    The alert log below ``path``/log and the outcomes that the sender appends to
+    ``path``/outcomes tell what went out: a failed push frees its notices again. A
+    replayed batch ignores its own earlier rows and rewrites them."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        schema = ("alert_id long, user_id long, channel string, notice_ids array<bigint>, "
-                  "created_at timestamp, batch long")
-        log = (spark.read.schema(schema).parquet(path) if path_exists(spark, path)
-               else spark.createDataFrame([], schema)).filter(F.col("batch") < batch_id)
+        spark, name = batch.sparkSession, batch_name(batch, stream, batch_id)
+        log = alert_log(spark, path).filter(F.col("batch") != name)
         fresh = alerting.urgent_matches(batch, notices, users, log, as_of, **options)
         rows = alerting.alert_rows(alerting.group_alert_ids(fresh), "push", F.lit(as_of).cast("timestamp"))
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{path}/log/batch={name}")
 
     return matches.writeStream.foreachBatch(run)
 
 
+ALERT = ("alert_id long, user_id long, channel string, notice_ids array<bigint>, created_at timestamp, batch string")
+OUTCOME = "alert_id long, ts timestamp, outcome string, error string"
+
+
+def alert_log(spark: SparkSession, path: str) -> DataFrame:
+    """Alert rows with what became of them: sent_at, opened_at, error."""
+    def table(name: str, schema: str) -> DataFrame:
+        folder = f"{path}/{name}"
+        return (spark.read.schema(schema).parquet(folder) if path_exists(spark, folder)
+                else spark.createDataFrame([], schema))
+
+    return alerting.alerts_with_outcome(table("log", ALERT), table("outcomes", OUTCOME))
+
+
 def run_stages(stages: dict[str, Callable[[], object]]) -> dict[str, str | None]:
     """Run the stages in order; one that fails does not stop the rest.
 

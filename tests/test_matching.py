@@ -49,7 +49,7 @@ def brute(notices, users, seen=frozenset(), limit=500):
     return out
 
 
-@pytest.mark.parametrize("limit,cell_rows", [(10, 12), (10, 3), (500, None)])
+@pytest.mark.parametrize("limit,cell_rows", [(10, 12), (10, 3), (500, None), (1500, None)])
 def test_candidates_are_exact_however_the_cells_are_cut(spark, limit, cell_rows):
     notices, users = data(limit + (cell_rows or 0))
     # Every notice has a method here: the wildcard covers unknown ones as well.
@@ -89,11 +89,47 @@ def arms(spark, vector, keyword):
     return [r.asDict() for r in M.fuse(v, k).orderBy("position").collect()]
 
 
-def test_agreement_of_both_arms_wins(spark):
-    rows = arms(spark, [(1, .9), (2, .8)], [(2, .5), (3, .4)])
-    assert [r["notice_id"] for r in rows] == [2, 1, 3]
-    assert [r["reasons"]["matched_by"] for r in rows] == ["both", "semantic", "keyword"]
-    assert rows[0]["score"] == pytest.approx(1 / 62 + 1 / 61)
+@pytest.mark.parametrize("seed", range(4))
+def test_fusion_equals_a_plain_loop(spark, seed):
+    r = random.Random(seed)
+    vector, keyword = ([(i, round(r.uniform(0.2, 1), 3)) for i in r.sample(range(30), r.randint(1, 12))] for _ in range(2))
+    vector.sort(key=lambda x: -x[1])
+    floor = max(M.ABSOLUTE_FLOOR, M.RELATIVE_FLOOR * vector[0][1])
+    want = {}
+    for position, (i, s) in enumerate(vector):
+        if s >= floor or i in dict(keyword):
+            want[i] = want.get(i, 0) + 1 / (M.RRF_K + position + 1)
+    for position, (i, _) in enumerate(keyword):
+        want[i] = want.get(i, 0) + 1 / (M.RRF_K + position + 1)
+    order = sorted(want, key=lambda i: (-want[i], i))[:M.MATCH_LIMIT]
+    rows = arms(spark, vector, keyword)
+    assert [row["notice_id"] for row in rows] == order
+    assert [row["score"] for row in rows] == pytest.approx([want[i] for i in order])
+    by = {row["notice_id"]: row["reasons"]["matched_by"] for row in rows}
+    assert all(by[i] == ("both" if i in dict(vector) and i in dict(keyword) else "semantic" if i in dict(vector) else "keyword") for i in order)
+
+
+def test_wildcard_signs_in_the_data_are_plain_values(spark):
+    notices = [(1, "live", T0 + timedelta(days=2), "*", "goods", "OTM", None, T0), (2, "live", T0 + timedelta(days=2), "?", "goods", "OTM", None, T0)]
+    users = [(1, ["*", "Q"], [], [], None, None), (2, ["?"], [], [], None, None), (3, ["Q"], [], [], None, None)]
+    n, u = frames(spark, notices, users)
+    assert sorted((r.user_id, r.notice_id) for r in M.candidates(n, u, AS_OF).collect()) == [(1, 1), (2, 2)]
+
+
+def test_all_keywords_count(spark):
+    pairs = spark.createDataFrame([(1, 7)], "user_id long, notice_id long")
+    words = [f"w{i}" for i in range(30)]
+    counts = spark.createDataFrame([(7, {w: 2 for w in words})], "notice_id long, counts map<string, long>")
+    keywords = spark.createDataFrame([(1, w) for w in words], "user_id long, word string")
+    assert M.keyword_arm(pairs, counts, keywords).first().hits == 60
+
+
+def test_vectors_of_another_model_are_not_compared(spark):
+    pairs = spark.createDataFrame([(1, 7)], "user_id long, notice_id long")
+    notice = spark.createDataFrame([(7, [1.0, 0.0], "m")], "id long, embedding array<float>, model string")
+    mine = spark.createDataFrame([(1, [1.0, 0.0], "other")], "user_id long, embedding array<float>, model string")
+    assert M.vector_arm(pairs, notice, mine, "m").isEmpty()
+    assert M.vector_arm(pairs, notice, mine.withColumn("model", F.lit("m")), "m").count() == 1
 
 
 def test_floor_is_relative_and_spares_keyword_hits(spark):

@@ -31,7 +31,7 @@ def empty(spark):
 
 
 def merged(spark, rows, current=None, **options):
-    options.setdefault("hot_rows", None)
+    options = {"hot_rows": None, "always_latest": ()} | options
     return M.merge_observations(current if current is not None else empty(spark), frame(spark, rows), **options)
 
 
@@ -112,9 +112,11 @@ def test_two_batches_equal_one(spark, options):
     assert key(both) == key(whole)
 
 
-def test_copies_collapse_but_are_counted(spark):
+@pytest.mark.parametrize("hot_rows", [None, 0, 10, 1000])
+def test_copies_collapse_but_are_counted(spark, hot_rows):
     rows = [observation("a", 1, title="A")] * 50 + [observation("a", 2, at=T0 + timedelta(hours=2), title="B")]
-    result = merged(spark, rows, hot_rows=10)
+    result = merged(spark, rows, hot_rows=hot_rows)
+    assert result.outcomes.count() == 3
     n = {r.outcome: r.n for r in result.outcomes.groupBy("outcome").agg(F.sum("n").alias("n")).collect()}
     assert n == {"new": 1, "unchanged": 49, "changed": 1}
 
@@ -127,7 +129,7 @@ def test_ten_list_sweeps_after_a_detail_make_no_version(spark):
     assert result.current.first().title == "Proper Title"
 
 
-@pytest.mark.parametrize("late,expected", [((), "2026-01-05"), (("status", "closing_at"), "2026-01-09")])
+@pytest.mark.parametrize("late,expected", [((), "2026-01-05"), (M.ALWAYS_LATEST, "2026-01-09")])
 def test_always_latest_fields_follow_the_list(spark, late, expected):
     rows = [observation("a", 0, "detail", closing_at=datetime(2026, 1, 5)),
             observation("a", 1, at=T0 + timedelta(hours=1), closing_at=datetime(2026, 1, 9))]
@@ -172,3 +174,16 @@ def test_merge_job_is_idempotent_per_batch(spark, tmp_path):
     counts = M.merge_into(path, frame(spark, again), "1", hot_rows=None)
     assert {r.outcome for r in counts.collect()} == {"unchanged"}
     assert tables.current_version(spark, f"{path}/notices") == 2
+
+
+def test_streams_and_restarts_do_not_share_batch_names(spark, tmp_path):
+    from noticelake.streaming import jobs
+    for n, (stream, folder) in enumerate([("a", "one"), ("b", "two"), ("a", "fresh")]):
+        rows = frame(spark, [observation(f"k{n}", n, title="T")])
+        rows.write.parquet(str(tmp_path / folder / "in"))
+        source = spark.readStream.schema(S.OBSERVATION).parquet(str(tmp_path / folder / "in"))
+        writer = jobs.merge_stream(source, str(tmp_path / "out"), stream, hot_rows=None)
+        for _ in range(2):  # the second start finds its own batch done
+            query = jobs.start(writer, str(tmp_path / folder / "checkpoint"))
+            assert query.awaitTermination(300) and query.exception() is None
+    assert {r.external_ref for r in tables.read_snapshot(spark, str(tmp_path / "out" / "notices")).collect()} == {"k0", "k1", "k2"}

@@ -54,10 +54,14 @@ def test_ingest_archives_parses_and_merges(spark, tmp_path):
     feed(spark.createDataFrame(rows, PAYLOAD), str(tmp_path / "in"), 1, "url")
     out = str(tmp_path / "out")
     source = J.read_payload_stream(spark, str(tmp_path / "in"))
-    run(J.ingest(source, out, F.lit(datetime(2026, 9, 14)), hot_rows=None), tmp_path, "i")
-    assert {r.external_ref for r in tables.read_snapshot(spark, f"{out}/notices").collect()} == {"1330849", "888"}
+    run(J.ingest(source, out, F.lit(datetime(2027, 4, 1)), hot_rows=None), tmp_path, "i")
+    assert {r.external_ref for r in tables.read_snapshot(spark, f"{out}/notices").collect()} == {"4400021", "5001"}
     assert [r.url for r in spark.read.parquet(f"{out}/failures").collect()] == ["b"]
     assert spark.read.parquet(f"{out}/archive/blobs").count() == 3
+    runs = {r.source_key: r for r in spark.read.parquet(f"{out}/runs").collect()}
+    assert (runs["etender"].pages, runs["etender"].parse_failures, runs["etender"].status) == (2, 1, "partial")
+    assert (runs["offline"].items_found, runs["offline"].items_new, runs["offline"].rows_dropped) == (1, 1, 0)
+    assert runs["offline"].yield_anomaly is None
 
 
 def test_dedup_within_the_horizon(spark, tmp_path):
@@ -114,8 +118,15 @@ def test_urgent_alerts_go_out_once(spark, tmp_path):
     source = stream(spark, matches.withColumn("o", F.lit(1).cast("long")).schema, str(tmp_path / "in")).drop("o")
     out = str(tmp_path / "alerts")
     run(J.urgent_alerts(source, notices, users, out, "2026-01-01 00:00:00"), tmp_path, "u")
-    sent = [(r.user_id, i) for r in spark.read.parquet(out).collect() for i in r.notice_ids]
-    assert sorted(sent) == [(1, 0), (1, 1), (1, 2)]
+    log = J.alert_log(spark, out)
+    assert sorted((r.user_id, i) for r in log.collect() for i in r.notice_ids) == [(1, 0), (1, 1), (1, 2)]
+    assert log.filter("sent_at IS NOT NULL").isEmpty()
+    # One push fails: its notices are free again, in a later stream with its own checkpoint.
+    failed = log.orderBy("alert_id").first()
+    spark.createDataFrame([(failed.alert_id, T0, "failed", "gone")], J.OUTCOME).write.mode("append").parquet(f"{out}/outcomes")
+    run(J.urgent_alerts(source, notices, users, out, "2026-01-01 00:00:01"), tmp_path, "again")
+    sent = sorted((r.user_id, i) for r in J.alert_log(spark, out).collect() for i in r.notice_ids)
+    assert sent == sorted([(1, 0), (1, 1), (1, 2)] + [(failed.user_id, i) for i in failed.notice_ids])
 
 
 def test_stages_fail_alone():
@@ -130,9 +141,15 @@ def test_daily_chain_twice(spark, tables, tmp_path):
                             F.lit("a@b.c").alias("email"), F.lit(T0).alias("verified_at"))
     verdicts = spark.createDataFrame([], "user_id long, notice_id long, verdict string")
     path = str(tmp_path)
-    for as_of in ("1998-01-01 00:00:00", "1998-01-02 00:00:00"):
+    log = lambda: J.alert_log(spark, f"{path}/alerts")
+    for as_of in ("1998-01-01 00:00:00", "1998-01-02 00:00:00", "1998-01-03 00:00:00"):
         errors = D.daily(spark, path, corpus, profiles, users, verdicts, as_of)
         assert set(errors.values()) == {None}, errors
-    alerts = spark.read.parquet(f"{path}/alerts")
-    items = alerts.select("user_id", F.explode("notice_ids").alias("n"))
-    assert items.count() > 0 and items.count() == items.distinct().count()
+        fresh = log().filter(F.col("batch") == as_of[:10])
+        outcome = "failed" if as_of < "1998-01-02" else "sent"
+        fresh.select("alert_id", F.lit(as_of).cast("timestamp").alias("ts"), F.lit(outcome).alias("outcome"),
+                     F.lit(None).cast("string").alias("error")).write.mode("append").parquet(f"{path}/alerts/outcomes")
+    days = {d: {(r.user_id, i) for r in log().filter(F.col("batch") == d).collect() for i in r.notice_ids}
+            for d in ("1998-01-01", "1998-01-02", "1998-01-03")}
+    # The first day's mail failed and comes back; what was sent does not.
+    assert days["1998-01-01"] and days["1998-01-01"] == days["1998-01-02"] and not days["1998-01-02"] & days["1998-01-03"]
