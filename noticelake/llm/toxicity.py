@@ -59,7 +59,7 @@ def _logistic(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def informative(rows: list[tuple[np.ndarray, int]], most: int = TERMS, least: float = 12.0, least_rows: int = 4) -> np.ndarray:
+def informative(rows: list[tuple[np.ndarray, int]], most: int = TERMS, least: float = 8.0, least_rows: int = 2) -> np.ndarray:
     """Buckets in ``least_rows`` documents or more whose likelihood ratio passes ``least``."""
     y = np.array([label for _, label in rows])
     seen = np.zeros((2, BUCKETS))
