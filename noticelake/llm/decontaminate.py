@@ -13,7 +13,7 @@ paraphrase. The answer is the column ``answer`` of the benchmark, or else the la
 
 What the driver holds grows with the benchmark alone, which is taken in groups of
 bounded size: a matrix of terms by ``WIDTH``. Terms in more than ``STOP`` of the
-passages are left out of the vectors, but for items that would keep too few; items are
+passages are left out of the vectors, but for the rarest ``RAREST`` of an item; items are
 compared word by word with all of their words. Items longer than the longest window
 are cut into overlapping passages, of which one is enough. Items of fewer than ``LEAST``
 words are no evidence and are left out, as are null items and null texts. Rows with
@@ -42,6 +42,7 @@ SHARED = 2
 SAME, ALIKE = 0.8, 0.6
 ANSWER = 5
 LEAST = 8
+RAREST = 12
 GROUP_WORDS = 200_000
 
 
@@ -187,13 +188,14 @@ def latent(docs: DataFrame, weights: np.ndarray) -> np.ndarray:
 
 
 def weighting(found: Index, counts: np.ndarray, passages: int) -> np.ndarray:
-    """Inverse document frequencies, zero for stop terms that are not among the rarest
-    ``LEAST`` of an item."""
+    """Inverse document frequencies, zero for stop terms that are not among the
+    ``RAREST`` of those of an item that occur at all."""
     idf = np.log((1 + passages) / (1 + counts))
     stop = counts > STOP * passages
     for p in found.passages:
         rarest = np.unique(p.terms)
-        stop[rarest[np.argsort(counts[rarest], kind="stable")[:LEAST]]] = False
+        rarest = rarest[counts[rarest] > 0]
+        stop[rarest[np.argsort(counts[rarest], kind="stable")[:RAREST]]] = False
     return np.where(stop, 0, np.maximum(idf, 0.01)).astype(np.float32)
 
 
