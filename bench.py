@@ -20,7 +20,8 @@ HEADLINE = [
     "candidates_all_users", "candidate_counts", "hybrid_matches",
     "merge_current", "merge_versions", "unsent_matches", "urgent_alert_groups",
     "subscription_health", "yield_anomalies", "award_competition", "top_winners",
-    "normalize_text", "hashing_vectors", "parse_list_pages", "parse_detail_pages", "new_blobs",
+    "merge_hot_keys", "match_report", "typical_award_value", "parse_award_pages", "award_links",
+    "replay_failed_payloads", "normalize_text", "hashing_vectors", "embed_newest", "parse_list_pages", "parse_detail_pages", "new_blobs",
 ]
 
 

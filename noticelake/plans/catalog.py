@@ -636,6 +636,76 @@ def _(t):
     return r.select(C("items_new").cast("int"), C("items_changed").cast("int"), "idempotent")
 
 
+_CURRENT = CATALOG["merge_current"].oracle
+
+
+def _two_batches(t: Tables) -> tuple[merge.MergeResult, merge.MergeResult]:
+    """Sweeps 0 and 1 stored, then sweeps 2 and 3 merged into them."""
+    observations = parse.as_observations(t.observations())
+    early = C("raw_document_id") % 4 < 2
+    first = merge.merge_observations(t.spark.createDataFrame([], NOTICE), observations.filter(early), always_latest=(), hot_rows=None)
+    return first, merge.merge_observations(first.current, observations.filter(~early), always_latest=(), hot_rows=None)
+
+
+@query("merge_second_batch_current")
+def _(t):
+    first, second = _two_batches(t)
+    return merge.apply_merge(first.current, second.current).select(
+        "source_key", "external_ref", "title", "package_no", "description", "district",
+        dbl("tender_security").alias("tender_security"), stamp("closing_at").alias("closing_at"),
+        "status", "canonical_hash", stamp("last_seen_at").alias("last_seen_at"),
+        C("version_no").cast("long").alias("version_no"))
+
+
+CATALOG["merge_second_batch_current"] = CATALOG["merge_second_batch_current"]._replace(oracle=_CURRENT)
+
+
+@query("merge_second_batch_versions", """
+SELECT external_ref, version_no, change_type, old_title, new_title FROM (
+  SELECT external_ref, k, row_number() OVER (PARTITION BY external_ref ORDER BY k) AS version_no, change_type,
+    CASE WHEN s_title IS DISTINCT FROM old_title THEN old_title END AS old_title,
+    CASE WHEN s_title IS DISTINCT FROM old_title THEN s_title END AS new_title
+  FROM (SELECT *, lag(s_title) OVER (PARTITION BY external_ref ORDER BY k) AS old_title FROM outcomes)
+  WHERE outcome <> 'unchanged') WHERE k >= 2""")
+def _(t):
+    title = C("changed_fields")["title"]
+    return _two_batches(t)[1].versions.select(
+        "external_ref", C("version_no").cast("long").alias("version_no"), "change_type",
+        title["old"].alias("old_title"), title["new"].alias("new_title"))
+
+
+@query("merge_second_batch_outcomes", """
+SELECT external_ref, kind, outcome, count(*) AS n FROM (SELECT external_ref, outcome,
+  CASE WHEN detail THEN 'detail' ELSE 'list' END AS kind FROM outcomes WHERE k >= 2) GROUP BY ALL""")
+def _(t):
+    return _two_batches(t)[1].outcomes.groupBy("external_ref", "kind", "outcome").agg(F.sum("n").alias("n"))
+
+
+@query("fold_rows", """
+SELECT path, external_ref, k, outcome, CASE WHEN k = 1 THEN 3 ELSE 1 END AS copies
+FROM outcomes, (VALUES ('ordinary'), ('hot')) p(path)""")
+def _(t):
+    # The second sweep arrives three times; no path may show it in the number of rows.
+    observations = parse.as_observations(t.observations())
+    second = observations.filter("raw_document_id % 4 = 1")
+    observations = observations.unionByName(second).unionByName(second)
+    empty = t.spark.createDataFrame([], NOTICE)
+    fold = lambda path, hot: merge.fold_observations(empty, observations, (), hot, 86400).select(
+        F.lit(path).alias("path"), "external_ref", _sweep(), "outcome", C("_copies").alias("copies"))
+    return fold("ordinary", None).unionByName(fold("hot", 0))
+
+
+@query("merge_latest_fields", f"""
+SELECT external_ref, s_title AS title, {ts('closing_at')} AS closing_at, status FROM (
+  SELECT external_ref, k, s_title, last_value(b.closing_at IGNORE NULLS) OVER w AS closing_at, last_value(b.status IGNORE NULLS) OVER w AS status
+  FROM outcomes JOIN (SELECT external_ref, k, closing_at, status FROM observations) b USING (external_ref, k)
+  WINDOW w AS (PARTITION BY external_ref ORDER BY k)) WHERE k = 3""")
+def _(t):
+    observations = parse.as_observations(t.observations())
+    merged = merge.merge_observations(t.spark.createDataFrame([], NOTICE), observations, hot_rows=None)
+    return merged.current.select("external_ref", "title", stamp("closing_at").alias("closing_at"), "status")
+
+
 @query("merge_run_report", """
 SELECT k AS sweep, count(*) FILTER (NOT detail) AS items_found, count(*) FILTER (outcome = 'new') AS items_new,
   count(*) FILTER (outcome = 'changed') AS items_changed, count(*) FILTER (outcome = 'unchanged') AS items_unchanged
@@ -726,6 +796,22 @@ def _(t):
     return alerts.unsent_matches(t.matches(), t.notices(), t.alerts(), AS_OF).select("user_id", "notice_id", "position")
 
 
+@query("resend_after_failure", f"""
+SELECT user_id, notice_id, position FROM (SELECT m.user_id, m.notice_id,
+    row_number() OVER (PARTITION BY m.user_id ORDER BY m.score DESC, n.closing_at, m.notice_id) AS position
+  FROM matches m JOIN notices n ON n.id = m.notice_id WHERE n.status = 'live' AND n.closing_at > {SQL_AS_OF}
+    AND NOT EXISTS (SELECT 1 FROM (SELECT alert_id, user_id, unnest(notice_ids) AS notice_id FROM alerts) a
+      WHERE a.user_id = m.user_id AND a.notice_id = m.notice_id AND a.alert_id % 2 = 0))
+WHERE position <= 10""")
+def _(t):
+    # Alerts are written unsent; those with an odd number fail and their notices come back.
+    written = t.alerts().select("alert_id", "user_id", "notice_ids", F.lit("email").alias("channel"))
+    outcomes = written.select("alert_id", as_of().alias("ts"), F.when(
+        C("alert_id") % 2 == 0, "sent").otherwise("failed").alias("outcome"), F.lit("bounced").alias("error"))
+    log = alerts.alerts_with_outcome(written, outcomes)
+    return alerts.unsent_matches(t.matches(), t.notices(), log, AS_OF).select("user_id", "notice_id", "position")
+
+
 @query("digests", f"""
 SELECT user_id, string_agg(CAST(notice_id AS VARCHAR), ',' ORDER BY position) AS notice_ids, count(*) AS n
 FROM (SELECT m.user_id, m.notice_id, row_number() OVER (PARTITION BY m.user_id ORDER BY m.score DESC, n.closing_at, m.notice_id) AS position
@@ -1165,6 +1251,44 @@ def _(t):
     return awards.award_report(payloads, found, awards.new_awards(None, found))
 
 
+def _all_payloads(t: Tables) -> DataFrame:
+    return t.list_payloads().unionByName(t.offline_payloads()).unionByName(t.award_payloads())
+
+
+@query("parse_all_sources", """
+SELECT 'etender' AS source_key, 'notice' AS what, external_ref AS ref, count(*) AS n FROM notices GROUP BY ALL
+UNION ALL SELECT 'offline', 'notice', external_ref, count(*) FROM notices GROUP BY ALL
+UNION ALL SELECT 'awards', 'award', CAST(l_orderkey AS VARCHAR), count(*) FROM lineitem WHERE l_quantity > 1 GROUP BY ALL""")
+def _(t):
+    r = parse.parse_payloads(_all_payloads(t), as_of())
+    notices = r.records.select("source_key", F.lit("notice").alias("what"), C("external_ref").alias("ref"))
+    found = r.awards.select("source_key", F.lit("award").alias("what"), C("tender_external_ref").alias("ref"))
+    return notices.unionByName(found).groupBy("source_key", "what", "ref").agg(F.count("*").alias("n"))
+
+
+@query("ingest_run_report", """
+SELECT source_key, count(DISTINCT page) AS pages, count(DISTINCT page) FILTER (broken) AS parse_failures,
+  count(*) FILTER (NOT broken) AS items_found, count(*) FILTER (NOT broken) AS items_new,
+  0 AS items_changed, count(DISTINCT page) FILTER (NOT broken) AS rows_dropped, 'partial' AS status,
+  false AS yield_anomaly
+FROM (SELECT *, page % 7 = 0 AS broken FROM (SELECT 'etender' AS source_key, id // 10 AS page, id FROM notices
+  UNION ALL SELECT 'offline', id // 20, id FROM notices)) GROUP BY source_key""")
+def _(t):
+    # Every seventh page is broken, every other one ends with a row that is no notice.
+    pages = t.list_payloads().unionByName(t.offline_payloads())
+    pages = pages.withColumn("content", F.when(C("run_id") % 7 == 0, F.unhex(F.lit("1F8B00"))).otherwise(
+        F.concat("content", F.encode(F.lit("<tr><td>end</td></tr>"), "UTF-8"))))
+    cells = parse.tokenized(pages)
+    r = parse.parse_cells(cells, as_of())
+    merged = merge.merge_observations(t.spark.createDataFrame([], NOTICE), r.records, hot_rows=None)
+    runs = metrics.ingest_runs(pages, cells, r.records, r.failures, merged.outcomes)
+    history = runs.select("source_key", "items_found", F.lit(1).alias("run_id"), "started_at",
+                          F.lit("ok").alias("status"), F.lit(True).alias("is_full_sweep"))
+    return metrics.yield_verdicts(runs, history).select(
+        "source_key", "pages", "parse_failures", "items_found", "items_new", C("items_changed").cast("int").alias("items_changed"),
+        "rows_dropped", "status", "yield_anomaly")
+
+
 @query("parse_failures", """
 SELECT 'page-' || (id // 10) AS url, count(*) > 0 AS failed FROM notices WHERE id // 10 % 7 = 0 GROUP BY ALL""")
 def _(t):
