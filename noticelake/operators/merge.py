@@ -310,3 +310,9 @@ def healed(notices: DataFrame) -> DataFrame:
     right = canonical_hash(lambda n: F.col(n))
     return (notices.withColumn("expected_hash", right)
             .filter(~F.col("canonical_hash").eqNullSafe(F.col("expected_hash"))))
+
+
+def heal(notices: DataFrame) -> DataFrame:
+    """Notices with the hash that their fields have. No version comes of it: a wrong
+    hash alone would make the next observation look like an amendment."""
+    return notices.withColumn("canonical_hash", canonical_hash(lambda n: F.col(n))).select(*notices.columns)

@@ -724,9 +724,22 @@ def _(t):
     return merge.healed(broken).select("external_ref")
 
 
-@query("version_gaps", "SELECT CAST(NULL AS BIGINT) AS notice_id, 0 AS n WHERE false")
+@query("healed_table", "SELECT external_ref, hash AS canonical_hash, 0 AS wrong FROM outcomes WHERE k = 3")
 def _(t):
-    return quality.version_gaps(t.versions(), ["notice_id"]).select("notice_id", C("n").cast("int").alias("n"))
+    current = merge.results_of(_folded(t)).current
+    healed = merge.heal(current.withColumn("canonical_hash", F.when(
+        C("external_ref").cast("long") % 13 == 0, "x").otherwise(C("canonical_hash"))))
+    wrong = merge.healed(healed).select("external_ref", F.lit(1).alias("wrong"))
+    return healed.select("external_ref", "canonical_hash").join(wrong, "external_ref", "left").fillna(0, ["wrong"])
+
+
+@query("version_gaps", """
+SELECT notice_id, CAST(count(*) AS INTEGER) AS n FROM versions WHERE NOT (version_no = 2 AND notice_id % 5 = 0)
+GROUP BY notice_id HAVING notice_id % 5 = 0 AND max(version_no) > 2""")
+def _(t):
+    # Every fifth notice has lost its second version, which shows where a third one follows.
+    lost = (C("version_no") == 2) & (C("notice_id") % 5 == 0)
+    return quality.version_gaps(t.versions().filter(~lost), ["notice_id"]).select("notice_id", C("n").cast("int").alias("n"))
 
 
 @query("repair_stale_status", f"""
@@ -1044,9 +1057,10 @@ def _(t):
 
 @query("sweep_completeness", """
 SELECT event_type AS source_key, user_id AS run_id, count(DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT)) AS pages_seen,
-  15 AS pages_declared, count(DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT)) >= 15 AS complete FROM events GROUP BY ALL""")
+  CAST(10 + max(event_id % 9) AS INTEGER) AS pages_declared,
+  count(DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT)) >= 10 + max(event_id % 9) AS complete FROM events GROUP BY ALL""")
 def _(t):
-    html = F.lit('<input type="hidden" id="totalPages" value="15">')
+    html = F.format_string('<form><input type="hidden" id="totalPages" name="n" value="%d"><input id="x" value="1">', C("event_id") % 9 + 10)
     pages = t.raw("events").select(
         C("event_type").alias("source_key"), C("user_id").alias("run_id"),
         F.get_json_object("props", "$.k").cast("long").alias("page_no"),
@@ -1303,16 +1317,17 @@ def _(t):
 SELECT external_ref FROM notices WHERE id // 10 % 7 = 0""")
 def _(t):
     p = t.list_payloads()
-    bad = p.filter("run_id % 7 = 0").select(parse.payload_id(
+    bad = p.filter("run_id % 7 = 0").select("source_key", "url", "fetched_at", parse.payload_id(
         C("source_key"), C("url"), C("fetched_at"), C("content")).alias("raw_document_id"),
         F.lit(None).cast("timestamp").alias("resolved_at"))
     return archive.replay_failures(p, bad, as_of()).records.select("external_ref")
 
 
-@query("probe_payloads", "SELECT count(*) AS records, CAST(least(3, count(*)) AS INTEGER) AS n_samples, id // 10 * 0 AS zero FROM notices GROUP BY id // 10")
+@query("probe_payloads", """
+SELECT count(*) AS records, array_to_string(list(external_ref ORDER BY external_ref)[1:3], ',') AS samples FROM notices GROUP BY id // 10""")
 def _(t):
     p = parse.probe(t.list_payloads(), as_of())
-    return p.select("records", F.size("samples").alias("n_samples"), F.lit(0).cast("long").alias("zero"))
+    return p.select("records", F.array_join(F.transform("samples", lambda s: s["external_ref"]), ",").alias("samples"))
 
 
 @query("new_blobs", """
@@ -1351,17 +1366,25 @@ def _(t):
 
 
 @query("enum_violations", """
-SELECT 'procurement_nature' AS column_name, 0 AS violations, count(*) AS rows FROM notices
-UNION ALL SELECT 'status', 0, count(*) FROM notices""")
+SELECT 'procurement_nature' AS column_name, CAST(count(*) FILTER (id % 9 = 0) AS INTEGER) AS violations, count(*) AS rows FROM notices
+UNION ALL SELECT 'status', CAST(count(*) FILTER (id % 7 = 0) AS INTEGER), count(*) FROM notices""")
 def _(t):
-    q = quality.enum_violations(t.notices(), {"procurement_nature": "procurement_nature", "status": "status"})
+    broken = t.notices().withColumns({
+        "procurement_nature": F.when(C("id") % 9 == 0, None).otherwise(C("procurement_nature")),
+        "status": F.when(C("id") % 7 == 0, "Live").otherwise(C("status"))})
+    q = quality.enum_violations(broken, {"procurement_nature": "procurement_nature", "status": "status"})
     return q.select("column_name", C("violations").cast("int").alias("violations"), "rows")
 
 
-@query("enum_quarantine", "SELECT event_id, event_type AS verdict FROM events WHERE event_type NOT IN ('up', 'down')")
+@query("enum_quarantine", """
+SELECT event_id, verdict, coalesce(verdict IN ('up', 'down'), false) AS valid FROM (SELECT event_id, CASE event_type
+  WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'down' WHEN 'view' THEN NULL ELSE event_type END AS verdict FROM events)""")
 def _(t):
-    e = t.raw("events").select("event_id", C("event_type").alias("verdict"))
-    return quality.split_by_enum(e, "verdict", "verdict")[1]
+    kind = C("event_type")
+    e = t.raw("events").select("event_id", F.when(kind == "purchase", "up").when(kind == "error", "down")
+                               .when(kind != "view", kind).alias("verdict"))
+    valid, rest = quality.split_by_enum(e, "verdict", "verdict")
+    return valid.withColumn("valid", F.lit(True)).unionByName(rest.withColumn("valid", F.lit(False)))
 
 
 @query("reconcile_copies", """
