@@ -115,7 +115,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     affected = under.join(shared, "anchor").groupBy("id", "key").agg(
         F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     texts = stored(rows.join(affected, ["id", "key"]).select("id", "key", "t", "shared", "hot").dropDuplicates(["id", "key"]))
-    # One exchange serves the counts and the way back; salted windows are counted per salt first.
+    # The counts and the way back are dealt alike; salted windows are counted per salt first.
     windows = _windows(texts, window, anchor_words).repartition("h1", "h2", "salt")
     counts = windows.groupBy("h1", "h2", "salt").agg(least, most)
     cold = windows.join(counts.where("salt < 0 AND least < most").drop("most"), ["h1", "h2", "salt"]).where("id > least")
