@@ -151,5 +151,5 @@ def test_daily_chain_twice(spark, tables, tmp_path):
                      F.lit(None).cast("string").alias("error")).write.mode("append").parquet(f"{path}/alerts/outcomes")
     days = {d: {(r.user_id, i) for r in log().filter(F.col("batch") == d).collect() for i in r.notice_ids}
             for d in ("1998-01-01", "1998-01-02", "1998-01-03")}
-    # The first day's mail failed and comes back; what was sent does not.
-    assert days["1998-01-01"] and days["1998-01-01"] == days["1998-01-02"] and not days["1998-01-02"] & days["1998-01-03"]
+    # The first day's mail failed and comes back, unless better matches came up; what was sent does not.
+    assert days["1998-01-01"] & days["1998-01-02"] and not days["1998-01-02"] & days["1998-01-03"]
