@@ -59,8 +59,9 @@ def _logistic(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def informative(rows: list[tuple[np.ndarray, int]], most: int = TERMS, least: float = 8.0, least_rows: int = 2) -> np.ndarray:
-    """Buckets in ``least_rows`` documents or more whose likelihood ratio passes ``least``."""
+def informative(rows: list[tuple[np.ndarray, int]], most: int = TERMS, least: float = 8.0, one_in: int = 3000) -> np.ndarray:
+    """Buckets in two documents, and one in ``one_in``, or more, whose likelihood ratio passes ``least``."""
+    least_rows = max(2, len(rows) // one_in)
     y = np.array([label for _, label in rows])
     seen = np.zeros((2, BUCKETS))
     for buckets, label in rows:
