@@ -36,13 +36,13 @@ STRIDE = 8
 SCALES = (24, 40, 64, 104)  # words of a window; an item of its length less a stride lies whole in one of them
 RANK, WIDTH = 64, 72
 STOP = 0.005
-COSINE = 0.5
+COSINE = 0.45
 HITS = 4
 SHARED = 2
 SAME, ALIKE = 0.8, 0.6
 ANSWER = 5
 LEAST = 8
-RAREST = 12
+RAREST = 8
 GROUP_WORDS = 200_000
 
 
