@@ -49,13 +49,19 @@ def default_tokenizer() -> tuple[str, str | None]:
 
 
 @functools.cache
-def tokenizer(vocabulary: str, ranks: str | None):
-    """text -> uint32 ids. With ``ranks``, texts of plain characters without very long
-    runs go through the faster library of the same vocabulary; ids are the same."""
+def _full_tokenizer(vocabulary: str):
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(vocabulary)
-    full.encode_special_tokens = True
+    full.encode_special_tokens = True  # their strings in a text are ordinary text
+    return full
+
+
+@functools.cache
+def tokenizer(vocabulary: str, ranks: str | None):
+    """text -> uint32 ids. With ``ranks``, texts of plain characters without very long
+    runs go through the faster library of the same vocabulary; ids are the same."""
+    full = functools.partial(_full_tokenizer, vocabulary)  # loaded when a text needs it
     quick = None
     if ranks:
         import public_tokenizers
@@ -70,7 +76,7 @@ def tokenizer(vocabulary: str, ranks: str | None):
             lengths = list(map(len, words))
             if max(lengths, default=0) < RUN and len(text) - sum(lengths) < len(words) + RUN:
                 return np.array(quick.encode_ordinary(text), np.uint32)
-        return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(full().encode(text, add_special_tokens=False).ids, np.uint32)
 
     return ids
 
