@@ -6,7 +6,11 @@ Document frequencies over all passages give inverse-frequency weights, and a
 randomised SVD of the weighted passages, two passes that multiply by a narrow matrix
 in the tasks and add up in Spark, gives the latent space. Items and sliding windows
 of the documents, at several lengths, are folded into that space; pairs of high cosine
-are candidates if they share ``SHARED`` of those terms. A candidate stands if the longest common subsequence of words covers
+are candidates if they share ``SHARED`` of those terms. Whatever its cosine, a window is a
+candidate if it holds so many of an item's rarest words that ``ALIKE`` of the item can be
+in it: a subsequence of that length leaves out a known number of the item's words, so of any
+more of them some are in the window. No window that would stand is lost to the rank of the space
+or to the cosine. A candidate stands if the longest common subsequence of words covers
 ``SAME`` of the item, or ``ALIKE`` of it and the item's answer is there as well: a
 paraphrase. The answer is the column ``answer`` of the benchmark, or else the last
 ``ANSWER`` words of the item.
@@ -43,6 +47,7 @@ SAME, ALIKE = 0.8, 0.6
 ANSWER = 5
 LEAST = 8
 RAREST = 8
+LISTED = 4  # at most LEAST words less the share that may be missing; more words listed, fewer chance candidates
 GROUP_WORDS = 200_000
 
 
@@ -58,6 +63,13 @@ class Index(NamedTuple):
     passages: list[Passage]
 
 
+class Lists(NamedTuple):
+    """The passages that each term stands for, by its rarity in them."""
+    ends: np.ndarray  # term -> the end of its part of ``passages``
+    passages: np.ndarray
+    need: np.ndarray  # passage -> how many of its listed words a window must hold
+
+
 class Match(NamedTuple):
     item: int
     ratio: float
@@ -199,6 +211,50 @@ def weighting(found: Index, counts: np.ndarray, passages: int) -> np.ndarray:
     return np.where(stop, 0, np.maximum(idf, 0.01)).astype(np.float32)
 
 
+def listing(found: Index, counts: np.ndarray, passages: int) -> Lists:
+    """The rarest words of each passage: so many that ``LISTED`` of them are in any window
+    that holds ``ALIKE`` of it, and all that are no stop terms."""
+    terms, owners, need = [np.empty(0, np.int64)], [np.empty(0, np.int32)], []
+    for number, p in enumerate(found.passages):
+        some, times = np.unique(p.terms, return_counts=True)
+        order = np.argsort(counts[some], kind="stable")
+        some, upto = some[order], np.cumsum(times[order])
+        spare = len(p.terms) - next(k for k in range(len(p.terms) + 1) if k / len(p.terms) >= ALIKE)
+        size = max(int(np.searchsorted(upto, spare + LISTED)) + 1, int((counts[some] <= STOP * passages).sum()))
+        terms.append(some[:size])
+        owners.append(np.full(size, number, np.int32))
+        need.append(int(upto[size - 1]) - spare)
+    every = np.concatenate(terms)
+    order = np.argsort(every, kind="stable")
+    return Lists(np.cumsum(np.bincount(every, minlength=len(counts))), np.concatenate(owners)[order], np.array(need, np.int64))
+
+
+def lexical(lists: Lists, lengths: np.ndarray, at: np.ndarray, terms: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(passage, document, first, last): windows of the passage's length that begin, in steps of
+    a stride, from ``first`` to ``last``; every window with the needed words is among them."""
+    ends = lists.ends[terms]
+    n = ends - np.where(terms > 0, lists.ends[terms - 1], 0)
+    place = np.repeat(ends - np.cumsum(n), n) + np.arange(n.sum())
+    number, pos = lists.passages[place], np.repeat(at, n)
+    order = np.argsort(number, kind="stable")
+    number, pos = number[order], pos[order]
+    other = np.arange(len(number)) + lists.need[number] - 1
+    enough = np.flatnonzero(other < len(number))
+    enough = enough[number[other[enough]] == number[enough]]
+    last = pos[enough] // STRIDE * STRIDE
+    first = -(-(pos[other[enough]] - lengths[number[enough]] + 1) // STRIDE) * STRIDE
+    within = first <= last
+    number, first, last = number[enough][within], np.maximum(first[within], 0), last[within]
+    if len(number):
+        doc = np.searchsorted(starts, pos[enough][within], side="right") - 1  # a window touches one document
+        # Windows that follow each other are looked at together, a length of them at most.
+        part = last // lengths[number]
+        opens = np.flatnonzero(np.concatenate((
+            [True], (number[1:] != number[:-1]) | (part[1:] != part[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] > last[:-1] + STRIDE))))
+        closes = np.append(opens[1:], len(number)) - 1
+        yield from zip(number[opens].tolist(), doc[opens].tolist(), first[opens].tolist(), last[closes].tolist())
+
+
 def masks(item: np.ndarray) -> dict[int, int]:
     """Term -> the places of the item that have it, a bit each."""
     where: dict[int, int] = {}
@@ -228,16 +284,17 @@ def _verified(p: Passage, where: dict[int, int], at: np.ndarray, terms: np.ndarr
     return ratio, start, subsequence(masks(p.answer), len(p.answer), words) >= SAME * len(p.answer)
 
 
-def search(docs: DataFrame, found: Index, weights: np.ndarray, vectors: np.ndarray) -> DataFrame:
+def search(docs: DataFrame, found: Index, weights: np.ndarray, vectors: np.ndarray, lists: Lists) -> DataFrame:
     """(id, key, item_id, ratio, cosine, start, paraphrase) of the documents' matches."""
     folded = (vectors * weights[:, None]).astype(np.float32)
     items = np.stack([folded[p.terms].sum(0) for p in found.passages])
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
-    sent = docs.sparkSession.sparkContext.broadcast((found, weights, folded, items.astype(np.float32)))
+    sent = docs.sparkSession.sparkContext.broadcast((found, weights, folded, items.astype(np.float32), lists))
+    lengths = np.array([SCALES[p.scale] for p in found.passages], np.int64)
     names = ["id", "key", "item_id", "ratio", "cosine", "start", "paraphrase"]
 
     def matches(b: pa.RecordBatch, wheres: list, rares: list) -> Iterator[tuple]:
-        index_, weight, space, goal = sent.value
+        index_, weight, space, goal, listed = sent.value
         if not wheres:
             wheres.extend(masks(p.terms) for p in index_.passages)
             rares.extend({t for t in p.terms.tolist() if weight[t] > 0} for p in index_.passages)
@@ -253,6 +310,19 @@ def search(docs: DataFrame, found: Index, weights: np.ndarray, vectors: np.ndarr
             sums[cell[first] + 1] = np.add.reduceat(space[rare_terms], first, axis=0)
             hits[1:] = np.bincount(cell, minlength=len(hits))[:len(hits) - 1]
         best: dict[tuple[int, int], Match] = {}
+
+        def stands(number: int, doc: int, begin: int, end: int, cosine: float) -> bool:
+            """Whether the words of a document from ``begin`` to ``end``, and a stride around, are a match; the best is kept."""
+            p = index_.passages[number]
+            ratio, start, answered = _verified(p, wheres[number], at, terms,
+                                               max(begin - STRIDE, int(starts[doc])), min(end + STRIDE, int(starts[doc + 1])))
+            if ratio < SAME and not (ratio >= ALIKE and answered):
+                return False
+            old = best.get((doc, p.item))
+            if not old or ratio > old.ratio:
+                best[doc, p.item] = Match(p.item, ratio, cosine, start - int(starts[doc]), answered)
+            return True
+
         for scale, length in enumerate(SCALES):
             mine = [i for i, p in enumerate(index_.passages) if p.scale == scale]
             cells = length // STRIDE
@@ -282,15 +352,16 @@ def search(docs: DataFrame, found: Index, weights: np.ndarray, vectors: np.ndarr
                     near = slice(*np.searchsorted(rare_at, (begin, end)).tolist())
                     if len(rares[number].intersection(rare_terms[near].tolist())) < SHARED:
                         continue
-                    p = index_.passages[number]
-                    doc = int(owner[low_])
-                    ratio, start, answered = _verified(p, wheres[number], at, terms, 
-                                                       max(begin - STRIDE, int(starts[doc])), min(end + STRIDE, int(starts[doc + 1])))
-                    if ratio >= SAME or ratio >= ALIKE and answered:
-                        match = Match(p.item, ratio, float(cosine[row[low_:high_], column[low_]].max()), start - int(starts[doc]), answered)
-                        old = best.get((doc, p.item))
-                        if not old or match.ratio > old.ratio:
-                            best[doc, p.item] = match
+                    stands(number, int(owner[low_]), begin, end, float(cosine[row[low_:high_], column[low_]].max()))
+        for number, doc, begin, last in lexical(listed, lengths, at, terms, starts):
+            length = int(lengths[number])
+            if _verified(index_.passages[number], wheres[number], at, terms, max(begin - STRIDE, int(starts[doc])),
+                         min(last + length + STRIDE, int(starts[doc + 1])))[0] < ALIKE:
+                continue
+            for low in range(begin, last + 1, STRIDE):
+                window = sums[low // STRIDE + 1:low // STRIDE + 1 + length // STRIDE].sum(0)
+                cosine = float(window @ goal[number] / max(float(np.linalg.norm(window)), 1e-12))
+                stands(number, doc, low, low + length, cosine)
         ids, keys = b.column("id").to_pylist(), b.column("key").to_pylist()
         for (doc, _), m in sorted(best.items()):
             yield ids[doc], keys[doc], m.item, m.ratio, m.cosine, m.start, m.ratio < SAME
@@ -335,7 +406,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
             known = stored(encoded(rows, found.vocabulary))
             counts, passages = frequencies(known, len(found.vocabulary))
             weights = weighting(found, counts, passages)
-            parts.append(search(known, found, weights, latent(known, weights)))
+            parts.append(search(known, found, weights, latent(known, weights), listing(found, counts, passages)))
     if not parts:
         return rows.limit(0).selectExpr("id", "key", "0L item_id", "0D ratio", "0D cosine", "0L start", "false paraphrase")
     out = parts[0]

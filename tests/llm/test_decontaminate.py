@@ -83,3 +83,27 @@ def test_awkward_rows(spark, documents, nothing):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5", "6", "8", "None"]
     assert D.contaminated(nothing, bench).count() == D.drop(nothing, bench).count() == 0
     assert D.drop(documents, bench.limit(0)).count() == documents.count()
+
+
+def test_candidates_do_not_depend_on_the_rank(spark, monkeypatch):
+    """Many items, few dimensions: every window that stands by brute force is found."""
+    monkeypatch.setattr(D, "RANK", 2)
+    rng = random.Random(21)
+    vocabulary = prose(rng, 400)
+    items = [[rng.choice(vocabulary) for _ in range(rng.choice((8, 12, 25, 38, 60, 90)))] for _ in range(300)]
+    docs = []
+    for d in range(300):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(20, 200))]
+        part, keep = list(items[d]), rng.choice((1, 0.8, 0.7))
+        part = [w if rng.random() < keep or k >= len(part) - D.ANSWER else rng.choice(vocabulary) for k, w in enumerate(part)]
+        at = rng.randint(0, len(words))
+        docs.append((d, " ".join(words[:at] + part + words[at:]), part))
+    want = set()
+    for d, _, part in docs:
+        known = {w: i for i, w in enumerate(vocabulary)}
+        item = [known[w] for w in items[d]]
+        if D.subsequence(D.masks(np.array(item)), len(item), [known[w] for w in part]) >= D.ALIKE * len(item):
+            want.add((d, d))
+    found = D.contaminated(spark.createDataFrame([r[:2] for r in docs], "doc_id long, text string"),
+                           spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()
+    assert len(want) > 250 and want <= {(r.doc_id, r.item_id) for r in found}
