@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -53,7 +54,7 @@ _ENDS_P = frozenset("address article aside blockquote center details dialog dir
 #: Elements nested deeper are read as part of the one around them, as browsers do.
 DEPTH = 512
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
-_STOP = re.compile(r"[>\"']")
+_STOP = re.compile(r"(?:=\s*)?[\"']|>")  # a quote opens a value only after an equals sign
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -84,6 +85,8 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
     out: list[Block] = []
     tags: dict[int, str] = {}
     stack: list[tuple[str, str, int, bool]] = []  # tag, step, number, skipped
+    deep: list[str] = []  # tags of the elements that are open below the last of the stack
+    n_deep: Counter[str] = Counter()
     parts: list[str] = []
     gone: set[str] = set()  # ends of raw text and quotes that do not occur any more
     lower, at, size = None, 0, len(page)
@@ -99,6 +102,13 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
     def close(to: int) -> None:
         flush()
         del stack[to:]
+        deep.clear()
+        n_deep.clear()
+
+    def rise() -> str:
+        tag = deep.pop()
+        n_deep[tag] -= 1
+        return tag
 
     while at < size:
         low = page.find("<", at)
@@ -130,16 +140,21 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
             end = stop.end()
             if stop[0] == ">":
                 break
-            if stop[0] not in gone and page[name.end():stop.start()].rstrip()[-1:] == "=" if end - name.end() < 4096 else False:
-                other = page.find(stop[0], end)
+            quote = stop[0][-1]
+            if stop[0][0] == "=" and quote not in gone:
+                other = page.find(quote, end)
                 if other < 0:
-                    gone.add(stop[0])
+                    gone.add(quote)
                 else:
                     end = other + 1
         tag, source, at = name[0].lower(), page[name.end():end].rstrip(">"), end
         if tag[0] == "/":
             tag = tag[1:]
-            if tag not in INLINE:
+            if tag not in INLINE and n_deep[tag]:
+                flush()
+                while rise() != tag:
+                    pass
+            elif tag not in INLINE:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         close(i)
@@ -156,14 +171,16 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
                 parts.append(" ")
             continue
         flush()
-        if tag in _ENDS_P:
+        if deep and (deep[-1] == "p" and tag in _ENDS_P or tag in CLOSES and deep[-1] in CLOSES[tag][0]):
+            rise()
+        if tag in _ENDS_P and not deep:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     close(i)
                     break
                 if stack[i][0] in CONTAINERS or stack[i][0] == "li":
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and not deep:
             ends, bounds = CLOSES[tag]
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in bounds:
@@ -191,6 +208,8 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
         if tag in ("html", "body") and any(t == tag for t, *_ in stack):
             continue
         if len(stack) >= DEPTH:
+            deep.append(tag)
+            n_deep[tag] += 1
             continue
         step, skipped = _attributes(tag, source)
         number = len(tags)

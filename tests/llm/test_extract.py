@@ -51,3 +51,16 @@ def test_awkward_rows(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in found.collect()) == [
         (0, "", 0), (1, LONG, len(LONG)), (1, LONG, len(LONG)), (2, "", 0)]
     assert extract.extract(pages.limit(0)).count() == 0
+
+
+def test_long_tags_keep_their_quotes():
+    data = "x" * 5000
+    assert extract.main_text(page(f"<article><p data-a='{data}' data-b='1 > 0' data-c = \"<p>\">{LONG}</p></article>")) == LONG
+    assert extract.main_text(f"<p {'a ' * 3000} title='b>c'>d</p>") == "d"
+
+
+def test_deep_elements_close_nothing_outside():
+    deep = "<div>" * 600 + "deep" + "</div>" * 600
+    assert extract.main_text(page(f"<div><article><div>{deep}</div><p>{LONG}</p></article><p>after</p></div>")) == f"deep\n{LONG}"
+    paragraphs = "<div>" * 600 + "<p>a<p>b<ul><li>c<li>d</ul></div>" + "</div>" * 599
+    assert extract.main_text(page(f"<div><article>{paragraphs}<p>{LONG}</p></article><p>after</p></div>")) == f"a\nb\nc\nd\n{LONG}"
