@@ -9,7 +9,8 @@ mean are content. The content element is then sought from the root down: the art
 or main element that holds most content, or else the deepest element that holds
 nearly all of it. Its blocks are the text, without those in elements that are by
 their tag, role, class or id no part of an article (menus, headers, footers, sidebars,
-notices, adverts, forms, reader comments).
+notices, adverts, forms, reader comments). A class, id or role that only hints at this, and
+a form, skip nothing that holds the only article or nearly all of the content.
 
 Character references are decoded, white space in a block is one blank, blocks are
 joined by a line feed. Broken markup never fails: an unclosed comment, script or tag
@@ -36,7 +37,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SKIPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math canvas object audio "
-                    "video select option button datalist dialog form fieldset nav header footer aside menu".split())
+                    "video select option button datalist dialog nav header footer aside menu".split())
+FORMS = frozenset("form fieldset".split())
+NAMED = frozenset("article main".split())
 CONTAINERS = frozenset("html body div section article main center table tbody tr td".split())
 WHOLE = frozenset("html body article main".split())
 HINTS = frozenset("ad ads adbox adsense advert advertisement adverts advertising sponsor sponsored promo promotion nav navbar "
@@ -67,22 +70,24 @@ class Block(NamedTuple):
     skipped: bool
 
 
-def _attributes(tag: str, source: str) -> tuple[str, bool]:
-    """The path step of an element, and whether it is no part of an article."""
+def _attributes(tag: str, source: str) -> tuple[str, bool, bool]:
+    """The path step of an element, whether it is no part of an article, and whether it seems so."""
     if not source or source.isspace():
-        return tag, tag in SKIPPED
+        return tag, tag in SKIPPED, tag in FORMS
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(source)}
     label = f"{found.get('class', '')} {found.get('id', '')}".lower().strip()
-    out = tag in SKIPPED
+    out, hinted = tag in SKIPPED, False
     if tag not in WHOLE and not out:
-        out = (not HINTS.isdisjoint(re.split(r"[\s_-]+", label)) or found.get("role", "").lower() in ROLES
-               or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(source) is not None)
-    return f"{tag}.{label}" if label else tag, out
+        out = found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(source) is not None
+        hinted = tag in FORMS or not HINTS.isdisjoint(re.split(r"[\s_-]+", label)) or found.get("role", "").lower() in ROLES
+    return f"{tag}.{label}" if label else tag, out, hinted
 
 
-def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
-    """The page's blocks in order, and the tags of its elements by number."""
+def blocks(page: str) -> tuple[list[Block], dict[int, str], set[int]]:
+    """The page's blocks in order, the tags of its elements by number, and the elements
+    that seem no part of an article."""
     out: list[Block] = []
+    hints: set[int] = set()
     tags: dict[int, str] = {}
     stack: list[tuple[str, str, int, bool]] = []  # tag, step, number, skipped
     deep: list[str] = []  # tags of the elements that are open below the last of the stack
@@ -211,12 +216,14 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
             deep.append(tag)
             n_deep[tag] += 1
             continue
-        step, skipped = _attributes(tag, source)
+        step, skipped, hinted = _attributes(tag, source)
         number = len(tags)
         tags[number] = tag
+        if hinted:
+            hints.add(number)
         stack.append((tag, step, number, skipped or bool(stack) and stack[-1][3]))
     flush()
-    return out, tags
+    return out, tags, hints
 
 
 def scores(found: list[Block], radius: int = 2) -> np.ndarray:
@@ -233,10 +240,33 @@ def scores(found: list[Block], radius: int = 2) -> np.ndarray:
     return np.sqrt(ratios[:, 0] * (ratios[:, 1] + 1))
 
 
+def believed(found: list[Block], tags: dict[int, str], hints: set[int], share: float, hold: float) -> set[int]:
+    """Those of the hinted elements that are skipped, by the scores of all blocks."""
+    fused = scores(found)
+    content = [b for b, score in zip(found, fused) if score >= share * fused.mean()]
+    total = sum(len(b.text) for b in content)
+    held: Counter[int] = Counter()
+    before: dict[int, tuple[int, ...]] = {}  # element -> the elements around it
+    for b in content:
+        for at, number in enumerate(b.elements):
+            held[number] += len(b.text)
+            if (number in hints or tags[number] in NAMED) and number not in before:
+                before[number] = b.elements[:at]
+    named = {n for n in before if tags[n] in NAMED}
+    is_open = any(hints.isdisjoint(b.elements) and not named.isdisjoint(b.elements) for b in content)
+    left = {n for n in hints if held[n] < hold * total or is_open and named.isdisjoint(before[n])}
+    if named and not is_open:
+        left -= set(before[max(named, key=lambda n: (held[n], n))])
+    return left if any(left.isdisjoint(b.elements) for b in content) else set()
+
+
 def main_text(page: str | None, share: float = 0.5, hold: float = 0.8) -> str:
     """The text of the article of a page."""
-    found, tags = blocks(page or "")
+    found, tags, hints = blocks(page or "")
     found = [b for b in found if not b.skipped]
+    if hints and found:
+        hints = believed(found, tags, hints, share, hold)
+        found = [b for b in found if hints.isdisjoint(b.elements)]
     if not found:
         return ""
     fused = scores(found)
@@ -246,7 +276,7 @@ def main_text(page: str | None, share: float = 0.5, hold: float = 0.8) -> str:
         for number in b.elements:
             held[number] = held.get(number, 0) + len(b.text) * bool(is_content)
     total = sum(len(b.text) for b, is_content in zip(found, content) if is_content)
-    named = [n for n in held if tags[n] in ("article", "main") and held[n] > 0]
+    named = [n for n in held if tags[n] in NAMED and held[n] > 0]
     if named:
         best = max(held[n] for n in named)
         chosen = max(n for n in named if held[n] == best)  # the innermost of equals

@@ -64,3 +64,20 @@ def test_deep_elements_close_nothing_outside():
     assert extract.main_text(page(f"<div><article><div>{deep}</div><p>{LONG}</p></article><p>after</p></div>")) == f"deep\n{LONG}"
     paragraphs = "<div>" * 600 + "<p>a<p>b<ul><li>c<li>d</ul></div>" + "</div>" * 599
     assert extract.main_text(page(f"<div><article>{paragraphs}<p>{LONG}</p></article><p>after</p></div>")) == f"a\nb\nc\nd\n{LONG}"
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='page has-sidebar'>", "<div class='with-comments'>", "<div id='search-layout'>", "<form id='aspnetForm'>",
+    "<form><div role='search'><div class='has-sidebar'>"])
+@pytest.mark.parametrize("kind", ["article", "main", "div"])
+def test_a_hint_around_the_article_skips_nothing(wrapper, kind):
+    rest = f"<div class='comments'><article><p>{LONG[:60]}, says a reader.</p></article></div>" if kind != "div" else ""
+    found = extract.main_text(page(
+        f"<nav>Home</nav>{wrapper}<{kind}><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div class='ad'>Buy, now!</div></{kind}>{rest}"
+        "</form></div><footer>f</footer>"))
+    assert found == f"Title\n{LONG}\n{LONG}"
+
+
+def test_a_hint_inside_the_article_around_its_text():
+    found = extract.main_text(page(f"<article><h1>Title</h1><div class='post share'><p>{LONG}</p><p>{LONG}</p></div></article>"))
+    assert found == f"Title\n{LONG}\n{LONG}"
