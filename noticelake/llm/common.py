@@ -23,11 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts the
-    lineage, survives the loss of executors, and is computed once."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, in a folder per value of ``by``, and
+    read again: cuts the lineage, survives the loss of executors, and is computed once."""
     path = f"{shared_folder(df.sparkSession)}/noticelake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from noticelake.llm import (
-    chat, decontaminate, extract, packing, pii, quality_model, repetition, simhash, substrings, toxicity)
+    audit, chat, decontaminate, extract, grouped_packing, packing, pii, quality_model, repetition, simhash, substrings,
+    toxicity, trie)
 
 #: Stands for the secret of a production run; whoever has it can recompute surrogates.
 PII_KEY = "for tests only"
@@ -62,6 +63,18 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract": op1_extract,
     "op2_simhash": op2_simhash,
@@ -73,10 +86,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_chat": op9_chat,
     "op10_repetition": op10_repetition,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_grouped_packing": op12_grouped_packing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
     "op6_substrings": substrings.SQL,
     "op9_chat": chat.SQL,
     "op10_repetition": repetition.sql(),
+    "op11_filter_audit": audit.SQL,
+    "op13_prefix_trie": trie.SQL,
 }
