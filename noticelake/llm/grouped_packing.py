@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,10 +37,10 @@ from noticelake.llm.common import slices
 CAPACITY = 2048
 END = 1
 GROUP = 4096
-#: Words whose ids a worker remembers, and parts of words.
+#: After so many words, and parts of words, a worker begins a new table.
 WORDS, PARTS = 400_000, 300_000
-#: Words of these characters are lower-cased and split by ``_PARTS`` as the tokenizer does;
-#: all others, also those with a mark of an added token, go through it whole.
+#: Words of these characters, or of ASCII without the mark of an added token, are lower-cased
+#: and split by ``_PARTS`` as the tokenizer does; all others go through it whole.
 _PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
@@ -50,52 +51,58 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte value -> the letter that stands for it in a byte-level vocabulary: itself if
+    it is a visible Latin-1 character, else the next free one from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(seen)))}
+
+
 class WordTokenizer:
     """Token ids of whole texts for a vocabulary that drops white space, by word.
 
     Its tokens never cross ASCII white space, so the ids of a text are those of its
     words in order; most words occur again, and their ids are kept as little-endian
-    bytes in two bounded tables, for words and for their lower-case parts."""
+    bytes in tables for words and for their lower-case parts. A full table becomes the
+    old one, from which words that occur again are taken over, and an empty one begins."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(vocabulary)
+        self.model, self.letters = self.full.model, _byte_letters()
         self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.full.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode_parts(self, new: list[str]) -> None:
-        """The ids of new parts, in one call: ``word_ids`` says whose each id is."""
-        found = self.full.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4").tobytes()
-        cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new) + 1)) * 4
-        for part, low, high in zip(new, cuts.tolist(), cuts[1:].tolist()):
-            self.parts[part] = ids[low:high]
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part) or self.old_parts.get(part)
+        if not ids:
+            found = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self.parts[part] = ids
+        return ids
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Remembers all words of some texts."""
-        new = set().union(*texts).difference(self.words)
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-            new = set().union(*texts)
+        if len(self.words) > WORDS:
+            self.old_words, self.words = self.words, {}
         if len(self.parts) > PARTS:
-            self.parts.clear()
-        split = {}
-        for word in new:
-            body = word.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(body):
-                split[word] = _PARTS.findall(body.lower())
-            else:
-                self.words[word] = self._whole(body)
-        unknown = list({p for parts in split.values() for p in parts}.difference(self.parts))
-        if unknown:
-            self._encode_parts(unknown)
-        known = self.parts
-        for word, parts in split.items():
-            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+            self.old_parts, self.parts = self.parts, {}
+        words, old, parts = self.words, self.old_words, self.parts
+        for word in set().union(*texts).difference(words):
+            ids = old.get(word)
+            if ids is None:
+                body = word.decode("utf-8", "replace")
+                if "<" not in body if body.isascii() else _PLAIN.fullmatch(body):
+                    ids = b"".join([parts.get(p) or self._part(p) for p in _PARTS.findall(body.lower())])
+                else:
+                    ids = self._whole(body)
+            words[word] = ids
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, four bytes each."""
