@@ -2,20 +2,20 @@
 
 Every filter has a table of the ids that fail it, written once. A left-semi and a
 left-anti join with each table in turn lead every row to the set of filters it fails;
-all of these joins are on the row's key, so the rows and each table are shuffled once
-and the exchanges are used again. Rows of a set are counted per part before anything
-else is moved, and a set that meets no filter of a prefix survives it: survivors,
-removals, redundant failures and label losses of all prefixes follow from at most
-2**filters counts per part.
+all of these joins are on the row's key, so the rows and a table are shuffled once for
+all joins of a plan. Rows of a set are counted per part before anything else is moved,
+and a set that meets no filter of a prefix survives it: survivors, removals, redundant
+failures and label losses of all prefixes follow from at most 2**filters counts per part.
 
 Rows: a null text is empty, a null source the part ''. Rows of an equal id are rows of
 their own; the key is the id with the text's digest, so an id may stand for several
-texts. A null id is no later copy of anything and has no label. Of several label rows of an id,
-one is enough. Very long texts are read whole, other columns are not read, and an
+texts. A null id is no later copy of anything and has no label. Of several label rows
+of an id, one is enough. Very long texts are read whole, other columns are not read, and an
 empty table has no part and gives no row."""
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -74,19 +74,21 @@ def labelled(rows: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> Data
     return kept.select("key", "part", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
 
 
-def classes(rows: DataFrame, failing: dict[str, DataFrame]) -> DataFrame:
+def classes(rows: DataFrame, failing: dict[str, DataFrame], at_once: int = 2) -> DataFrame:
     """(part, mask, n, good, toxic): rows (key, part, good, toxic) counted by the set of
     filters they fail, bit k for the k-th filter. Rows that fail a filter are the
-    left-semi join with its table, rows that pass it the left-anti join."""
-    split = [(rows, 0)]
-    for bit, table in enumerate(failing.values()):
-        split = [half for rel, mask in split for half in (
-            (rel.join(table, "key", "left_semi"), mask | 1 << bit), (rel.join(table, "key", "left_anti"), mask))]
-    marked = [rel.select("part", "good", "toxic", F.lit(mask).alias("mask")) for rel, mask in split]
-    union = marked[0]
-    for rel in marked[1:]:
-        union = union.unionByName(rel)
-    return union.groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"))
+    left-semi join with its table, rows that pass it the left-anti join; after
+    ``at_once`` filters the halves are written, so that rows are read 2**at_once times."""
+    rows, tables = rows.withColumn("mask", F.lit(0)), list(failing.values())
+    for start in range(0, len(tables), at_once):
+        rows = rows if start == 0 else stored(rows)
+        split = [rows]
+        for bit, table in enumerate(tables[start:start + at_once], start):
+            split = [half for rel in split for half in (
+                rel.join(table, "key", "left_semi").withColumn("mask", F.col("mask") + (1 << bit)),
+                rel.join(table, "key", "left_anti"))]
+        rows = functools.reduce(DataFrame.unionByName, split)
+    return rows.groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"))
 
 
 def steps(counts: DataFrame, filters: str) -> DataFrame:
