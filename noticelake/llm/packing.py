@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -52,17 +53,22 @@ def default_tokenizer() -> tuple[str, str | None]:
 def _full_tokenizer(vocabulary: str):
     from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(vocabulary)
-    full.encode_special_tokens = True  # their strings in a text are ordinary text
-    return full
+    return Tokenizer.from_file(vocabulary)
+
+
+def added_tokens(vocabulary: str) -> list[str]:
+    """The strings that become one id wherever they stand in a text."""
+    with open(vocabulary, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens", [])]
 
 
 @functools.cache
 def tokenizer(vocabulary: str, ranks: str | None):
-    """text -> uint32 ids. With ``ranks``, texts of plain characters without very long
-    runs go through the faster library of the same vocabulary; ids are the same."""
+    """text -> uint32 ids, those of ``Tokenizer.encode(text, add_special_tokens=False)``. With
+    ``ranks``, texts of plain characters without very long runs and without the string of
+    an added token go through the faster library of the same vocabulary; ids are the same."""
     full = functools.partial(_full_tokenizer, vocabulary)  # loaded when a text needs it
-    quick = None
+    quick, added = None, added_tokens(vocabulary)
     if ranks:
         import public_tokenizers
         import tiktoken
@@ -71,7 +77,7 @@ def tokenizer(vocabulary: str, ranks: str | None):
         quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def ids(text: str) -> np.ndarray:
-        if quick and text and ord(max(text)) < PLAIN:
+        if quick and text and ord(max(text)) < PLAIN and not any(t in text for t in added):
             words = text.split()
             lengths = list(map(len, words))
             if max(lengths, default=0) < RUN and len(text) - sum(lengths) < len(words) + RUN:

@@ -67,7 +67,6 @@ def full():
     from tokenizers import Tokenizer
     import public_tokenizers
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -79,15 +78,22 @@ def test_plain_characters_split_alike(full):
         assert encode(text).tolist() == full(text)
 
 
+def test_added_tokens_are_one_id_in_both_paths(full):
+    encode = packing.tokenizer(*packing.default_tokenizer())
+    assert encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275] == full("a <|endoftext|> b")
+    slow = packing.tokenizer(packing.default_tokenizer()[0], None)
+    for text in ("<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext|", "世<|endoftext|>界", "<|endoftext|>" * 300):
+        assert encode(text).tolist() == slow(text).tolist() == full(text)
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.text(max_size=60))
+@given(st.lists(st.text(max_size=30) | st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "plain words"])).map("".join))
 def test_any_text_has_the_same_ids(text):
     from tokenizers import Tokenizer
     import public_tokenizers
     global _full
     if "_full" not in globals():
         _full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        _full.encode_special_tokens = True
     encode = packing.tokenizer(*packing.default_tokenizer())
     assert encode(text).tolist() == _full.encode(text, add_special_tokens=False).ids
 
