@@ -143,14 +143,14 @@ def read_back(segments: DataFrame) -> DataFrame:
 def as_events(turns: DataFrame, piece: int = 400) -> DataFrame:
     """Rows (conv_id, turn, role, text) -> an event log: each row a message that
     starts and streams in by deltas of ``piece`` code points. Rows of one turn are
-    ordered by role and a hash of their text; equal rows are messages of their own."""
+    ordered by role, then by the MD5 of their text; equal rows are messages of their own."""
     text = F.coalesce("text", F.lit(""))
     pieces = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), 0))
     parts = F.transform(pieces, lambda t, i: F.struct(
         i.alias("part"), F.when(i == 0, F.lit("start")).otherwise("delta").alias("kind"), t.alias("text")))
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text",
                         F.monotonically_increasing_id().alias("message"))
-    rows = rows.select("conv_id", "turn", "role", F.xxhash64(text).alias("h"), "message", F.explode(parts).alias("p"))
+    rows = rows.select("conv_id", "turn", "role", F.md5(text).alias("h"), "message", F.explode(parts).alias("p"))
     return rows.select("conv_id", "message", F.struct("turn", "role", "h", "message", "p.part").alias("seq"),
                        "p.kind", "role", "p.text")
 
@@ -165,9 +165,9 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text))) AS turns_sha256,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, md5(text)) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(length('<|im_start|>') + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + 1
     + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id"""
