@@ -15,8 +15,15 @@ document and in any punctuation, gets the same one:
 
 Surrogates are then checked over the corpus: one that two entities would share, or
 that is itself an entity of the corpus, is derived again, with more characters from
-the fifth attempt on, until all are distinct. Given names need no check, a rotation
-is one to one.
+the fifth attempt on, until all are distinct. What has no room for more characters takes
+a wider pool: private addresses leave their net for 10.0.0.0/8 after four attempts and
+for 240.0.0.0/4 after nine, all addresses that net after fourteen, and telephone and social security
+numbers their fixed first digits after nine. Given names need no check, a rotation is
+one to one.
+
+Every word of a name that is no title is replaced wherever else it stands alone in the
+same text, by the same surrogate: "Smith" after "Mr John Smith". In a text without the
+full name such a word is left as it is.
 
 Null texts stay null, empty texts empty; rows are not identified by an id, so
 repeated rows and ids are treated alike. All other columns pass through."""
@@ -31,21 +38,27 @@ from noticelake.llm.common import stored
 
 # Common given names by script and gender.
 GIVEN = {
-    "latin male": "Adam Alexander Andrew Antonio Carlos Charles Daniel David Francisco Friedrich George Hans Henri Jacques "
-                  "James Jean John Jorge José Jürgen Klaus Louis Luis Mark Michael Michel Paul Pedro Peter Philippe Pierre "
-                  "Richard Robert Stefan Thomas Walter William Wolfgang",
-    "latin female": "Alice Andrea Anna Barbara Brigitte Carmen Catherine Charlotte Christine Claire Elena Elizabeth Emily "
-                    "Emma Françoise Heike Helga Ingrid Isabel Jane Jennifer Julia Karin Laura Linda Lucía Margaret Maria "
-                    "Marie Martina Mary Monique Monika Nathalie Petra Sabine Sarah Sophie Susan Teresa",
+    "latin male": "Adam Ahmed Alexander Ali Andrew Antonio Carlos Charles Daniel David Dmitri Francisco Friedrich George Hans "
+                  "Henri Hiroshi Jacques James Jean John Jorge José Jürgen Kenji Klaus Louis Luis Mark Michael Michel Mohammed "
+                  "Omar Paul Pedro Peter Philippe Pierre Rahul Richard Robert Sergei Stefan Thomas Walter William Wolfgang",
+    "latin female": "Aisha Alice Amina Andrea Anna Barbara Brigitte Carmen Catherine Charlotte Christine Claire Elena Elizabeth Emily "
+                    "Emma Fatima Françoise Heike Helga Ingrid Irina Isabel Jane Jennifer Julia Karin Laura Linda Lucía "
+                    "Margaret Maria Marie Martina Mary Monique Monika Nathalie Olga Petra Priya Sabine Sarah Sophie Susan Svetlana Teresa Yuki",
     "cyrillic male": "Александр Алексей Андрей Борис Владимир Дмитрий Иван Игорь Михаил Николай Олег Павел Пётр Сергей",
     "cyrillic female": "Александра Анастасия Анна Валентина Вера Галина Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна",
 }
-TITLES = "Mr Mrs Ms Miss Herr Frau Monsieur Madame Mme Mlle Señor Señora Señorita Sr Sra Господин Госпожа".split()
+TITLES = "Mr Mrs Ms Miss Dr Prof Sir Herr Frau Monsieur Madame Mme Mlle Señor Señora Señorita Sr Sra Господин Госпожа".split()
+
+#: A name of any given name may follow these words and a colon.
+CUES = "name author contact signed sender editor applicant".split()
 
 _ALL = "|".join(sorted({n for names in GIVEN.values() for n in names.split()}, key=lambda n: (-len(n), n)))
 _TITLE = "|".join(sorted(TITLES, key=lambda t: (-len(t), t)))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_CUE = rf"(?<=(?i:{'|'.join(CUES)}): )"
+#: A word that may mention a name again.
+BARE = rf"(?<![\p{{L}}\p{{N}}@.+-]){_NAME}(?![\p{{L}}\p{{N}}@])"
 _NUMBERS = "|".join((
     r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
     r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?<s>[ .-])\d{2,4}(?:\k<s>\d{2,4}){0,3}(?!\d)",
@@ -59,6 +72,7 @@ PATTERN = r"(?<![\p{L}\p{N}@.+-])(?:" + "|".join((
     r"(?=[PpSsTtAa])(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\x22']?[^\s\x22',;]{5,}[^\s\x22',;.]",
     r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
     rf"(?=\p{{Lu}}\p{{Ll}}*+\.? \p{{Lu}}\p{{Ll}})(?:(?:{_TITLE})\.? (?:{_NAME} )?|(?:{_ALL}) ){_NAME}",
+    rf"(?=\p{{Lu}}\p{{Ll}}*+\.? \p{{Lu}}\p{{Ll}}){_CUE}{_NAME} {_NAME}",
     r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}")) + ")"
 _SECRET = r"(?s)^((?i:password|passwd|secret|token|api_?key) ?[=:] ?[\x22']?)(.*)$"
 
@@ -152,9 +166,12 @@ def derived(entities: DataFrame, key: str) -> DataFrame:
         "numbers", F.transform("four", lambda i: F.conv(F.substring(stream, i * 4 + 1, F.lit(4)), 16, 10).cast("int")))
     more = F.when(of.isin("card", "ssn", "phone", "ip"), 0).otherwise(F.greatest(F.col("attempt") - 4, F.lit(0)))
     letters = _letters(F.left(F.sha2(F.concat(stream, F.lit("more")), 256), more))
-    net = F.when(entity.rlike(r"^10\."), 1).when(entity.rlike(r"^192\.168\.|^172\.(1[6-9]|2\d|3[01])\."), 2).otherwise(0)
-    ip = F.array_join(F.transform(F.split(entity, r"\."), lambda o, i: F.when(i < net, o).when(
-        i == 0, (F.get("numbers", i) % 15 + 240).cast("string")).otherwise((F.get("numbers", i) % 256).cast("string"))), ".")
+    private = entity.rlike(r"^10\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.")
+    net = F.when(~private | (F.col("attempt") > 9), 0).when(entity.rlike(r"^10\.") | (F.col("attempt") > 4), 1).otherwise(2)
+    first = F.when(private & (net == 1), "10").when(F.col("attempt") > 14, (F.get("numbers", F.lit(0)) % 256).cast("string")).otherwise(
+        (F.get("numbers", F.lit(0)) % 15 + 240).cast("string"))
+    ip = F.array_join(F.transform(F.split(entity, r"\."), lambda o, i: F.when(i == 0, F.when(net == 2, o).otherwise(first)).when(
+        i < net, o).otherwise((F.get("numbers", i) % 256).cast("string"))), ".")
     domain = _letters(F.left(F.sha2(F.concat_ws("\x1f", F.lit(key), F.regexp_replace(entity, "^.*@", "")), 256), F.lit(10)))
     area = F.concat(_from_two(poured, 1), F.substring(poured, 2, 2), _from_two(poured, 4), F.substring(poured, 5, 6))
     whole = F.concat(F.left(entity, F.lit(2)), F.substring(poured, F.lit(3), F.length(poured)))
@@ -163,8 +180,8 @@ def derived(entities: DataFrame, key: str) -> DataFrame:
         "kind", "entity", "attempt",
         F.when(of == "email", F.concat(F.regexp_replace(poured, "@.*$", ""), letters, F.lit("@"), domain, F.lit(".example.com")))
         .when(of == "card", _card(entity, poured))
-        .when(of == "ssn", F.concat(F.lit("9"), F.substring(poured, F.lit(2), F.length(poured))))
-        .when(of == "phone", F.when(F.length(entity) == 10, area).otherwise(whole)).when(of == "ip", ip)
+        .when(of == "ssn", F.when(F.col("attempt") > 9, poured).otherwise(F.concat(F.lit("9"), F.substring(poured, F.lit(2), F.length(poured)))))
+        .when(of == "phone", F.when(F.col("attempt") > 9, poured).when(F.length(entity) == 10, area).otherwise(whole)).when(of == "ip", ip)
         .when(of == "access key", F.concat(F.left(entity, F.lit(4)), F.substring(F.upper(poured), F.lit(5), F.lit(16)), F.upper(letters)))
         .when(of == "surname", F.concat(ending, letters)).when(of == "secret", F.concat(poured, letters))
         .otherwise(_rotation(key)[F.concat_ws(" ", of, entity)]).alias("surrogate"))
@@ -210,6 +227,12 @@ def mention(m: Column, of: Column, new: Column) -> Column:
             .when(of == "secret", F.concat(F.regexp_replace(m, _SECRET, "$1"), new)).otherwise(new))
 
 
+def again(gap: Column) -> Column:
+    """Text between entities with the words of names in the map ``words`` exchanged."""
+    found_ = F.transform(F.regexp_extract_all(gap, F.lit(BARE), 0), lambda w: F.coalesce(F.col("words")[w], w))
+    return F.array_join(F.zip_with(F.split(gap, BARE, -1), found_, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+
+
 def replace(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with the entities of ``text`` replaced; ``count`` names a further column
     for the number of replacements (it takes the place of one of that name)."""
@@ -225,17 +248,23 @@ def replace(docs: DataFrame, key: str, text: str = "text", count: str | None = N
         .withColumn("kind", F.when(F.col("kind") == "name", name_part(F.col("part"))).otherwise(F.col("kind")))
         .withColumn("entity", norm(F.col("part"), F.col("kind"))))
     new = surrogates(parts.where("kind IS NOT NULL").select("kind", "entity").distinct(), key)
-    table = parts.join(new, ["kind", "entity"], "left").select("m", "i", F.coalesce(
+    named = (F.col("kind") == "surname") | F.col("kind").rlike("male$")
+    table = parts.join(new, ["kind", "entity"], "left").select("m", "i", named.alias("named"), "part", F.coalesce(
         mention(F.col("part"), F.col("kind"), F.col("surrogate")), "part").alias("s"))
-    table = table.groupBy("m").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ").alias("s"))
+    table = table.groupBy("m").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ").alias("s"),
+        F.collect_list(F.when(F.col("named"), F.struct("part", "s"))).alias("words"))
     replaced = (orders.select("signature", F.posexplode("all").alias("i", "m")).join(table, "m", "left")
                 .groupBy("signature").agg(
                     F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("s", "m").alias("s")))), lambda x: x["s"]).alias("news"),
+                    F.map_from_entries(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"),
                     F.count("s").alias("n")))
-    gaps = F.split("t", PATTERN, -1)
+    gaps = F.when(F.size("words") > 0, F.transform(F.split("t", PATTERN, -1), again)).otherwise(F.split("t", PATTERN, -1))
+    bare = F.when(F.size("words") > 0, F.size(F.filter(F.flatten(F.transform(
+        F.split("t", PATTERN, -1), lambda g: F.regexp_extract_all(g, F.lit(BARE), 0))), lambda w: F.col("words")[w].isNotNull()))).otherwise(0)
     fused = F.array_join(F.zip_with(gaps, F.col("news"), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     changed = (whole.where(some).withColumn("all", found("t")).withColumn("signature", signature).drop("all").join(replaced, "signature")
-               .select("doc", fused.alias("t"), "n"))
+               .select("doc", fused.alias("t"), (F.col("n") + bare).alias("n")))
     rows = whole.where(~F.coalesce(some, F.lit(False))).select("doc", "t", F.lit(0).cast("long").alias("n")).union(changed)
     out = rows.select(F.col("doc").withField(f"`{name}`", F.col("t")).alias("doc"), "n")
     if count is None:

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from noticelake.llm import pii
 
@@ -84,3 +85,36 @@ def test_no_python_in_the_plan(spark, capsys):
     docs = spark.createDataFrame([("a@b.example.org",)], "text string")
     pii.replace(docs, KEY).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def replaced(spark, *texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r.text for r in pii.replace(docs, KEY).orderBy("doc_id").collect()]
+
+
+def test_bare_words_of_a_name_follow_it(spark):
+    first, alone = replaced(spark, "Mr John Smith met Anna Novak. Smith said nothing; Novak agreed. Smithson and John's Novak-Smith stayed.",
+                            "Smith and Novak without a full name.")
+    a, b = re.match(r"Mr (\S+ \S+) met (\S+ \S+)\. ", first).groups()
+    (john, smith), (anna, novak) = a.split(), b.split()
+    assert first == (f"Mr {john} {smith} met {anna} {novak}. {smith} said nothing; {novak} agreed. "
+                     f"Smithson and {john}'s Novak-Smith stayed.")
+    assert not {"John", "Smith", "Anna", "Novak"} & {john, smith, anna, novak}
+    assert alone == "Smith and Novak without a full name."
+
+
+def test_names_after_titles_and_cues(spark):
+    found = replaced(spark, "Dr Priya Raman", "Kenji Tanaka", "Olga Petrova", "Fatima Hassan", "Contact: Zoltan Kiss, Author: Ngozi Okoye")
+    for text, name in zip(found, ["Priya Raman", "Kenji Tanaka", "Olga Petrova", "Fatima Hassan", "Zoltan Kiss Ngozi Okoye"]):
+        assert not set(name.split()) & set(re.findall(r"\w+", text))
+    assert found[4].startswith("Contact: ") and ", Author: " in found[4]
+
+
+def test_more_addresses_of_a_net_than_it_has_surrogates(spark):
+    addresses = spark.range(40_000).select(F.lit("ip").alias("kind"), F.concat_ws(
+        ".", F.lit("192.168"), F.floor(F.col("id") / 256).cast("string"), (F.col("id") % 256).cast("string")).alias("entity"))
+    found = pii.surrogates(addresses, KEY)
+    real = addresses.select(F.col("entity").alias("surrogate"))
+    assert found.count() == found.select("surrogate").distinct().count() == 40_000
+    assert found.join(real, "surrogate", "left_semi").isEmpty()
+    assert found.where("surrogate rlike '^(192[.]168|10|2[45][0-9])[.]'").count() == 40_000
