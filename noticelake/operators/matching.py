@@ -4,14 +4,15 @@ Hard filters pick up to 500 newest candidates per user; a vector arm and a
 keyword arm rank them; reciprocal rank fusion joins the two under a floor
 relative to the user's own best similarity.
 
-Candidates without all pairs. Joining users with every notice they may bid on
-and keeping 500 afterwards would emit users x notices rows. Instead notices are
-first cut to the newest few per *cell* (district, nature, method, each also as a
-wildcard), which bounds that side by the number of cells whatever the corpus
-size, and a user joins only the cells of the profile. A user is *settled* when
-500 candidates rank above the point where one of the cells was cut. The rest
-(narrow money bounds, long histories) are joined with all notices, so the answer
-is exact for everyone."""
+Candidates by a threshold, without all pairs. Joining users with every notice they may
+bid on and keeping 500 afterwards would emit users x notices rows. Instead notices are
+first cut to the newest few per *cell* (district, nature, method and magnitude of the
+security, each also as a wildcard), which bounds that side by the number of cells whatever
+the corpus size, and a user joins only the cells of the profile. The first row beyond a
+cell's cut takes part as a mark: what ranks above all marks of a user is certain, so a
+user without a mark among the first 500 is *settled*. The others (narrow money
+bounds, long histories) go into another round, with cells cut later by a factor, until
+nobody is left; the answer is exact for everyone."""
 
 from __future__ import annotations
 
@@ -24,6 +25,7 @@ from noticelake.functions.vectors import cosine_similarity
 from noticelake.operators.embedding import profile_texts
 from noticelake.operators.filters import matchable, timestamp
 from noticelake.operators.search import document
+from noticelake.session import written
 
 CANDIDATE_LIMIT, ARM_LIMIT, MATCH_LIMIT, KEYWORD_LIMIT = 500, 100, 50, 12
 # Fusion damping, relative floor and its absolute backstop.
@@ -31,6 +33,8 @@ RRF_K, RELATIVE_FLOOR, ABSOLUTE_FLOOR = 60, 0.6, 0.15
 
 PAIR = ["user_id", "notice_id"]
 CELL = ["c_district", "c_nature", "c_method"]
+# Securities of a cell lie within a factor of 8, so that money bounds exclude whole cells.
+AMOUNT_BASE, AMOUNTS = 8, 20
 # Values in cells start with "=", so no value of the data is one of these.
 ANY = "*"        # wildcard of a cell
 UNKNOWN = "?"    # district not known yet: passes every district list
@@ -88,49 +92,67 @@ def _money_bounds() -> Column:
     return low & high
 
 
-def _newest(pairs: DataFrame, limit: int) -> DataFrame:
-    """Newest ``limit`` per user, pruned inside every task before the shuffle."""
-    w = Window.partitionBy("user_id").orderBy("recency")
-    return pairs.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
-
-
-def _without_seen(pairs: DataFrame, seen: list[DataFrame]) -> DataFrame:
-    return reduce(lambda df, s: df.join(s.select(*PAIR), PAIR, "left_anti"), seen, pairs)
-
-
-def all_candidates(notices: DataFrame, profiles: DataFrame, as_of: str) -> DataFrame:
-    """Every (user, notice) pair that passes the hard filters, as an equi join."""
-    return (_notice_cells(_notice_rows(notices, as_of))
-            .join(_user_cells(profiles), CELL).filter(_money_bounds())
-            .select(*PAIR, "recency"))
+def _magnitude(amount: Column) -> Column:
+    """Grows with the amount, and is one of ``AMOUNTS`` values; unknown if that is."""
+    power = F.log(float(AMOUNT_BASE), F.greatest(amount.cast("double"), F.lit(1.0)))
+    return F.when(amount.isNotNull(), F.least(F.floor(power), F.lit(AMOUNTS - 1)).cast("int"))
+
+
+def _priced_cells(notices: DataFrame, as_of: str) -> DataFrame:
+    """Notices in their cells, also by the magnitude of their security or UNKNOWN."""
+    own = F.coalesce(_value(_magnitude(F.col("tender_security")).cast("string")), F.lit(UNKNOWN))
+    return _notice_cells(_notice_rows(notices, as_of)).withColumn("c_amount", F.explode(F.array(own, F.lit(ANY))))
+
+
+def _priced_user_cells(profiles: DataFrame) -> DataFrame:
+    """Users in their cells; money bounds pick the magnitudes between them."""
+    low = F.coalesce(_magnitude(F.col("min_security")), F.lit(0))
+    high = F.coalesce(_magnitude(F.col("max_security")), F.lit(AMOUNTS - 1))
+    between = F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda m: _value(m.cast("string")))).otherwise(
+        F.array().cast("array<string>"))
+    bounded = F.col("min_security").isNotNull() | F.col("max_security").isNotNull()
+    return _user_cells(profiles).withColumn("c_amount", F.explode(
+        F.when(bounded, F.array_append(between, UNKNOWN)).otherwise(F.array(F.lit(ANY)))))
+
+
+def threshold_round(cells: DataFrame, users: DataFrame, seen: list[DataFrame], limit: int, cell_rows: int) -> DataFrame:
+    """(user, notice, position, open) of the newest ``limit`` rows per user, the marks of
+    cells cut at ``cell_rows`` among them. A user with a mark there is open: the rows
+    below it are not certain. Pairs are pruned to the limit in every task before they
+    are shuffled, and everything about a user happens in that one partition."""
+    by = [*CELL, "c_amount"]
+    top = (cells.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("recency")))
+           .filter(F.col("rank") <= cell_rows + 1).withColumn("mark", F.col("rank") > cell_rows))
+    pairs = top.join(users, by).filter(F.col("mark") | _money_bounds()).select(*PAIR, "recency", "mark")
+    for s in seen:
+        # A mark stays a mark if its pair was seen: its null meets nothing.
+        pairs = pairs.withColumn("_unseen", F.when(~F.col("mark"), F.col("notice_id")))
+        pairs = pairs.join(s.select("user_id", F.col("notice_id").alias("_unseen")), ["user_id", "_unseen"], "left_anti")
+    order = Window.partitionBy("user_id").orderBy("recency", F.desc("mark"))
+    first = pairs.select(*PAIR, "recency", "mark").withColumn("position", F.row_number().over(order)).filter(
+        F.col("position") <= limit)
+    return first.withColumn("open", F.max("mark").over(Window.partitionBy("user_id"))).select(*PAIR, "position", "open")
 
 
 def candidates(notices: DataFrame, profiles: DataFrame, as_of: str,
                seen: list[DataFrame] = (), limit: int = CANDIDATE_LIMIT,
-               cell_rows: int | None = None) -> DataFrame:
+               cell_rows: int | None = None, growth: int = 8) -> DataFrame:
     """Up to ``limit`` newest candidates per user, without the pairs in ``seen``
-    (stored matches, given verdicts). ``cell_rows`` is the cut per cell."""
-    cell_rows = cell_rows or 2 * limit
-    cells = _notice_cells(_notice_rows(notices, as_of))
-    order = Window.partitionBy(*CELL).orderBy("recency")
-    # One row more than the cut tells that, and where, a cell was cut.
-    top = (cells.withColumn("rank", F.row_number().over(order))
-           .filter(F.col("rank") <= cell_rows + 1))
-    users = _user_cells(profiles)
-    pairs = top.join(users, CELL)
-    kept = _without_seen(
-        pairs.filter(F.col("rank") <= cell_rows).filter(_money_bounds()).select(*PAIR, "recency"),
-        list(seen))
-    cut = (pairs.filter(F.col("rank") == cell_rows + 1).groupBy("user_id")
-           .agg(F.min("recency").alias("cut")))
-    ranked = _newest(kept, limit).join(cut, "user_id", "left")
-    open_users = (cut.join(ranked.filter("recency < cut").groupBy("user_id")
-                           .agg(F.count("*").alias("sure")), "user_id", "left")
-                  .filter(F.coalesce("sure", F.lit(0)) < limit).select("user_id"))
-    settled = ranked.join(open_users, "user_id", "left_anti").select(*PAIR, "recency", "position")
-    rest = all_candidates(notices, profiles.join(open_users, "user_id", "left_semi"), as_of)
-    return (settled.unionByName(_newest(_without_seen(rest, list(seen)), limit))
-            .select(*PAIR, "position"))
+    (stored matches, given verdicts). ``cell_rows`` is the first round's cut per cell.
+
+    Every round is written, so it is computed once whatever is made of it. Later
+    rounds see the open users and the cells they use only; their number is bounded by the
+    logarithm of the largest cell."""
+    cells, cut = _priced_cells(notices, as_of), cell_rows or 2 * limit
+    users, settled = _priced_user_cells(profiles), []
+    while True:
+        found = written(threshold_round(cells, users, list(seen), limit, cut))
+        settled.append(found.filter("NOT open").select(*PAIR, "position"))
+        undecided = found.filter("open").select("user_id").distinct()
+        if undecided.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        users, cut = users.join(undecided, "user_id", "left_semi"), cut * growth
+        cells = cells.join(users.select(*CELL, "c_amount").distinct(), [*CELL, "c_amount"], "left_semi")
 
 
 def count_candidates(notices: DataFrame, profiles: DataFrame, as_of: str,
@@ -286,7 +308,7 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, limit: int = MATCH_LIM
 
 def match_all(notices: DataFrame, profiles: DataFrame, notice_vectors: DataFrame,
               profile_vectors: DataFrame, as_of: str, model: str, seen: list[DataFrame] = (),
-              limit: int = MATCH_LIMIT, unit: bool = True, **options) -> DataFrame:
+              limit: int = MATCH_LIMIT, unit: bool = True, arm_limit: int = ARM_LIMIT, **options) -> DataFrame:
     """Matches of all profiles with a usable text, best first per user.
 
     Gives what :func:`fuse` gives for :func:`vector_arm` and :func:`keyword_arm`,
@@ -316,7 +338,7 @@ def match_all(notices: DataFrame, profiles: DataFrame, notice_vectors: DataFrame
     def position(score: str, present: Column) -> Column:
         w = Window.partitionBy("user_id").orderBy(F.col(score).desc_nulls_last(), "notice_id")
         rank = F.row_number().over(w) - 1
-        return F.when(present & (rank < ARM_LIMIT), rank)
+        return F.when(present & (rank < arm_limit), rank)
 
     ranked = scored.withColumns({
         "vector_position": position("similarity", F.col("similarity").isNotNull()),
@@ -332,12 +354,13 @@ def upsert_matches(current: DataFrame, fresh: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
-def match_report(profiles: DataFrame, pairs: DataFrame, matches: DataFrame) -> DataFrame:
-    """Candidates and stored matches per user; a blank profile is a skip."""
+def match_report(profiles: DataFrame, pairs: DataFrame, matches: DataFrame, stored: DataFrame) -> DataFrame:
+    """Candidates, ranked matches and rows of the match table per user; a blank profile
+    is a skip."""
     text = profile_texts(profiles).withColumn("skipped_no_profile", F.col("text") == "")
     count = lambda df, name: df.groupBy("user_id").agg(F.count("*").alias(name))
     return (text.select("user_id", "skipped_no_profile")
             .join(count(pairs, "candidates"), "user_id", "left")
             .join(count(matches, "ranked"), "user_id", "left")
-            .fillna(0, ["candidates", "ranked"])
-            .withColumn("stored", F.col("ranked")))
+            .join(count(stored, "stored"), "user_id", "left")
+            .fillna(0, ["candidates", "ranked", "stored"]))

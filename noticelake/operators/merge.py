@@ -23,17 +23,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from noticelake.functions.records import canonical_hash, change_type, changed_fields
 from noticelake.operators.skew import HOT_ROWS, split_hot
 from noticelake.schemas import HASH_FIELDS, KEY, NOTICE, VALUE_FIELDS, VERSION
 from noticelake.session import cut_lineage
-from noticelake.sources.tables import has_batch, publish_snapshot, read_snapshot
+from noticelake.sources import buckets
 
-# A batch with at most this many distinct keys (some 50 MB) is broadcast to the
-# current table instead of shuffling the table to the batch.
-BROADCAST_KEYS = 500_000
 # Fields that list sweeps may move after a detail page was seen.
 ALWAYS_LATEST = ("status", "closing_at")
 STORED = ["canonical_hash", "version_no", "first_seen_at", "last_seen_at", "detail_fetched_at"]
@@ -268,40 +265,45 @@ def merge_observations(current: DataFrame, observations: DataFrame, **options) -
     return results_of(fold_observations(current, observations, **options))
 
 
-def apply_merge(current: DataFrame, merged: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def apply_merge(current: DataFrame, merged: DataFrame) -> DataFrame:
     """Full current state: touched notices replace their stored rows."""
-    keys = merged.select(*KEY) if keys is None else keys
-    return current.join(keys, KEY, "left_anti").unionByName(merged)
+    return current.join(merged.select(*KEY), KEY, "left_anti").unionByName(merged)
 
 
-def batch_keys(observations: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """The distinct keys of a batch, counted, and marked for broadcast only when
-    there are few: a sweep then reads the current table without shuffling it."""
-    keys = cut_lineage(observations.select(*KEY).distinct())
-    return F.broadcast(keys) if keys.count() <= broadcast_keys else keys
+def read_notices(spark: SparkSession, path: str) -> DataFrame:
+    """The current state of the merge tables below ``path``."""
+    return buckets.read(spark, f"{path}/notices", NOTICE)
 
 
-def merge_into(path: str, observations: DataFrame, batch: str, broadcast_keys: int = BROADCAST_KEYS,
-               **options) -> DataFrame | None:
+def read_versions(spark: SparkSession, path: str) -> DataFrame:
+    """Versions of published batches; those of a batch that is still being merged, or
+    was lost on the way, are not seen."""
+    schema = T.StructType([*VERSION.fields, T.StructField("batch", T.StringType())])
+    done = buckets.batches(spark, f"{path}/notices").select("batch")
+    return spark.read.schema(schema).parquet(f"{path}/versions").join(done, "batch", "left_semi").select(VERSION.fieldNames())
+
+
+def merge_into(path: str, observations: DataFrame, batch: str, n_buckets: int = buckets.BUCKETS,
+               **options) -> DataFrame:
     """Merge a named batch into the tables below ``path``; returns outcome counts per source.
 
-    Only the stored rows of the batch's own keys take part in the fold. It feeds
-    three outputs, so it is checkpointed once. The batch's versions go into a
-    directory of their own before the snapshot commits under the batch's name: a
-    rerun after a failure overwrites that directory, and a batch that has been
-    committed is not merged again (None)."""
+    Only the buckets of the batch's keys are read, healed and rewritten. The fold feeds
+    three outputs, so it is checkpointed once. Versions and outcome counts go into
+    directories of the batch's own before the new state is published under its name: a
+    rerun after a failure overwrites them, and a batch that has been published is not
+    merged again, its counts are read back."""
     spark = observations.sparkSession
-    if has_batch(spark, f"{path}/notices", batch):
-        return None
-    current = read_snapshot(spark, f"{path}/notices")
-    current = spark.createDataFrame([], NOTICE) if current is None else current
-    keys = batch_keys(observations, broadcast_keys)
-    touched = current.join(keys, KEY, "left_semi")
-    folded = cut_lineage(fold_observations(touched, observations, **options))
-    result = results_of(folded)
-    result.versions.write.mode("overwrite").parquet(f"{path}/versions/batch={batch}")
-    publish_snapshot(apply_merge(current, result.current, keys), f"{path}/notices", batch)
-    return result.outcomes.groupBy("source_key", "outcome", "kind").agg(F.sum("n").alias("n"))
+
+    def rewrite(current: DataFrame, batch_rows: DataFrame) -> DataFrame:
+        current = heal(current)
+        result = results_of(cut_lineage(fold_observations(current, batch_rows, **options)))
+        result.versions.write.mode("overwrite").parquet(f"{path}/versions/batch={batch}")
+        counts = result.outcomes.groupBy("source_key", "outcome", "kind").agg(F.sum("n").alias("n"))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/outcomes/batch={batch}")
+        return apply_merge(current, result.current)
+
+    buckets.change(f"{path}/notices", NOTICE, KEY, observations, rewrite, batch, n_buckets)
+    return spark.read.schema("source_key string, outcome string, kind string, n long").parquet(f"{path}/outcomes/batch={batch}")
 
 
 def healed(notices: DataFrame) -> DataFrame:

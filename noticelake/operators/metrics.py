@@ -77,34 +77,22 @@ def run_report(outcomes: DataFrame, by: list[str]) -> DataFrame:
         n("unchanged").alias("items_unchanged"))
 
 
-def ingest_runs(payloads: DataFrame, cells: DataFrame, records: DataFrame, failures: DataFrame,
-                outcomes: DataFrame) -> DataFrame:
-    """One run row per source of a batch: pages, bytes, failures, table rows of list
-    pages that gave no record, and what the merge made of the records."""
-    per = lambda df, *n: df.groupBy("source_key").agg(*n)
-    is_list = F.col("kind") == "list"
-    parts = [
-        per(cells.filter(is_list & F.col("error").isNull()), F.sum(F.size("rows")).alias("rows_read")),
-        per(records.filter(is_list), F.count("*").alias("rows_kept")),
-        per(failures, F.count("*").alias("parse_failures")),
-        run_report(outcomes, ["source_key"])]
-    runs = per(payloads, F.count("*").alias("pages"), F.sum(F.length("content").cast("long")).alias("bytes"),
-               F.min("fetched_at").alias("started_at"))
-    for part in parts:
-        runs = runs.join(part, "source_key", "left")
-    counts = [c for c in runs.columns if c not in ("source_key", "started_at")]
-    runs = runs.fillna(0, counts)
+def ingest_runs(counts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One run row per source of a batch: what the parse counted on its way
+    (``parse.PAGE_COUNTS``) and what the merge made of the records."""
+    runs = counts.join(run_report(outcomes, ["source_key"]), "source_key", "left")
+    runs = runs.fillna(0, [c for c in runs.columns if c not in ("source_key", "started_at")])
     return runs.withColumns({
-        "rows_dropped": F.col("rows_read") - F.col("rows_kept"),
-        "status": F.when(F.col("parse_failures") > 0, "partial").otherwise("ok")}).drop("rows_read", "rows_kept")
+        "rows_dropped": F.col("rows_header") + F.col("rows_demonstration"),
+        "status": F.when(F.col("parse_failures") > 0, "partial").otherwise("ok")}).drop("rows_kept")
 
 
 def yield_verdicts(runs: DataFrame, history: DataFrame, k: int = BASELINE_RUNS) -> DataFrame:
-    """New run rows with the trailing yield of their source and whether they fall below
-    the accepted share of it; a source without history has no verdict."""
+    """New run rows with the trailing yield of their source and the verdict that
+    :func:`is_anomalous` gives on it."""
     baseline = trailing_yield(history, k).select("source_key", "baseline")
-    return runs.join(baseline, "source_key", "left").withColumn(
-        "yield_anomaly", F.col("items_found") < YIELD_RATIO * F.col("baseline"))
+    return runs.join(baseline, "source_key", "left").withColumn("yield_anomaly", is_anomalous(
+        F.col("status"), F.col("items_found"), F.col("is_full_sweep"), F.col("baseline")))
 
 
 def append_run(path: str, run: DataFrame) -> None:

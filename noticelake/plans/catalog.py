@@ -17,6 +17,7 @@ from noticelake.plans.oracle import AS_OF as SQL_AS_OF, EVENTS_AS_OF as SQL_EVEN
 from noticelake.plans.proxies import AS_OF, EVENTS_AS_OF, MODEL, Tables
 from noticelake.functions import text as X, values as V, vectors
 from noticelake.schemas import NOTICE
+from noticelake.session import cut_lineage, written
 from noticelake.sources import archive, parse, tables
 
 
@@ -335,7 +336,7 @@ SELECT {_PAGE}, {ts('closing_at')} AS closing_at, CAST(tender_security AS DOUBLE
 FROM notices WHERE status = 'live' AND procurement_nature = 'goods' AND closing_at >= {SQL_AS_OF}
 ORDER BY closing_at NULLS LAST, id LIMIT 25 OFFSET 50""")
 def _(t):
-    page, _total = browse.browse(t.notices(), browse.Filters(nature="goods", closing="open", page=3), AS_OF)
+    page, _total = browse.browse(t.notices(), browse.Request({"procurement_nature": "goods"}, closing="open", page=3), AS_OF)
     return page.select("id", "organization_path", "district", "procurement_nature",
                        stamp("closing_at").alias("closing_at"), dbl("tender_security").alias("tender_security"))
 
@@ -344,7 +345,7 @@ def _(t):
 SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 25.0) AS BIGINT)) AS pages FROM notices
 WHERE status = 'live' AND procurement_nature = 'goods' AND closing_at >= {SQL_AS_OF}""")
 def _(t):
-    return browse.browse(t.notices(), browse.Filters(nature="goods", closing="open", page=3), AS_OF)[1]
+    return browse.browse(t.notices(), browse.Request({"procurement_nature": "goods"}, closing="open", page=3), AS_OF)[1]
 
 
 _WORDS = r"regexp_extract_all(lower(concat_ws(' ', title, description, package_no, reference_no, organization_path, district, project_name)), '[\p{L}\p{N}_]+')"
@@ -357,7 +358,7 @@ WHERE status = 'live' AND ((contains(w, ' machinery ') AND contains(w, ' lot ')
   OR contains(lower(coalesce(package_no, '')), lower('machinery lot -urgent or "supply for customer" nation_3')))""")
 def _(t):
     q = 'machinery lot -urgent or "supply for customer" nation_3'
-    return t.notices().filter(browse.predicate(browse.Filters(q=q), AS_OF)).select("id")
+    return t.notices().filter(browse.predicate(browse.Request(text=q), AS_OF)).select("id")
 
 
 @query("search_page", r"""
@@ -369,18 +370,16 @@ SELECT id, position FROM (SELECT id, row_number() OVER (ORDER BY hits DESC, clos
 def _(t):
     from pyspark.sql import Window
 
-    f = browse.Filters(q="the and")
-    found = t.corpus().filter(browse.predicate(f, AS_OF)).select(
-        "id", "closing_at", search.rank(X.tokens(search.document()), f.q).alias("rank"))
-    top = found.orderBy(F.desc("rank"), C("closing_at").asc_nulls_last(), "id").limit(f.limit)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(
-        F.desc("rank"), C("closing_at").asc_nulls_last(), "id"))).select("id", "position")
+    request = browse.Request(text="the and")
+    found = browse.ranked(t.corpus().filter(browse.predicate(request, AS_OF)), request)
+    top = found.orderBy(*browse.order(request)).limit(browse.PER_PAGE)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(*browse.order(request)))).select("id", "position")
 
 
 @query("search_fragment", """
 SELECT id, reference_no FROM notices WHERE status = 'live' AND contains(lower(reference_no), '/12')""")
 def _(t):
-    return t.notices().filter(browse.predicate(browse.Filters(q="F/12"), AS_OF) | (
+    return t.notices().filter(browse.predicate(browse.Request(text="F/12"), AS_OF) | (
         (C("status") == "live") & search.substring(C("reference_no"), "/12"))).select("id", "reference_no")
 
 
@@ -518,9 +517,13 @@ def _(t):
 @query("match_report", """
 SELECT p.user_id, false AS skipped_no_profile, (SELECT count(*) FROM corpus_candidates c WHERE c.user_id = p.user_id) AS candidates,
   (SELECT count(*) FROM fused f WHERE f.user_id = p.user_id) AS ranked,
-  (SELECT count(*) FROM fused f WHERE f.user_id = p.user_id) AS stored FROM profiles p""")
+  (SELECT count(*) FROM (SELECT user_id, notice_id FROM fused UNION SELECT user_id, notice_id FROM matches) m
+   WHERE m.user_id = p.user_id) AS stored FROM profiles p""")
 def _(t):
-    return matching.match_report(t.profiles(), _pairs(t), _matches(t))
+    # Stored are the ranked matches and those that the table held before.
+    pairs, ranked = _pairs(t), written(_matches(t).select("user_id", "notice_id", "score"))
+    stored = matching.upsert_matches(t.matches().select("user_id", "notice_id", "score"), ranked)
+    return matching.match_report(t.profiles(), pairs, ranked, stored)
 
 
 @query("upsert_matches", """
@@ -1281,26 +1284,39 @@ def _(t):
 
 
 @query("ingest_run_report", """
-SELECT source_key, count(DISTINCT page) AS pages, count(DISTINCT page) FILTER (broken) AS parse_failures,
-  count(*) FILTER (NOT broken) AS items_found, count(*) FILTER (NOT broken) AS items_new,
-  0 AS items_changed, count(DISTINCT page) FILTER (NOT broken) AS rows_dropped, 'partial' AS status,
-  false AS yield_anomaly
-FROM (SELECT *, page % 7 = 0 AS broken FROM (SELECT 'etender' AS source_key, id // 10 AS page, id FROM notices
-  UNION ALL SELECT 'offline', id // 20, id FROM notices)) GROUP BY source_key""")
-def _(t):
-    # Every seventh page is broken, every other one ends with a row that is no notice.
-    pages = t.list_payloads().unionByName(t.offline_payloads())
+SELECT source_key, kind, pages, parse_failures, CASE WHEN kind = 'empty' THEN 0 ELSE items_found END AS items_found,
+  CASE WHEN kind = 'empty' THEN 0 ELSE items_found END AS items_new, 0 AS items_changed, rows_header, rows_demonstration,
+  rows_header + rows_demonstration AS rows_dropped, 'partial' AS status, kind IN ('was larger', 'empty') AS yield_anomaly
+FROM (SELECT source_key, count(DISTINCT page) AS pages, count(DISTINCT page) FILTER (page % 7 = 0) AS parse_failures,
+    count(*) FILTER (page % 7 <> 0 AND id % 13 <> 0) AS items_found, count(DISTINCT page) FILTER (page % 7 <> 0) AS rows_header,
+    count(*) FILTER (page % 7 <> 0 AND id % 13 = 0) AS rows_demonstration
+  FROM (SELECT 'etender' AS source_key, id // 10 AS page, id FROM notices
+    UNION ALL SELECT 'offline', id // 20, id FROM notices) GROUP BY source_key),
+  (VALUES ('own history'), ('was larger'), ('capped'), ('no history'), ('empty')) v(kind)""")
+def _(t):
+    # Every seventh page is broken, every other one ends with a row that is no notice, and
+    # every thirteenth notice is demonstration data.
+    pages = t.list_payloads(demonstration=13).unionByName(t.offline_payloads(demonstration=13))
     pages = pages.withColumn("content", F.when(C("run_id") % 7 == 0, F.unhex(F.lit("1F8B00"))).otherwise(
         F.concat("content", F.encode(F.lit("<tr><td>end</td></tr>"), "UTF-8"))))
-    cells = parse.tokenized(pages)
-    r = parse.parse_cells(cells, as_of())
-    merged = merge.merge_observations(t.spark.createDataFrame([], NOTICE), r.records, hot_rows=None)
-    runs = metrics.ingest_runs(pages, cells, r.records, r.failures, merged.outcomes)
-    history = runs.select("source_key", "items_found", F.lit(1).alias("run_id"), "started_at",
-                          F.lit("ok").alias("status"), F.lit(True).alias("is_full_sweep"))
-    return metrics.yield_verdicts(runs, history).select(
-        "source_key", "pages", "parse_failures", "items_found", "items_new", C("items_changed").cast("int").alias("items_changed"),
-        "rows_dropped", "status", "yield_anomaly")
+    result, counts = parse.parse_counted(pages, as_of())
+    merged = merge.merge_observations(t.spark.createDataFrame([], NOTICE), result.records, hot_rows=None)
+    runs = cut_lineage(metrics.ingest_runs(counts, merged.outcomes))
+    # The run of each source judged against a history of its own yield, of three times as
+    # much, and of none; as a capped run; and as one that found nothing.
+    judged = [("own history", True, 1), ("was larger", True, 3), ("capped", False, 3), ("no history", True, None), ("empty", True, 1)]
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(full).alias("is_full_sweep"),
+                                         F.lit(x).cast("double").alias("factor")) for k, full, x in judged]))
+    cases = runs.select("*", kinds.alias("case")).select("*", "case.*").drop("case")
+    cases = cases.withColumn("source", C("source_key")).withColumn("source_key", F.concat_ws("/", "source_key", "kind"))
+    history = cases.filter("factor IS NOT NULL").select(
+        "source_key", (C("items_found") * C("factor")).cast("long").alias("items_found"), F.lit(1).alias("run_id"), "started_at",
+        F.lit("ok").alias("status"), F.lit(True).alias("is_full_sweep"))
+    for n in ("items_found", "items_new"):
+        cases = cases.withColumn(n, F.when(C("kind") == "empty", 0).otherwise(C(n)))
+    return metrics.yield_verdicts(cases, history).select(
+        C("source").alias("source_key"), "kind", "pages", "parse_failures", "items_found", "items_new",
+        C("items_changed").cast("int").alias("items_changed"), "rows_header", "rows_demonstration", "rows_dropped", "status", "yield_anomaly")
 
 
 @query("parse_failures", """

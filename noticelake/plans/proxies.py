@@ -310,8 +310,14 @@ class Tables:
     def _local(self, c: Column, pattern: str = "dd-MMM-yyyy HH:mm") -> Column:
         return F.date_format(F.from_utc_timestamp(c, "Asia/Dhaka"), pattern)
 
-    def list_payloads(self) -> DataFrame:
+    def _described(self, demonstration: int | None) -> DataFrame:
+        """Notices, every so many of them described as demonstration data."""
         n = self.notices()
+        return n if demonstration is None else n.withColumn("description", F.when(
+            F.col("id") % demonstration == 0, F.lit("This is an invalid tender")).otherwise(F.col("description")))
+
+    def list_payloads(self, demonstration: int | None = None) -> DataFrame:
+        n = self._described(demonstration)
         row = F.concat(
             F.lit("<tr class='r'><td>1</td><td>"), "external_ref", F.lit(",<br/>"), "reference_no",
             F.lit(",<br/><label>"), F.initcap("status"), F.lit("</label></td><td>"),
@@ -327,8 +333,8 @@ class Tables:
         return self._payloads(n.select(F.floor(F.col("id") / 10).alias("page"),
                                        F.col("id").alias("pos"), row.alias("html")), "etender", "list")
 
-    def offline_payloads(self) -> DataFrame:
-        n = self.notices()
+    def offline_payloads(self, demonstration: int | None = None) -> DataFrame:
+        n = self._described(demonstration)
         row = F.concat(
             F.lit("<tr><td>1</td><td>"), "external_ref", F.lit("<br/>"), "reference_no",
             F.lit("</td><td>"), F.initcap("procurement_nature"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,14 +43,9 @@ def build_session(app: str = "noticelake", master: str | None = None, **conf: st
     return tune(builder.getOrCreate())
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the folder the cluster names.
-
-    Reads ``spark.checkpoint.dir``. Only a local master without that setting
-    gets a scratch folder of its own; on a cluster a machine-local folder would
-    not survive the loss of an executor, so the missing setting is an error.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local master without it gets a scratch folder of its
+    own, on a cluster the missing setting is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -58,4 +54,23 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="noticelake-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder: computed once, columnar, and
+    with a size the planner knows. For results that several plans read."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the folder the cluster names.
+
+    Reads ``spark.checkpoint.dir``. Only a local master without that setting
+    gets a scratch folder of its own; on a cluster a machine-local folder would
+    not survive the loss of an executor, so the missing setting is an error.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=eager)

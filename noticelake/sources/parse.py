@@ -6,12 +6,13 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from noticelake.functions import values as V
 from noticelake.functions.text import (
     blank_to_null, contains_any, content_hash, squash, truncated)
 from noticelake.schemas import OBSERVATION
+from noticelake.session import cut_lineage
 from noticelake.sources.html import TOKENIZED, tokenize_batches
 
 # Shapes of package numbers, links and page markers at the source.
@@ -163,25 +164,39 @@ def clean(c: Column) -> Column:
     return blank_to_null(squash(c))
 
 
-def as_observations(df: DataFrame) -> DataFrame:
+def as_observations(df: DataFrame, *more: str) -> DataFrame:
     """Project to the observation schema; absent fields are NULL."""
     return df.select([
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in OBSERVATION.fields])
+        for f in OBSERVATION.fields] + list(more))
 
 
-def _row_fields(rows: DataFrame) -> DataFrame:
-    """Line arrays shared by the two list layouts."""
+# Why a row of a page gives no record.
+HEADER, DEMONSTRATION, NO_REFERENCE = "header", "demonstration", "no reference"
+
+
+def _row_fields(cells: DataFrame, dropped: bool) -> DataFrame:
+    """Line arrays shared by the two list layouts; rows that are no notice, those of the
+    table's head and foot, only if asked for."""
     lines = lambda i: cell_lines(F.get("cells", F.lit(i))["texts"])
-    return (rows.select("*", lines(1).alias("ident"), lines(2).alias("brief"),
-                        lines(3).alias("org"), lines(4).alias("proc"), lines(5).alias("dates"))
-            .filter(F.get("ident", F.lit(0)).rlike(r"^\p{Nd}+$")))
+    rows = html_rows(cells, 0 if dropped else 6).select(
+        "*", lines(1).alias("ident"), lines(2).alias("brief"), lines(3).alias("org"), lines(4).alias("proc"),
+        lines(5).alias("dates"))
+    notice = (F.size("cells") >= 6) & F.coalesce(F.get("ident", F.lit(0)).rlike(r"^\p{Nd}+$"), F.lit(False))
+    return rows.withColumn("dropped", F.when(~notice, HEADER)) if dropped else rows.filter(notice).withColumn(
+        "dropped", F.lit(None).cast("string"))
+
+
+def _without(df: DataFrame, reason: Column, dropped: bool) -> DataFrame:
+    """Only rows without a reason to drop them, or all rows with their reason."""
+    df = df.withColumn("dropped", F.coalesce("dropped", reason))
+    return df if dropped else df.filter(F.col("dropped").isNull())
 
 
 def _common(df: DataFrame) -> DataFrame:
     return df.select(
         "source_key", F.lit("list").alias("kind"), F.col("fetched_at").alias("observed_at"),
-        "raw_document_id", "cells", "ident", "brief", "org", "dates",
+        "raw_document_id", "cells", "ident", "brief", "org", "dates", "dropped",
         F.get("ident", F.lit(0)).alias("external_ref"),
         F.get("ident", F.lit(1)).alias("reference_no"),
         V.nature(F.get("brief", F.lit(0))).alias("procurement_nature"),
@@ -191,35 +206,34 @@ def _common(df: DataFrame) -> DataFrame:
         F.slice("brief", F.lit(2), F.greatest(F.size("brief") - 1, F.lit(0))).alias("rest"))
 
 
-def parse_list(cells: DataFrame, as_of: Column, base_url: str) -> DataFrame:
+def parse_list(cells: DataFrame, as_of: Column, base_url: str, dropped: bool = False) -> DataFrame:
     """List rows of electronic notices (six cells) -> observations."""
     package_no, description = split_brief(F.col("rest"))
-    df = (_common(_row_fields(html_rows(cells, 6)))
-          .select("*", package_no.alias("package_no"), description.alias("description"))
-          .filter(~is_test_record(F.col("description"), F.col("package_no")))
+    df = (_common(_row_fields(cells, dropped))
+          .select("*", package_no.alias("package_no"), description.alias("description")))
+    df = (_without(df, F.when(is_test_record(F.col("description"), F.col("package_no")), DEMONSTRATION), dropped)
           .withColumns({
               "title": F.coalesce("description", "package_no"),
               "organization": organization_from_lines(F.col("org")),
               "closing_at": V.local_timestamp(F.get("dates", F.lit(1))),
               "status": V.status(F.coalesce(F.get("ident", F.lit(2)), F.lit("live"))),
               "detail_url": F.concat(F.lit(f"{base_url}{DETAIL_PATH}?id="), "external_ref")}))
-    return as_observations(df)
+    return as_observations(df, *["dropped"] * dropped)
 
 
-def parse_offline(cells: DataFrame, as_of: Column, base_url: str) -> DataFrame:
+def parse_offline(cells: DataFrame, as_of: Column, base_url: str, dropped: bool = False) -> DataFrame:
     """List rows of offline notices -> observations; status comes from the dates."""
     hrefs = F.array_join(F.get("cells", F.lit(2))["hrefs"], " ")
     link = blank_to_null(F.regexp_extract(hrefs, OFFLINE_LINK, 1))
-    df = (_common(_row_fields(html_rows(cells, 6)))
-          .withColumn("description", blank_to_null(F.array_join("rest", " ")))
-          .filter(~is_test_record(F.col("description")))
+    df = _common(_row_fields(cells, dropped)).withColumn("description", blank_to_null(F.array_join("rest", " ")))
+    df = (_without(df, F.when(is_test_record(F.col("description")), DEMONSTRATION), dropped)
           .withColumns({
               "title": F.col("description"),
               "organization": organization_offline(F.col("org")),
               "closing_at": V.closing_timestamp(F.get("dates", F.lit(1))),
               "detail_url": F.concat(F.lit(f"{base_url}{OFFLINE_PATH}?p="), link)})
           .withColumn("status", V.derived_status(F.col("published_at"), F.col("closing_at"), as_of)))
-    return as_observations(df)
+    return as_observations(df, *["dropped"] * dropped)
 
 
 def labelled_value(fields: Column, labels: list[str]) -> Column:
@@ -242,16 +256,18 @@ def lots(rows: Column) -> Column:
     return F.filter(six, lambda x: x["lot_no"].rlike(r"^\p{Nd}+$") & x["security_amount"].isNotNull())
 
 
-def parse_detail(cells: DataFrame, as_of: Column, base_url: str) -> DataFrame:
+def parse_detail(cells: DataFrame, as_of: Column, base_url: str, dropped: bool = False) -> DataFrame:
     """Detail pages -> full observations."""
     df = cells.filter(F.cardinality("fields") > 0).withColumn("lots", lots(F.col("rows")))
     df = df.select("*", *[labelled_value(F.col("fields"), labels).alias(f"f_{n}") for n, labels in LABELS.items()])
     f = lambda name: F.col(f"f_{name}")
     package_no, description = split_package(f("package"))
-    df = (df.select("*", package_no.alias("package_no"), description.alias("description"))
-          .withColumn("external_ref", F.coalesce(f("external_ref"), blank_to_null(F.col("meta_ref"))))
-          .filter(F.col("external_ref").isNotNull()
-                  & ~is_test_record(F.col("description"), F.col("package_no")))
+    df = (df.select("*", package_no.alias("package_no"), description.alias("description"),
+                    F.lit(None).cast("string").alias("dropped"))
+          .withColumn("external_ref", F.coalesce(f("external_ref"), blank_to_null(F.col("meta_ref")))))
+    reason = F.when(F.col("external_ref").isNull(), NO_REFERENCE).when(
+        is_test_record(F.col("description"), F.col("package_no")), DEMONSTRATION)
+    df = (_without(df, reason, dropped)
           .withColumns({
               "kind": F.lit("detail"), "observed_at": F.col("fetched_at"),
               "title": F.coalesce("description", "package_no"),
@@ -270,7 +286,7 @@ def parse_detail(cells: DataFrame, as_of: Column, base_url: str) -> DataFrame:
               "app_id": f("app_id"),
               **{n: clean(f(n)) for n in ("reference_no", "district", "procurement_type",
                                           "eligibility_text", "project_name")}}))
-    return as_observations(df)
+    return as_observations(df, *["dropped"] * dropped)
 
 
 def parse_awards(cells: DataFrame, base_url: str = "") -> DataFrame:
@@ -309,7 +325,9 @@ def parse_awards(cells: DataFrame, base_url: str = "") -> DataFrame:
 
 # --------------------------------------------------------------- the job
 
-Parser = Callable[[DataFrame, Column, str], DataFrame]
+# A parser that is asked for its dropped rows too gets a fourth argument, True, and adds
+# the column ``dropped`` with the reason.
+Parser = Callable[..., DataFrame]
 
 # Source registry: (source key, payload kind) -> projection of its cells.
 PARSERS: dict[tuple[str, str], Parser] = {
@@ -324,11 +342,11 @@ AWARD_PARSERS: dict[tuple[str, str], Callable[[DataFrame, str], DataFrame]] = {
 
 
 def _records(cells_of: Callable[[Column], DataFrame], as_of: Column, base_url: str,
-             parsers: dict[tuple[str, str], Parser] | None) -> DataFrame:
+             parsers: dict[tuple[str, str], Parser] | None, dropped: bool = False) -> DataFrame:
     parts = []
     for (source, kind), parser in (parsers or PARSERS).items():
         mine = (F.col("source_key") == source) & (F.col("kind") == kind)
-        parts.append(parser(cells_of(mine).filter("error IS NULL"), as_of, base_url))
+        parts.append(parser(cells_of(mine).filter("error IS NULL"), as_of, base_url, *[True] * dropped))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -358,6 +376,50 @@ def parse_cells(cells: DataFrame, as_of: Column, base_url: str = "",
                        _awards(cells.filter, base_url))
 
 
+PAGE_COUNTS = ("source_key string, pages long, bytes long, started_at timestamp, parse_failures long, rows_kept long, "
+               "rows_header long, rows_demonstration long")
+
+
+def parse_counted(payloads: DataFrame, as_of: Column, base_url: str = "",
+                  parsers: dict[tuple[str, str], Parser] | None = None) -> tuple[ParseResult, DataFrame]:
+    """The parse of a batch, and what it counted per source on the way (``PAGE_COUNTS``).
+
+    Payloads are tokenized once and rows are parsed once, each into a checkpoint that
+    all outputs share; the counts are observed in these two passes, so nothing is read
+    to count. They are kept by registered source: their number does not grow with the
+    data. Payloads of any other source have no parser, and are counted by a pass of
+    their own when there are some."""
+    known = sorted({s for s, _ in [*(parsers or PARSERS), *AWARD_PARSERS]})
+    mine = {s: F.col("source_key") == s for s in known}
+    pages, failed, rows = Observation("pages"), Observation("failed"), Observation("rows")
+    size = F.length("content").cast("long")
+    seen = payloads.observe(
+        pages, F.collect_set(F.when(~F.col("source_key").isin(known), F.col("source_key"))).alias("others"),
+        *[m for i, s in enumerate(known) for m in (
+            F.count_if(mine[s]).alias(f"pages_{i}"), F.sum(F.when(mine[s], size)).alias(f"bytes_{i}"),
+            F.min(F.when(mine[s], F.col("fetched_at"))).alias(f"first_{i}"))])
+    cells = cut_lineage(tokenized(seen).observe(failed, *[
+        F.count_if(mine[s] & F.col("error").isNotNull()).alias(f"failed_{i}") for i, s in enumerate(known)]))
+    on_list = F.col("kind") == "list"
+    parsed = cut_lineage(_records(cells.filter, as_of, base_url, parsers, True).observe(rows, *[m for i, s in enumerate(known) for m in (
+        F.count_if(mine[s] & on_list & F.col("dropped").isNull()).alias(f"kept_{i}"),
+        F.count_if(mine[s] & on_list & (F.col("dropped") == HEADER)).alias(f"header_{i}"),
+        F.count_if(mine[s] & (F.col("dropped") == DEMONSTRATION)).alias(f"demo_{i}"))]))
+    p, f, r = pages.get, failed.get, rows.get
+    counts = cells.sparkSession.createDataFrame(
+        [(s, p[f"pages_{i}"], p[f"bytes_{i}"], p[f"first_{i}"], f[f"failed_{i}"], r[f"kept_{i}"], r[f"header_{i}"], r[f"demo_{i}"])
+         for i, s in enumerate(known) if p[f"pages_{i}"]], PAGE_COUNTS)
+    if p["others"]:
+        none = [F.lit(0).cast("long").alias(n) for n in ("rows_kept", "rows_header", "rows_demonstration")]
+        bad = cells.filter(F.col("error").isNotNull()).groupBy("source_key").agg(F.count("*").alias("bad"))
+        more = payloads.filter(~F.col("source_key").isin(known)).groupBy("source_key").agg(
+            F.count("*").alias("pages"), F.sum(size).alias("bytes"), F.min("fetched_at").alias("started_at"))
+        counts = counts.unionByName(more.join(bad, "source_key", "left").select(
+            "source_key", "pages", "bytes", "started_at", F.coalesce("bad", F.lit(0)).alias("parse_failures"), *none))
+    records = parsed.filter(F.col("dropped").isNull()).drop("dropped")
+    return ParseResult(records, failures(cells), _awards(cells.filter, base_url)), counts
+
+
 def failures(cells: DataFrame) -> DataFrame:
     """Dead letters, with the payload id that lets a fixed parser replay them."""
     return (cells.filter(F.col("error").isNotNull())

@@ -1,4 +1,4 @@
-"""Table scans, versioned snapshots, exports and copy checks."""
+"""Table scans, latest-wins upserts, exports and copy checks."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from noticelake.schemas import TABLES
-from noticelake.sources.archive import path_exists
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -15,43 +14,6 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
 
 
-_COMMIT = "version int, batch string"
-
-
-def _commits(spark: SparkSession, path: str) -> DataFrame | None:
-    folder = f"{path}/commits"
-    return spark.read.schema(_COMMIT).parquet(folder) if path_exists(spark, folder) else None
-
-
-def current_version(spark: SparkSession, path: str) -> int | None:
-    commits = _commits(spark, path)
-    return None if commits is None else commits.agg(F.max("version")).first()[0]
-
-
-def has_batch(spark: SparkSession, path: str, batch: str) -> bool:
-    """True when the batch is already part of a committed version."""
-    commits = _commits(spark, path)
-    return commits is not None and not commits.filter(F.col("batch") == batch).isEmpty()
-
-
-def publish_snapshot(df: DataFrame, path: str, batch: str | None = None) -> int:
-    """Write a new version of a current-state table, then commit it.
-
-    Readers see the newest committed version, so a job lost half-way leaves the
-    previous version in place and a rerun writes its directory afresh."""
-    spark = df.sparkSession
-    version = (current_version(spark, path) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{path}/snapshots/v{version:08d}")
-    spark.range(1).select(F.lit(version).alias("version"), F.lit(batch).cast("string").alias("batch")
-                          ).coalesce(1).write.mode("append").parquet(f"{path}/commits")
-    return version
-
-
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    version = current_version(spark, path)
-    return None if version is None else spark.read.parquet(f"{path}/snapshots/v{version:08d}")
-
-
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Insert-or-update: the newest change of a key replaces its stored row.
 

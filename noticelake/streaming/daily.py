@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from noticelake.operators import alerts, embedding, filters, matching, metrics
-from noticelake.sources.tables import publish_snapshot, read_snapshot
+from noticelake.sources import buckets
 from noticelake.streaming.jobs import alert_log, run_stages
 
 MATCH = ("user_id long, notice_id long, score double, layer2_score double, "
@@ -19,7 +19,8 @@ VECTOR = "id long, embedding array<float>, model string, source_text string, tex
 
 def daily(spark: SparkSession, path: str, notices: DataFrame, profiles: DataFrame, users: DataFrame,
           verdicts: DataFrame, as_of: str, embed_limit: int | None = None,
-          vectorizer: embedding.Vectorizer | None = None, model: str = embedding.MODEL) -> dict[str, str | None]:
+          vectorizer: embedding.Vectorizer | None = None, model: str = embedding.MODEL,
+          n_buckets: int = buckets.BUCKETS) -> dict[str, str | None]:
     """Run the chain over the tables below ``path``; returns each stage's error.
 
     Digest rows are written before anything is sent; what the sender appends to
@@ -27,13 +28,12 @@ def daily(spark: SparkSession, path: str, notices: DataFrame, profiles: DataFram
     day = as_of[:10]
 
     def table(name: str, schema: str) -> DataFrame:
-        df = read_snapshot(spark, f"{path}/{name}")
-        return spark.createDataFrame([], schema) if df is None else df
+        return buckets.read(spark, f"{path}/{name}", schema)
 
     def embed() -> None:
         held = table("embeddings", VECTOR)
         todo = embedding.needs_embedding(notices, held, model, embed_limit)
-        publish_snapshot(embedding.upsert_embeddings(held, embedding.embed(todo, vectorizer, model)), f"{path}/embeddings")
+        buckets.change(f"{path}/embeddings", VECTOR, ["id"], embedding.embed(todo, vectorizer, model), embedding.upsert_embeddings, buckets=n_buckets)
 
     def match() -> None:
         held = table("matches", MATCH)
@@ -41,7 +41,8 @@ def daily(spark: SparkSession, path: str, notices: DataFrame, profiles: DataFram
         fresh = matching.match_all(
             notices, active, table("embeddings", VECTOR), embedding.embed_profiles(active, vectorizer, model), as_of,
             model, seen=[held, verdicts]).select(*held.columns)
-        publish_snapshot(matching.upsert_matches(held, fresh), f"{path}/matches")
+        buckets.change(f"{path}/matches", MATCH, ["user_id", "notice_id"], fresh, matching.upsert_matches,
+                       buckets=n_buckets)
 
     def digest() -> None:
         log = alert_log(spark, f"{path}/alerts").filter(F.col("batch") != day)

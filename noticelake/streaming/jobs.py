@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from noticelake.operators import alerts as alerting, merge, metrics
+from noticelake.operators import alerts as alerting, awards, merge, metrics
 from noticelake.operators.accounts import MAX_FAILURES
 from noticelake.schemas import PAYLOAD
-from noticelake.session import cut_lineage
 from noticelake.sources import archive, parse
-from noticelake.sources.tables import path_exists
+from noticelake.sources.archive import path_exists
+from noticelake.sources.buckets import BUCKETS
 
 RUN_WINDOW = "30 minutes"
 
@@ -44,31 +44,36 @@ def batch_name(batch: DataFrame, stream: str, batch_id: int) -> str:
 
 
 def ingest(payloads: DataFrame, path: str, as_of: Column, base_url: str = "", stream: str = "ingest",
-           full_sweep: bool = True, **options) -> DataStreamWriter:
+           full_sweep: bool = False, n_buckets: int = BUCKETS, **options) -> DataStreamWriter:
     """Archive, parse and merge payloads as they arrive, and close the run.
 
-    The raw payload is stored before it is parsed, and tokenized once for
-    records, awards and failures. A run row per source says what the batch
-    brought and did and whether its yield fell; a batch that is replayed after its
-    commit adds nothing. ``full_sweep`` says that a batch is a whole sweep, and so
-    may serve later ones as a yardstick."""
+    The raw payload is stored before it is parsed; a batch is tokenized once and parsed
+    once. New awards go into the award table. A run row per source says what the batch
+    brought and did and whether its yield fell. Every output is named by the batch, and
+    what the merge did is stored before it is published, so a batch that is replayed
+    after any failure completes what is missing and adds nothing twice. ``full_sweep``
+    says that a batch is a whole sweep: only then may it fall short, and serve later
+    runs as a yardstick."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark, name = batch.sparkSession, batch_name(batch, stream, batch_id)
+        name = batch_name(batch, stream, batch_id)
         archive.archive_payloads(batch, f"{path}/archive", name)
-        cells = cut_lineage(parse.tokenized(batch))
-        result = parse.parse_cells(cells, as_of, base_url)
+        result, counts = parse.parse_counted(batch, as_of, base_url)
         result.failures.write.mode("overwrite").parquet(f"{path}/failures/batch={name}")
-        result.awards.write.mode("overwrite").parquet(f"{path}/award_pages/batch={name}")
-        merged = merge.merge_into(path, result.records, name, **options)
-        if merged is not None:
-            rows = metrics.ingest_runs(batch, cells, result.records, result.failures, merged).withColumns({
-                "run_id": F.xxhash64(F.lit(name), "source_key"), "finished_at": as_of, "is_full_sweep": F.lit(full_sweep)})
-            history = run_log(spark, path).filter(F.col("batch") != name)
-            metrics.yield_verdicts(rows, history).write.mode("overwrite").parquet(f"{path}/runs/batch={name}")
+        awards.insert_into(path, result.awards, name, n_buckets)
+        outcomes = merge.merge_into(path, result.records, name, n_buckets, **options)
+        close_run(path, name, counts, outcomes, as_of, full_sweep)
 
     return payloads.writeStream.foreachBatch(run)
 
 
+def close_run(path: str, name: str, counts: DataFrame, outcomes: DataFrame, as_of: Column, full_sweep: bool) -> None:
+    """Write the run rows of a batch; again with the same result if it is replayed."""
+    rows = metrics.ingest_runs(counts, outcomes).withColumns({
+        "run_id": F.xxhash64(F.lit(name), "source_key"), "finished_at": as_of, "is_full_sweep": F.lit(full_sweep)})
+    history = run_log(counts.sparkSession, path).filter(F.col("batch") != name)
+    metrics.yield_verdicts(rows, history).write.mode("overwrite").parquet(f"{path}/runs/batch={name}")
+
+
 RUN = ("run_id long, source_key string, started_at timestamp, finished_at timestamp, status string, "
        "is_full_sweep boolean, items_found long, batch string")
 

@@ -65,6 +65,29 @@ def test_candidates_are_exact_however_the_cells_are_cut(spark, limit, cell_rows)
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_narrow_money_bounds_take_more_rounds(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    notices, _ = data(seed, 400)
+    notices = [n[:5] + (n[5] or "RFQ", r.choice([None, 0, 1, 7, 8, 9, 63, 64, 65, 511, 4096, 10**9])) + n[7:] for n in notices]
+    users = [(u, r.choice([[], ["A"]]), [], [], lo, hi) for u, (lo, hi) in enumerate(
+        [(None, None), (64, 64), (0, 0), (8, 9), (65, 7), (None, 8), (10**9, None), (63, 511), (2, 6), (1, 10**9)])]
+    rounds, once = [], M.threshold_round
+    monkeypatch.setattr(M, "threshold_round", lambda *a: rounds.append(a[-1]) or once(*a))
+    n, u = frames(spark, notices, users)
+    got = {}
+    for row in M.candidates(n, u, AS_OF, limit=20, cell_rows=2, growth=4).orderBy("user_id", "position").collect():
+        got.setdefault(row.user_id, []).append(row.notice_id)
+    assert got == {k: v for k, v in brute(notices, users, limit=20).items() if v}
+    assert rounds[:3] == [2, 8, 32]
+
+
+def test_a_round_prunes_before_it_shuffles(spark):
+    n, u = frames(spark, *data(1, 50, 5))
+    plan = M.threshold_round(M._priced_cells(n, AS_OF), M._priced_user_cells(u), [], 10, 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 3 and plan.count("Exchange hashpartitioning") <= 3
+
+
 def test_unknown_method_passes_only_without_a_method_list(spark):
     notices, users = data(3)
     n, u = frames(spark, notices, users)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from noticelake import schemas as S
 from noticelake.operators import merge as M, quality
-from noticelake.sources import tables
+from noticelake.sources import buckets
 
 T0 = datetime(2026, 1, 1)
 NAMES = [f.name for f in S.OBSERVATION.fields]
@@ -152,28 +152,64 @@ def test_hash_ignores_whitespace_free_noise_and_money_scale(spark):
     assert M.healed(merged(spark, random_rows(3, 5)).current).isEmpty()
 
 
-@pytest.mark.parametrize("broadcast_keys", [0, M.BROADCAST_KEYS])
-def test_batch_keys_are_broadcast_only_when_few(spark, broadcast_keys):
-    rows = frame(spark, random_rows(2, 6))
-    plan = spark.range(10).select(F.lit("s").alias("source_key"), F.col("id").cast("string").alias("external_ref")
-                                  ).join(M.batch_keys(rows, broadcast_keys), S.KEY, "left_semi")
-    hinted = "strategy=broadcast" in plan._jdf.queryExecution().logical().toString()
-    assert hinted == (broadcast_keys > 0)
-
-
 def test_merge_job_is_idempotent_per_batch(spark, tmp_path):
     path = str(tmp_path)
     rows = random_rows(5, 10)
-    first = M.merge_into(path, frame(spark, rows), "0", hot_rows=None)
-    assert first is not None and M.merge_into(path, frame(spark, rows), "0", hot_rows=None) is None
+    first = M.merge_into(path, frame(spark, rows), "0", 4, hot_rows=None)
+    counts = sorted(map(str, first.collect()))
+    assert counts and sorted(map(str, M.merge_into(path, frame(spark, rows), "0", 4, hot_rows=None).collect())) == counts
     later = [dict(r, observed_at=r["observed_at"] + timedelta(days=1), kind="list", raw_document_id=0)
              for r in {r["external_ref"]: r for r in rows}.values()]
-    state = tables.read_snapshot(spark, f"{path}/notices").collect()
+    state = M.read_notices(spark, path).collect()
     again = [dict(o, **{n: s[n] for n in S.VALUE_FIELDS}) for o in later
              for s in state if s.external_ref == o["external_ref"]]
-    counts = M.merge_into(path, frame(spark, again), "1", hot_rows=None)
+    counts = M.merge_into(path, frame(spark, again), "1", 4, hot_rows=None)
     assert {r.outcome for r in counts.collect()} == {"unchanged"}
-    assert tables.current_version(spark, f"{path}/notices") == 2
+    assert buckets.head(spark, f"{path}/notices").version == 2
+
+
+def test_two_writers_of_the_same_notices_lose_nothing(spark, tmp_path, monkeypatch):
+    rows = random_rows(8, 12)
+    early, late = [r for r in rows if r["observed_at"] < T0 + timedelta(hours=3)], [r for r in rows if r["observed_at"] >= T0 + timedelta(hours=3)]
+    path, fold, meanwhile = str(tmp_path), M.fold_observations, []
+
+    def slow(current, observations, **options):  # the other batch is merged while this one is being folded
+        if not meanwhile:
+            meanwhile.append(True)
+            M.merge_into(path, frame(spark, early), "early", 4, hot_rows=None)
+        return fold(current, observations, **options)
+
+    monkeypatch.setattr(M, "fold_observations", slow)
+    M.merge_into(path, frame(spark, late), "late", 4, hot_rows=None)
+    whole = M.merge_observations(empty(spark), frame(spark, rows), hot_rows=None)
+    assert sorted(map(str, M.read_notices(spark, path).collect())) == sorted(map(str, whole.current.collect()))
+    assert sorted(map(str, M.read_versions(spark, path).collect())) == sorted(map(str, whole.versions.collect()))
+    assert [r.batch for r in buckets.batches(spark, f"{path}/notices").orderBy("version").collect()] == ["early", "late"]
+
+
+def test_a_lost_batch_leaves_no_trace_and_comes_again(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path), random_rows(9, 6)
+    M.merge_into(path, frame(spark, rows[:5]), "0", 4, hot_rows=None)
+    before = sorted(map(str, M.read_notices(spark, path).collect()))
+    monkeypatch.setattr(buckets, "create_once", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        M.merge_into(path, frame(spark, rows[5:]), "1", 4, hot_rows=None)
+    monkeypatch.undo()
+    assert sorted(map(str, M.read_notices(spark, path).collect())) == before
+    assert {r.batch for r in spark.read.parquet(f"{path}/versions").select("batch").distinct().collect()} == {0, 1}
+    held = M.read_versions(spark, path).count()
+    M.merge_into(path, frame(spark, rows[5:]), "1", 4, hot_rows=None)
+    assert M.read_versions(spark, path).count() > held
+
+
+def test_merge_heals_a_wrong_hash(spark, tmp_path):
+    path = str(tmp_path)
+    M.merge_into(path, frame(spark, [observation("a", 0, title="T")]), "0", 4, hot_rows=None)
+    right = M.read_notices(spark, path).first().canonical_hash
+    buckets.change(f"{path}/notices", S.NOTICE, S.KEY, M.read_notices(spark, path),
+                   lambda held, _: held.withColumn("canonical_hash", F.lit("wrong")))
+    counts = M.merge_into(path, frame(spark, [observation("a", 1, at=T0 + timedelta(hours=1), title="T")]), "1", 4, hot_rows=None)
+    assert [r.outcome for r in counts.collect()] == ["unchanged"] and M.read_notices(spark, path).first().canonical_hash == right
 
 
 def test_streams_and_restarts_do_not_share_batch_names(spark, tmp_path):
@@ -182,8 +218,8 @@ def test_streams_and_restarts_do_not_share_batch_names(spark, tmp_path):
         rows = frame(spark, [observation(f"k{n}", n, title="T")])
         rows.write.parquet(str(tmp_path / folder / "in"))
         source = spark.readStream.schema(S.OBSERVATION).parquet(str(tmp_path / folder / "in"))
-        writer = jobs.merge_stream(source, str(tmp_path / "out"), stream, hot_rows=None)
+        writer = jobs.merge_stream(source, str(tmp_path / "out"), stream, n_buckets=4, hot_rows=None)
         for _ in range(2):  # the second start finds its own batch done
             query = jobs.start(writer, str(tmp_path / folder / "checkpoint"))
             assert query.awaitTermination(300) and query.exception() is None
-    assert {r.external_ref for r in tables.read_snapshot(spark, str(tmp_path / "out" / "notices")).collect()} == {"k0", "k1", "k2"}
+    assert {r.external_ref for r in M.read_notices(spark, str(tmp_path / "out")).collect()} == {"k0", "k1", "k2"}

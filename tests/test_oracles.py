@@ -27,7 +27,7 @@ def test_only_the_needed_columns_are_read(spark, sf):
     assert "o_totalprice" not in plan and "c_mktsegment" not in plan
 
 
-@pytest.mark.parametrize("name", ["candidates_all_users", "unsent_matches", "facets", "trailing_yield"])
+@pytest.mark.parametrize("name", ["unsent_matches", "facets", "trailing_yield"])
 def test_top_k_is_pruned_before_the_shuffle(spark, sf, name):
     plan = queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan

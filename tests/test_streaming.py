@@ -2,11 +2,12 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from noticelake.operators import accounts, merge as M
+from noticelake.operators import accounts, merge
 from noticelake.schemas import NOTICE, OBSERVATION, PAYLOAD
-from noticelake.sources import tables
+from noticelake.sources import buckets, parse
 from noticelake.streaming import daily as D, jobs as J
 from tests.test_merge import T0, frame, random_rows
 from tests.test_parse import LIST_ROW, OFFLINE_ROW, payload
@@ -41,11 +42,11 @@ def test_merge_stream_equals_one_batch(spark, tmp_path):
     rows = random_rows(21, 15)
     feed(frame(spark, rows), str(tmp_path / "in"), 2, "observed_at")
     out = str(tmp_path / "out")
-    run(J.merge_stream(stream(spark, OBSERVATION, str(tmp_path / "in")), out, hot_rows=None), tmp_path, "m")
-    whole = M.merge_observations(spark.createDataFrame([], NOTICE), frame(spark, rows), hot_rows=None)
+    run(J.merge_stream(stream(spark, OBSERVATION, str(tmp_path / "in")), out, n_buckets=4, hot_rows=None), tmp_path, "m")
+    whole = merge.merge_observations(spark.createDataFrame([], NOTICE), frame(spark, rows), hot_rows=None)
     key = lambda df: sorted(map(str, df.collect()))
-    assert key(tables.read_snapshot(spark, f"{out}/notices")) == key(whole.current)
-    versions = spark.read.parquet(f"{out}/versions").select(*whole.versions.columns)
+    assert key(merge.read_notices(spark, out)) == key(whole.current)
+    versions = merge.read_versions(spark, out)
     assert key(versions) == key(whole.versions)
 
 
@@ -54,14 +55,48 @@ def test_ingest_archives_parses_and_merges(spark, tmp_path):
     feed(spark.createDataFrame(rows, PAYLOAD), str(tmp_path / "in"), 1, "url")
     out = str(tmp_path / "out")
     source = J.read_payload_stream(spark, str(tmp_path / "in"))
-    run(J.ingest(source, out, F.lit(datetime(2027, 4, 1)), hot_rows=None), tmp_path, "i")
-    assert {r.external_ref for r in tables.read_snapshot(spark, f"{out}/notices").collect()} == {"4400021", "5001"}
+    run(J.ingest(source, out, F.lit(datetime(2027, 4, 1)), n_buckets=4, hot_rows=None), tmp_path, "i")
+    assert {r.external_ref for r in merge.read_notices(spark, out).collect()} == {"4400021", "5001"}
     assert [r.url for r in spark.read.parquet(f"{out}/failures").collect()] == ["b"]
     assert spark.read.parquet(f"{out}/archive/blobs").count() == 3
     runs = {r.source_key: r for r in spark.read.parquet(f"{out}/runs").collect()}
     assert (runs["etender"].pages, runs["etender"].parse_failures, runs["etender"].status) == (2, 1, "partial")
     assert (runs["offline"].items_found, runs["offline"].items_new, runs["offline"].rows_dropped) == (1, 1, 0)
-    assert runs["offline"].yield_anomaly is None
+    assert runs["offline"].yield_anomaly is False
+
+
+def test_a_run_lost_after_the_merge_is_closed_by_the_replay(spark, tmp_path, monkeypatch):
+    rows = [payload(LIST_ROW, url="a"), payload(OFFLINE_ROW, "offline", url="c")]
+    feed(spark.createDataFrame(rows, PAYLOAD), str(tmp_path / "in"), 1, "url")
+    out, close, failed = str(tmp_path / "out"), J.close_run, []
+
+    def dies_once(*args):
+        if not failed:
+            failed.append(True)
+            raise RuntimeError("lost")
+        close(*args)
+
+    monkeypatch.setattr(J, "close_run", dies_once)
+    job = lambda: J.ingest(J.read_payload_stream(spark, str(tmp_path / "in")), out, F.lit(T0), full_sweep=True, n_buckets=4, hot_rows=None)
+    query = J.start(job(), str(tmp_path / "cp"))
+    with pytest.raises(Exception, match="lost"):
+        query.awaitTermination(600)
+    assert merge.read_notices(spark, out).count() == 2
+    assert J.start(job(), str(tmp_path / "cp")).awaitTermination(600)
+    runs = {r.source_key: (r.items_found, r.items_new, r.yield_anomaly) for r in spark.read.parquet(f"{out}/runs").collect()}
+    assert runs == {"etender": (1, 1, False), "offline": (1, 1, False)}
+    assert buckets.head(spark, f"{out}/notices").version == 1
+
+
+def test_counts_come_out_of_the_parse(spark):
+    demo = LIST_ROW.replace("</p>", " This is an INVALID tender</p>", 1)
+    rows = [payload(LIST_ROW + demo + "<tr><td>end</td></tr>", url="a"), payload(b"\x1f\x8bxx", url="b"),
+            payload(OFFLINE_ROW, "offline", url="c"), payload("?", "elsewhere", url="d"), payload(b"\x1f\x8bxx", "elsewhere", url="e")]
+    result, counts = parse.parse_counted(spark.createDataFrame(rows, PAYLOAD), F.lit(T0))
+    found = {r.source_key: r for r in counts.collect()}
+    assert {s: (r.pages, r.parse_failures, r.rows_kept, r.rows_header, r.rows_demonstration) for s, r in found.items()} == {
+        "etender": (2, 1, 1, 1, 1), "offline": (1, 0, 1, 0, 0), "elsewhere": (2, 1, 0, 0, 0)}
+    assert result.records.count() == 2 and result.failures.count() == 2
 
 
 def test_dedup_within_the_horizon(spark, tmp_path):
@@ -143,7 +178,7 @@ def test_daily_chain_twice(spark, tables, tmp_path):
     path = str(tmp_path)
     log = lambda: J.alert_log(spark, f"{path}/alerts")
     for as_of in ("1998-01-01 00:00:00", "1998-01-02 00:00:00", "1998-01-03 00:00:00"):
-        errors = D.daily(spark, path, corpus, profiles, users, verdicts, as_of)
+        errors = D.daily(spark, path, corpus, profiles, users, verdicts, as_of, n_buckets=4)
         assert set(errors.values()) == {None}, errors
         fresh = log().filter(F.col("batch") == as_of[:10])
         outcome = "failed" if as_of < "1998-01-02" else "sent"

@@ -7,23 +7,12 @@ from pyspark.sql import functions as F
 
 from noticelake.operators import alerts, awards, browse, embedding, metrics
 from noticelake.schemas import AWARD, RUN
-from noticelake.sources import tables
+from noticelake.sources import buckets, tables
 from noticelake.session import cut_lineage
 
 T0 = datetime(2026, 1, 1)
 
 
-def test_readers_see_committed_versions_only(spark, tmp_path):
-    path = str(tmp_path)
-    assert tables.read_snapshot(spark, path) is None
-    assert tables.publish_snapshot(spark.range(3), path, "a") == 1
-    spark.range(9).write.parquet(f"{path}/snapshots/v00000002")  # lost before its commit
-    assert tables.read_snapshot(spark, path).count() == 3
-    assert tables.publish_snapshot(spark.range(5), path, "b") == 2
-    assert tables.read_snapshot(spark, path).count() == 5
-    assert tables.has_batch(spark, path, "a") and not tables.has_batch(spark, path, "c")
-
-
 def test_checkpoints_go_to_the_configured_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
@@ -77,6 +66,17 @@ def test_repeated_award_pages_add_nothing(spark):
     assert first.count() == 3 and awards.new_awards(first, batch).isEmpty()
 
 
+def test_award_table_takes_each_award_once(spark, tmp_path):
+    row = lambda lot, winner: ("a", "1", lot, None, None, None, "E", None, None, winner, D("1.0"), T0, T0, None, 1)
+    path = str(tmp_path)
+    for name, lots in (("b1", ["1", None]), ("b2", ["1", None, "2"]), ("b2", ["1", None, "2"]), ("b3", ["2"])):
+        awards.insert_into(path, spark.createDataFrame([row(x, "W") for x in lots], AWARD), name)
+    held = buckets.read(spark, f"{path}/awards", AWARD)
+    assert sorted(str(r.pkg_lot_id) for r in held.collect()) == ["1", "2", "None"]
+    new = {r.batch: r.n for r in spark.read.parquet(f"{path}/new_awards").groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert new == {"b1": 2, "b2": 1}
+
+
 def test_big_alert_groups_keep_every_id(spark):
     urgent = spark.range(2500).select(F.lit(1).alias("user_id"), F.col("id").alias("notice_id"),
                                       (F.col("id") % 7).cast("double").alias("score"),
@@ -88,9 +88,8 @@ def test_big_alert_groups_keep_every_id(spark):
 
 
 def test_paging_limits():
-    f = browse.Filters(per_page=10_000, page=-5)
-    assert (f.limit, f.offset) == (100, 0)
-    assert browse.Filters(per_page=0).limit == 1 and browse.Filters(per_page=25, page=3).offset == 50
+    assert browse.rows_of(browse.Request(size=5_000, page=-2)) == (0, 100)
+    assert browse.rows_of(browse.Request(size=-3, page=4)) == (3, 1) and browse.rows_of(browse.Request(page=7)) == (150, 25)
 
 
 def test_sitemap_of_the_newest(spark, tmp_path):
