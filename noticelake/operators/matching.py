@@ -31,6 +31,8 @@ CANDIDATE_LIMIT, ARM_LIMIT, MATCH_LIMIT, KEYWORD_LIMIT = 500, 100, 50, 12
 # Fusion damping, relative floor and its absolute backstop.
 RRF_K, RELATIVE_FLOOR, ABSOLUTE_FLOOR = 60, 0.6, 0.15
 
+WORD_SALTS = 16
+
 PAIR = ["user_id", "notice_id"]
 CELL = ["c_district", "c_nature", "c_method"]
 # Securities of a cell lie within a factor of 8, so that money bounds exclude whole cells.
@@ -241,12 +243,14 @@ def profile_keywords(texts: DataFrame, limit: int = KEYWORD_LIMIT) -> DataFrame:
 def word_counts(notices: DataFrame, keywords: DataFrame) -> DataFrame:
     """(notice_id, counts): how often each word that is anyone's keyword occurs.
 
-    Counting shrinks every text before the shuffle; the words of a notice end up
-    beside it in a small map, so a word found everywhere makes no hot join key."""
-    vocabulary = keywords.select("word").distinct()
+    Counting shrinks every text before the shuffle, and the join with the words is salted
+    by notice, so a word found everywhere is spread over ``WORD_SALTS`` tasks; the words of a
+    notice end up beside it in a small map."""
+    salt = F.pmod(F.xxhash64("notice_id"), F.lit(WORD_SALTS)).cast("int")
+    vocabulary = keywords.select("word").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(WORD_SALTS - 1))))
     return (notices.select(F.col("id").alias("notice_id"), F.explode(tokens(document())).alias("word"))
-            .groupBy("notice_id", "word").agg(F.count("*").alias("n"))
-            .join(vocabulary, "word", "left_semi")
+            .groupBy("notice_id", "word").agg(F.count("*").alias("n")).withColumn("salt", salt)
+            .join(vocabulary, ["word", "salt"], "left_semi")
             .groupBy("notice_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n")))
                                       .alias("counts")))
 
