@@ -283,6 +283,11 @@ def read_versions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/versions").join(done, "batch", "left_semi").select(VERSION.fieldNames())
 
 
+def read_changed(spark: SparkSession, path: str, batch: str) -> DataFrame:
+    """The notices that a batch touched, in the state it left them in."""
+    return spark.read.schema(NOTICE).parquet(f"{path}/changed/batch={batch}")
+
+
 def merge_into(path: str, observations: DataFrame, batch: str, n_buckets: int = buckets.BUCKETS,
                **options) -> DataFrame:
     """Merge a named batch into the tables below ``path``; returns outcome counts per source.
@@ -300,7 +305,8 @@ def merge_into(path: str, observations: DataFrame, batch: str, n_buckets: int =
         result.versions.write.mode("overwrite").parquet(f"{path}/versions/batch={batch}")
         counts = result.outcomes.groupBy("source_key", "outcome", "kind").agg(F.sum("n").alias("n"))
         counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/outcomes/batch={batch}")
-        return apply_merge(current, result.current)
+        result.current.write.mode("overwrite").parquet(f"{path}/changed/batch={batch}")
+        return apply_merge(current, read_changed(spark, path, batch))
 
     buckets.change(f"{path}/notices", NOTICE, KEY, observations, rewrite, batch, n_buckets)
     return spark.read.schema("source_key string, outcome string, kind string, n long").parquet(f"{path}/outcomes/batch={batch}")

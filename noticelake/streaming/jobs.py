@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from noticelake.operators import alerts as alerting, awards, merge, metrics
+from noticelake.operators import alerts as alerting, awards, merge, metrics, postings
 from noticelake.operators.accounts import MAX_FAILURES
-from noticelake.schemas import PAYLOAD
+from noticelake.schemas import KEY, PAYLOAD
+from noticelake.session import cut_lineage
 from noticelake.sources import archive, parse
 from noticelake.sources.archive import path_exists
 from noticelake.sources.buckets import BUCKETS
@@ -44,7 +45,7 @@ def batch_name(batch: DataFrame, stream: str, batch_id: int) -> str:
 
 
 def ingest(payloads: DataFrame, path: str, as_of: Column, base_url: str = "", stream: str = "ingest",
-           full_sweep: bool = False, n_buckets: int = BUCKETS, **options) -> DataStreamWriter:
+           full_sweep: bool = False, n_buckets: int = BUCKETS, index: bool = True, **options) -> DataStreamWriter:
     """Archive, parse and merge payloads as they arrive, and close the run.
 
     The raw payload is stored before it is parsed; a batch is tokenized once and parsed
@@ -53,7 +54,7 @@ def ingest(payloads: DataFrame, path: str, as_of: Column, base_url: str = "", st
     what the merge did is stored before it is published, so a batch that is replayed
     after any failure completes what is missing and adds nothing twice. ``full_sweep``
     says that a batch is a whole sweep: only then may it fall short, and serve later
-    runs as a yardstick."""
+    runs as a yardstick. ``index`` keeps the postings of the notices up to date."""
     def run(batch: DataFrame, batch_id: int) -> None:
         name = batch_name(batch, stream, batch_id)
         archive.archive_payloads(batch, f"{path}/archive", name)
@@ -61,11 +62,18 @@ def ingest(payloads: DataFrame, path: str, as_of: Column, base_url: str = "", st
         result.failures.write.mode("overwrite").parquet(f"{path}/failures/batch={name}")
         awards.insert_into(path, result.awards, name, n_buckets)
         outcomes = merge.merge_into(path, result.records, name, n_buckets, **options)
+        if index:
+            postings.add(f"{path}/postings", searchable(merge.read_changed(batch.sparkSession, path, name)), KEY, name, n_buckets)
         close_run(path, name, counts, outcomes, as_of, full_sweep)
 
     return payloads.writeStream.foreachBatch(run)
 
 
+def searchable(notices: DataFrame) -> DataFrame:
+    """Stored notices with the organization that searches look at."""
+    return notices.withColumn("organization_path", parse.deepest(F.col("organization")))
+
+
 def close_run(path: str, name: str, counts: DataFrame, outcomes: DataFrame, as_of: Column, full_sweep: bool) -> None:
     """Write the run rows of a batch; again with the same result if it is replayed."""
     rows = metrics.ingest_runs(counts, outcomes).withColumns({
@@ -176,6 +184,73 @@ def urgent_alerts(matches: DataFrame, notices: DataFrame, users: DataFrame, path
     return matches.writeStream.foreachBatch(run)
 
 
+DUE = "user_id long, notice_id long, score double, closing_at timestamp, due_at timestamp"
+
+
+def due_matches(matches: DataFrame, ticks: DataFrame, within_hours: int = alerting.URGENT_HOURS) -> DataFrame:
+    """Matches at the moment their notice comes within ``within_hours`` of closing, each
+    pair once, whenever it was matched.
+
+    ``matches`` (user_id, notice_id, score, closing_at, matched_at) may come long before
+    that; ``ticks`` (at) are the clock, and need rows only as often as alerts should go
+    out. Event time moves with both. The state of a pair is its newest score and closing
+    date; its timer is the opening of its last hours, then the closing, when the state
+    ends. A notice whose closing moves before it was due takes its new time along; a pair that
+    is matched after the closing is dropped."""
+    window = within_hours * 3_600_000
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        score, closing, matched, fired = state.get if state.exists else (None, None, None, False)
+        if state.hasTimedOut and fired:
+            state.remove()
+            return
+        for rows in batches:
+            rows = rows.dropna(subset=["closing_at"])
+            for row in rows[rows["closing_at"].notna()].itertuples():
+                at = int(row.at.value // 1_000_000)
+                if matched is None or at >= matched:
+                    score, closing, matched = float(row.score), int(row.closing_at.value // 1_000_000), at
+        if closing is None:
+            return
+        if closing <= now:
+            if state.exists:
+                state.remove()
+            return
+        due = not fired and closing - window <= now
+        state.update((score, closing, matched, fired or due))
+        state.setTimeoutTimestamp(closing if fired or due else max(closing - window, now + 1))
+        if due:
+            yield pd.DataFrame({"user_id": [key[0]], "notice_id": [key[1]], "score": [score],
+                                "closing_at": [pd.Timestamp(closing, unit="ms")], "due_at": [pd.Timestamp(now, unit="ms")]})
+
+    none = F.lit(None)
+    rows = matches.select("user_id", "notice_id", "score", "closing_at", F.col("matched_at").alias("at")).unionByName(
+        ticks.select(none.cast("long").alias("user_id"), none.cast("long").alias("notice_id"), none.cast("double").alias("score"),
+                     none.cast("timestamp").alias("closing_at"), "at"))
+    return rows.withWatermark("at", "0 seconds").groupBy("user_id", "notice_id").applyInPandasWithState(
+        update, DUE, "score double, closing long, matched long, fired boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def alerts_when_due(matches: DataFrame, ticks: DataFrame, notices: DataFrame, users: DataFrame, path: str,
+                    stream: str = "due", **options) -> DataStreamWriter:
+    """Alert rows for the matches that become due, a row per user and batch. Pairs that
+    were pushed before, by this job or another, stay out; so do closed notices and
+    users who left."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, name = batch.sparkSession, batch_name(batch, stream, batch_id)
+        log = alert_log(spark, path).filter(F.col("batch") != name)
+        due = cut_lineage(batch)
+        if due.isEmpty():
+            return
+        now = due.agg(F.max("due_at").cast("string")).first()[0]
+        fresh = alerting.urgent_matches(due.select("user_id", "notice_id", "score"), notices, users, log, now, **options)
+        rows = alerting.alert_rows(alerting.group_alert_ids(fresh), "push", F.lit(now).cast("timestamp"))
+        rows.write.mode("overwrite").parquet(f"{path}/log/batch={name}")
+
+    return due_matches(matches, ticks).writeStream.outputMode("append").foreachBatch(run)
+
+
 ALERT = ("alert_id long, user_id long, channel string, notice_ids array<bigint>, created_at timestamp, batch string")
 OUTCOME = "alert_id long, ts timestamp, outcome string, error string"
 

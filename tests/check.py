@@ -68,6 +68,7 @@ def compare(con, df, oracle: str | None) -> str | None:
 
 def main(argv: list[str]) -> int:
     from noticelake.session import build_session
+    from noticelake.plans import streams  # noqa: F401  (registers its queries)
     from noticelake.plans.catalog import oracle_sql, queries
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"

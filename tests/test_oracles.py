@@ -2,6 +2,7 @@
 
 import pytest
 
+from noticelake.plans import streams  # noqa: F401  (registers its queries)
 from noticelake.plans.catalog import CATALOG, oracle_sql, queries
 from tests.check import compare, duck
 

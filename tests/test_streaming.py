@@ -5,8 +5,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from noticelake.operators import accounts, merge
-from noticelake.schemas import NOTICE, OBSERVATION, PAYLOAD
+from noticelake.operators import accounts, merge, postings, search
+from noticelake.schemas import KEY, NOTICE, OBSERVATION, PAYLOAD
 from noticelake.sources import buckets, parse
 from noticelake.streaming import daily as D, jobs as J
 from tests.test_merge import T0, frame, random_rows
@@ -63,6 +63,10 @@ def test_ingest_archives_parses_and_merges(spark, tmp_path):
     assert (runs["etender"].pages, runs["etender"].parse_failures, runs["etender"].status) == (2, 1, "partial")
     assert (runs["offline"].items_found, runs["offline"].items_new, runs["offline"].rows_dropped) == (1, 1, 0)
     assert runs["offline"].yield_anomaly is False
+    held = J.searchable(merge.read_notices(spark, out))
+    found = postings.search_notices(f"{out}/postings", held, KEY, "5001")
+    assert found.count() == held.filter(search.search_filter("5001")).count()
+    assert postings.read(spark, f"{out}/postings").select(*KEY).distinct().count() == 2
 
 
 def test_a_run_lost_after_the_merge_is_closed_by_the_replay(spark, tmp_path, monkeypatch):
@@ -164,6 +168,43 @@ def test_urgent_alerts_go_out_once(spark, tmp_path):
     assert sent == sorted([(1, 0), (1, 1), (1, 2)] + [(failed.user_id, i) for i in failed.notice_ids])
 
 
+def test_a_match_made_early_is_due_once_when_its_last_hours_begin(spark, tmp_path):
+    day = lambda d, h=0: T0 + timedelta(days=d, hours=h)
+    matches = [(1, 1, .5, day(10), day(0)), (1, 2, .4, day(1), day(0, 1)), (2, 1, .9, day(10), day(0, 2)), (2, 3, .3, None, day(0, 3)),
+               (1, 1, .6, day(10), day(9, 12)),  # matched again after it was due
+               (3, 5, .2, day(3), day(9)),       # matched after the closing
+               (4, 6, .1, day(12), day(1)), (4, 6, .1, day(20), day(2))]  # its closing moved
+    schema = "user_id long, notice_id long, score double, closing_at timestamp, matched_at timestamp"
+    ticks = [(day(d, 1),) for d in (1, 4, 8, 9, 11, 19, 21)]
+    events = sorted([(m[4], 0, m) for m in matches] + [(t[0], 1, t) for t in ticks], key=lambda e: e[:2])
+    for i, (_, kind, row) in enumerate(events):  # one file each, in order of time
+        for k, (name, fields) in enumerate((("m", schema), ("t", "at timestamp"))):
+            spark.createDataFrame([row] if k == kind else [], fields).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    source = lambda name, fields: stream(spark, fields, str(tmp_path / name))
+    got = into_memory(spark, J.due_matches(source("m", schema), source("t", "at timestamp")), "due", "append", tmp_path)
+    rows = {(r.user_id, r.notice_id): (r.due_at, round(r.score, 1)) for r in got.collect()}
+    assert got.count() == len(rows) == 4
+    assert rows[1, 1] == (day(8, 1), .5) and rows[2, 1] == (day(8, 1), .9)
+    assert rows[4, 6] == (day(19, 1), .1) and (1, 2) in rows
+
+
+def test_due_alerts_are_written_once(spark, tmp_path):
+    schema = "user_id long, notice_id long, score double, closing_at timestamp, matched_at timestamp"
+    notices = spark.createDataFrame([(i, "live", f"t{i}", T0 + timedelta(days=5)) for i in (1, 2)],
+                                    "id long, status string, title string, closing_at timestamp")
+    users = spark.createDataFrame([(1, None), (2, T0)], "user_id long, unsubscribed_at timestamp")
+    rows = [(u, n, .5, T0 + timedelta(days=5), T0) for u in (1, 2) for n in (1, 2)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "m"))
+    for d in (1, 4, 4.5):
+        spark.createDataFrame([(T0 + timedelta(days=d),)], "at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    out = str(tmp_path / "alerts")
+    for name in ("one", "two"):  # a stream that starts anew meets its own alerts
+        run(J.alerts_when_due(stream(spark, schema, str(tmp_path / "m")), stream(spark, "at timestamp", str(tmp_path / "t")),
+                              notices, users, out), tmp_path, name)
+    log = J.alert_log(spark, out).collect()
+    assert [(r.user_id, sorted(r.notice_ids)) for r in log] == [(1, [1, 2])] and log[0].created_at == T0 + timedelta(days=4)
+
+
 def test_stages_fail_alone():
     done = []
     errors = J.run_stages({"a": lambda: done.append("a"), "b": lambda: 1 / 0, "c": lambda: done.append("c")})
