@@ -60,7 +60,7 @@ def newest(out: DataFrame, keys: list[str]) -> DataFrame:
 
 def _stream_merge(t: Tables) -> DataFrame:
     folder = scratch(t.spark)
-    source = fed(parse.as_observations(t.observations()), f"{folder}/in", "observed_at")
+    source = fed(parse.as_observations(t.observations()), f"{folder}/in", "observed_at", 2)
     finished(jobs.merge_stream(source, f"{folder}/tables", n_buckets=8, always_latest=(), hot_rows=None), folder)
     return merge.read_notices(t.spark, f"{folder}/tables").select(
         "source_key", "external_ref", "title", "package_no", "description", "district",
@@ -84,7 +84,7 @@ def _(t):
     folder = scratch(t.spark)
     pages = t.list_payloads().unionByName(t.offline_payloads()).unionByName(t.award_payloads())
     names = [f.name for f in PAYLOAD.fields]
-    source = fed(pages.select(*[C(n).cast(PAYLOAD[n].dataType).alias(n) for n in names]), f"{folder}/in", "fetched_at", 2)
+    source = fed(pages.select(*[C(n).cast(PAYLOAD[n].dataType).alias(n) for n in names]), f"{folder}/in", "fetched_at", 1)
     finished(jobs.ingest(source, f"{folder}/tables", as_of(), n_buckets=8, hot_rows=None, index=False), folder)
     runs = t.spark.read.parquet(f"{folder}/tables/runs").groupBy("source_key").agg(
         F.sum("items_found").alias("n"), F.max("status").alias("ref"))
