@@ -28,7 +28,7 @@ def scratch(spark: SparkSession) -> str:
 def fed(df: DataFrame, folder: str, by: str, parts: int = 3) -> DataFrame:
     """The rows as a stream that gets them in ``parts`` batches, in the order of a time."""
     df, at = written(df), F.col(by).cast("double")
-    bounds = df.select(at.alias("at")).approxQuantile("at", [k / parts for k in range(1, parts)], 0.001)
+    bounds = df.select(at.alias("at")).approxQuantile("at", [k / parts for k in range(1, parts)], 0.001) if parts > 1 else []
     for low, high in zip([None, *bounds], [*bounds, None]):
         mine = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
         df.filter(mine).coalesce(1).write.mode("append").parquet(folder)
