@@ -115,14 +115,14 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     affected = under.join(shared, "anchor").groupBy("id", "key").agg(
         F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     texts = stored(rows.join(affected, ["id", "key"]).select("id", "key", "t", "shared", "hot").dropDuplicates(["id", "key"]))
-    # The counts and the way back are dealt alike; salted windows are counted per salt first.
-    windows = _windows(texts, window, anchor_words).repartition("h1", "h2", "salt")
+    # Hashed once; a window of many documents is counted per salt, and meets its rows per salt again.
+    windows = stored(_windows(texts, window, anchor_words))
     counts = windows.groupBy("h1", "h2", "salt").agg(least, most)
-    cold = windows.join(counts.where("salt < 0 AND least < most").drop("most"), ["h1", "h2", "salt"]).where("id > least")
+    cold = counts.where("salt < 0 AND least < most").drop("most")
     often = (counts.where("salt >= 0").groupBy("h1", "h2").agg(F.min("least").alias("least"), F.max("most").alias("most"))
              .where("least < most").drop("most"))
-    hot = windows.where("salt >= 0").join(often, ["h1", "h2"]).where("id > least")
-    hits = cold.select("id", "key", "start").union(hot.select("id", "key", "start"))
+    hot = often.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "least")
+    hits = windows.join(cold.union(hot), ["h1", "h2", "salt"]).where("id > least").select("id", "key", "start")
     spans = hits.groupBy("id", "key").agg(F.array_sort(F.collect_set("start")).alias("starts")).select(
         "id", "key", merged(F.col("starts"), window).alias("spans"))
     return seen.drop("anchors"), copies, texts.select("id", "key", "t").join(spans, ["id", "key"])
