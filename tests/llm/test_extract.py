@@ -1,5 +1,6 @@
 import time
 
+import numpy as np
 import pytest
 
 from noticelake.llm import extract
@@ -81,3 +82,31 @@ def test_a_hint_around_the_article_skips_nothing(wrapper, kind):
 def test_a_hint_inside_the_article_around_its_text():
     found = extract.main_text(page(f"<article><h1>Title</h1><div class='post share'><p>{LONG}</p><p>{LONG}</p></div></article>"))
     assert found == f"Title\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("body, text", [
+    (f"<p title='the hidden cost' data-style='display:none'>{LONG}</p>", LONG),
+    (f"<p>{LONG} <a class='ad'>Buy now</a><ins class=adsbygoogle>AD</ins><span style='display:none'>x</span>end</p>", f"{LONG} end"),
+    (f"<p>{LONG}</p><span hidden><div>gone</div></span><p>b", f"{LONG}\nb"),
+    (f"<p>a <span class='ad'>never closed</p><p>{LONG}</p>", f"a\n{LONG}"),
+    (f"<p>{LONG} a<script>var x = '<p>';</script>b<style>p</style> c</p>", f"{LONG} ab c"),
+    (f"<p>{LONG}</p><ul class='more-like-this'><li><a href=x>One thing</a><li><a href=y>Other thing, too</a></ul><p>{LONG}</p>", f"{LONG}\n{LONG}"),
+    (f"<p>{LONG} <a href=x>a link</a> in it</p><ul><li>plain<li>list</ul>", f"{LONG} a link in it\nplain\nlist"),
+    (f"<h2>A <a href=x>b</a> title</h2><p>{LONG}</p>", f"A b title\n{LONG}")])
+def test_inside_the_article(body, text):
+    assert extract.main_text(page(f"<article>{body}</article>")) == text
+
+
+def test_sibling_articles_are_one():
+    other = LONG.replace("article", "second part")
+    found = extract.main_text(page(f"<div><article><p>{LONG}</p><p>{LONG}</p></article><article><p>{other}</p></article>"
+                                   "<article><a href=x>More</a></article></div>"))
+    assert found == f"{LONG}\n{LONG}\n{other}"
+
+
+def test_flat_page_without_names(monkeypatch):
+    flat = page(f"<div>Home | Contact</div><h1>Title</h1><p>{LONG}</p><div>A short line</div><p>{LONG}</p><p>{LONG}</p>"
+                "<div><a href=a>Imprint</a> <a href=b>Terms</a></div>")
+    assert extract.main_text(flat) == f"Title\n{LONG}\nA short line\n{LONG}\n{LONG}"
+    monkeypatch.setattr(extract, "scores", lambda found: np.ones(len(found)))  # without scores nothing is told apart
+    assert "Home | Contact" in extract.main_text(flat) and "Imprint" in extract.main_text(flat)
