@@ -1117,6 +1117,14 @@ def _(t):
     return metrics.match_mix(t.matches())
 
 
+@query("match_mix_of_days", """
+SELECT count(*) AS total, count(DISTINCT user_id) AS users_with_matches, count(*) FILTER (matched_by = 'both') AS both,
+  count(*) FILTER (matched_by = 'semantic') AS semantic, count(*) FILTER (matched_by = 'keyword') AS keyword FROM matches""")
+def _(t):
+    day = F.date_add(F.lit("1998-01-01").cast("date"), (C("notice_id") % 31).cast("int"))
+    return metrics.match_mix_of_days(written(metrics.daily_match_mix(t.matches(), day)))
+
+
 @query("push_counts", f"SELECT count(*) FILTER (retired_at IS NULL) AS active, count(retired_at) AS retired FROM ({_HEALTH})")
 def _(t):
     return metrics.push_counts(accounts.subscription_health(t.sends()))
@@ -1209,6 +1217,17 @@ def _(t):
                     stamp("closing_at").alias("closing_at"), "status", "detail_url")
 
 
+def _list_pages_by_sql(t):
+    r = parse.parse_cells(parse.tokenized_by_sql(t.list_payloads()), as_of(), "https://x").records
+    return r.select("external_ref", "reference_no", "package_no", "description", "procurement_nature",
+                    "procurement_type", "procurement_method", C("organization.procuring_entity").alias("entity"),
+                    "organization.ministry", stamp("published_at").alias("published_at"),
+                    stamp("closing_at").alias("closing_at"), "status", "detail_url")
+
+
+CATALOG["parse_list_pages_by_sql"] = Entry(_list_pages_by_sql, CATALOG["parse_list_pages"].oracle)
+
+
 @query("parse_offline_pages", f"""
 SELECT external_ref, reference_no, coalesce(description, 'Desk "large"') AS title, procurement_nature,
   'Direct Procurement' AS procurement_method, organization_path AS agency, CAST(NULL AS VARCHAR) AS entity,

@@ -203,6 +203,14 @@ def _read(content: bytes, kind: str) -> tuple:
     return lots, list(labelled(rows).items()), None
 
 
+def read_payload(content: bytes, kind: str) -> tuple:
+    """(rows, labels, error) of one payload; what cannot be read is an error, not a failure."""
+    try:
+        return _read(content, kind)
+    except Exception as exc:  # noqa: BLE001
+        return None, None, f"{type(exc).__name__}: {exc}"
+
+
 def tokenize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow body: ``content`` -> ``rows`` and labels, or an ``error``.
 
@@ -211,10 +219,7 @@ def tokenize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         out = []
         for content, kind in zip(batch.column("content").to_pylist(),
                                  batch.column("kind").to_pylist(), strict=True):
-            try:
-                out.append(_read(content, kind))
-            except Exception as exc:  # noqa: BLE001
-                out.append((None, None, f"{type(exc).__name__}: {exc}"))
+            out.append(read_payload(content, kind))
         kept = [n for n in batch.schema.names if n != "content"]
         columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), (
             _ROWS, _MAP, pa.string()), strict=True)]

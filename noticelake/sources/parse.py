@@ -6,14 +6,14 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from noticelake.functions import values as V
 from noticelake.functions.text import (
     blank_to_null, contains_any, content_hash, squash, truncated)
 from noticelake.schemas import OBSERVATION
 from noticelake.session import cut_lineage
-from noticelake.sources.html import TOKENIZED, tokenize_batches
+from noticelake.sources.html import TOKENIZED, read_payload, tokenize_batches
 
 # Shapes of package numbers, links and page markers at the source.
 PACKAGE_NO = r"^(?=.*[\p{Nd}/])[\p{L}\p{N}_./()\-]+$"
@@ -76,6 +76,33 @@ def tokenized(payloads: DataFrame) -> DataFrame:
     return narrow.mapInArrow(tokenize_batches, schema)
 
 
+class _Cells:
+    """Cells of one payload, for SQL."""
+
+    def eval(self, kind: str, content: bytes):
+        yield read_payload(content, kind)
+
+
+def register_sql(spark: SparkSession, name: str = "payload_cells") -> None:
+    """Make the tokenizer a table function of SQL, to be joined laterally:
+
+        SELECT p.source_key, p.url, t.* FROM payloads p, LATERAL payload_cells(p.kind, p.content) t
+
+    It returns one row a payload: rows, fields and error, as :func:`tokenized` does; a null
+    payload has an error like any other that cannot be read."""
+    spark.udtf.register(name, F.udtf(_Cells, returnType=T.StructType(TOKENIZED), useArrow=True))
+
+
+def tokenized_by_sql(payloads: DataFrame, name: str = "payload_cells") -> DataFrame:
+    """As :func:`tokenized`, by the lateral join that SQL users write."""
+    spark = payloads.sparkSession
+    register_sql(spark, name)
+    return spark.sql(
+        "SELECT xxhash64(source_key, url, fetched_at, sha2(content, 256)) AS raw_document_id, source_key, kind, url, "
+        "fetched_at, try_element_at(meta, 'tender_id') AS meta_ref, t.* "
+        f"FROM {{payloads}} p, LATERAL {name}(p.kind, p.content) t", payloads=payloads)
+
+
 def html_rows(cells: DataFrame, min_cells: int) -> DataFrame:
     """Explode payloads into table rows having at least ``min_cells`` cells."""
     return (cells.select("raw_document_id", "source_key", "kind", "url", "fetched_at",

@@ -172,3 +172,17 @@ def test_blob_files(spark, tmp_path):
     files = archive.read_blob_files(spark, str(tmp_path), "etender", "list")
     [r] = P.parse_payloads(files, F.lit(AT)).records.collect()
     assert (r.external_ref, r.observed_at) == ("4400021", AT)
+
+
+def test_the_table_function_of_sql_reads_like_the_job(spark):
+    rows = [payload(LIST_ROW, url="a"), payload(b"\x1f\x8bxx", url="b"), payload(OFFLINE_ROW, "offline", url="c")]
+    rows.append(payload(None, url="d"))
+    pages = spark.createDataFrame(rows, PAYLOAD)
+    by_job, by_sql = P.tokenized(pages), P.tokenized_by_sql(pages)
+    assert by_sql.columns == by_job.columns
+    assert sorted(map(str, by_sql.collect())) == sorted(map(str, by_job.collect()))
+    assert P.tokenized_by_sql(pages.limit(0)).count() == 0
+    pages.createOrReplaceTempView("some_payloads")
+    found = spark.sql("SELECT p.url, size(t.rows) AS n, t.error IS NULL AS fine FROM some_payloads p, "
+                      "LATERAL payload_cells(p.kind, p.content) t").collect()
+    assert {r.url: r.fine for r in found}["b"] is False and {r.url for r in found} == {"a", "b", "c", "d"}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noticelake.operators import accounts, merge, postings, search
 from noticelake.schemas import KEY, NOTICE, OBSERVATION, PAYLOAD
-from noticelake.sources import buckets, parse
+from noticelake.sources import archive, buckets, parse
 from noticelake.streaming import daily as D, jobs as J
 from tests.test_merge import T0, frame, random_rows
 from tests.test_parse import LIST_ROW, OFFLINE_ROW, payload
@@ -103,6 +103,28 @@ def test_counts_come_out_of_the_parse(spark):
     assert result.records.count() == 2 and result.failures.count() == 2
 
 
+def test_blob_files_are_taken_once(spark, tmp_path):
+    import gzip
+
+    def put(day, name, body):
+        folder = tmp_path / "in" / "etender" / day
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(body)
+
+    out = str(tmp_path / "out")
+    for day, name, body in (("2026/01/02", "a.gz", gzip.compress(LIST_ROW.encode())), ("2026/01/02", "b.gz", b"\x1f\x8bxx"),
+                            ("2026/01/01", "c.gz", gzip.compress(LIST_ROW.replace("4400021", "4400022").encode())),
+                            ("2026/01/02", "notes.txt", b"no blob")):
+        put(day, name, body)
+        source = archive.stream_blob_files(spark, str(tmp_path / "in"), "etender", "list")
+        run(J.ingest(source, out, F.lit(datetime(2027, 4, 1)), n_buckets=4, hot_rows=None, index=False), tmp_path, "blobs")
+    log = spark.read.parquet(f"{out}/archive/fetch_log").collect()
+    assert sorted(r.url.rpartition("/")[2] for r in log) == ["a.gz", "b.gz", "c.gz"]
+    seen = {r.external_ref: r.last_seen_at for r in merge.read_notices(spark, out).collect()}
+    assert seen == {"4400021": datetime(2026, 1, 2), "4400022": datetime(2026, 1, 1)}
+    assert spark.read.parquet(f"{out}/failures").count() == 1
+
+
 def test_dedup_within_the_horizon(spark, tmp_path):
     rows = [payload("x", url=str(i)) for i in range(5)] + [payload("y", url="9")]
     feed(spark.createDataFrame(rows, PAYLOAD), str(tmp_path / "in"), 3, "url")
