@@ -4,14 +4,20 @@ A text is the set of its hashed terms: words in lower case without outer punctua
 and their first bytes (``STEMS`` of them), so that inflected words share terms. The
 score is a logistic function of a bias, a weight per term and, for every pair of
 terms, the product of their factor vectors: terms that are harmless alone, such as the
-name of a group and an ambiguous word, can weigh together. Only terms whose
-frequency differs between the classes (likelihood ratio) have weights, so long texts do
-not gather noise.
+name of a group and an ambiguous word, can weigh together, also when neither says
+anything alone. Terms whose frequency differs between the classes (likelihood ratio) have
+weights and factors, so long texts do not gather noise. What these leave unexplained is left
+to further factors, which all terms of at least ``PAIRED`` labelled documents have (a pair
+of rarer terms could not be told from chance): they start near zero, grow only where pairs
+keep explaining errors, and are kept only if they lower the loss on a tenth of the labelled
+documents that they have not seen.
 
 The model is fitted on at most ``most`` labelled documents, a documented bound; it is
 an array of ``BUCKETS`` rows at most, whatever the corpus. Without labels, or with
 labels of one kind, every score is the smoothed rate. Null and empty texts score by
-the bias."""
+the bias. Texts are read whole, however long. Repeated rows are scored alike, and each of
+them that has a label is a labelled document; columns other than id and text are not
+read, and an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -29,7 +35,10 @@ from noticelake.llm.labelled import held_out, sample
 BUCKETS = 1 << 20
 MOST = 12_000
 FACTORS = 8
-TERMS = 4096
+#: Documents of a term that has factors without differing between the classes.
+PAIRED = 20
+#: First spread of the factors: thousands of terms of it sum up to nothing.
+SPREAD = 0.003
 STEMS = (4, 5, 6)
 
 _OUTER = np.zeros(256, bool)  # punctuation that may stand around a term
@@ -59,43 +68,48 @@ def _logistic(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def informative(rows: list[tuple[np.ndarray, int]], most: int = TERMS, least: float = 8.0, one_in: int = 3000) -> np.ndarray:
-    """Buckets in two documents, and one in ``one_in``, or more, whose likelihood ratio passes ``least``."""
+def informative(rows: list[tuple[np.ndarray, int]], least: float = 8.0, one_in: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets in two documents, and one in ``one_in``, or more, whose likelihood ratio
+    passes ``least``; and those together with all of ``PAIRED`` documents."""
     least_rows = max(2, len(rows) // one_in)
     y = np.array([label for _, label in rows])
     seen = np.zeros((2, BUCKETS))
     for buckets, label in rows:
         seen[label][buckets] += 1
     total = np.array([(y == 0).sum(), (y == 1).sum()], float)[:, None]
-    share = seen.sum(0) / total.sum()
+    both = seen.sum(0)
+    share = both / total.sum()
     ratio = np.zeros(BUCKETS)
     with np.errstate(divide="ignore", invalid="ignore"):
         for got, expected in ((seen, total * share), (total - seen, total * (1 - share))):
             ratio += 2 * np.where(got > 0, got * np.log(got / expected), 0).sum(0)
-    ratio[seen.sum(0) < least_rows] = 0
-    best = np.argsort(-ratio, kind="stable")[:most]
-    return np.sort(best[ratio[best] > least])
+    alone = (ratio > least) & (both >= least_rows)
+    return np.flatnonzero(alone), np.flatnonzero(alone | (both >= max(PAIRED, least_rows)))
 
 
 def train(rows: list[tuple[np.ndarray, int]], epochs: int = 12, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Adaptive gradient descent on the logistic loss, in a fixed random order."""
-    chosen = informative(rows)
+    """Adaptive gradient descent on the logistic loss, in a fixed random order: first the
+    weights and factors of the terms that differ, then the further factors of all."""
+    alone, chosen = informative(rows)
     k = len(chosen)
     place = np.full(BUCKETS, k, np.int32)
     place[chosen] = np.arange(k)
+    known = [(p[p < k], y) for p, y in ((place[t], y) for t, y in rows)]
+    differs = np.zeros(k + 1, bool)
+    differs[place[alone]] = True
     rng = np.random.default_rng(11)
     good = sum(y for _, y in rows)
     bias = float(np.log((good + 1) / (len(rows) - good + 1)))
-    w, v = np.zeros(k + 1), rng.normal(0, 0.02, (k + 1, FACTORS))
-    v[k] = 0
+    w, v = np.zeros(k + 1), np.zeros((k + 1, FACTORS))
+    v[place[alone]] = rng.normal(0, 0.02, (len(alone) + 1, FACTORS))[:-1]
     gw, gv, gb = np.full(k + 1, 1e-8), np.full((k + 1, FACTORS), 1e-8), 1e-8
-    known = [(p[p < k], y) for p, y in ((place[t], y) for t, y in rows)]
+    telling = [(at[differs[at]], y) for at, y in known]
     for _ in range(epochs):
         for i in rng.permutation(len(known)):
-            at, y = known[i]
+            at, y = telling[i]
             f = v[at]
             total = f.sum(0)
-            error = _logistic(bias + w[at].sum() + 0.5 * float((total ** 2 - (f ** 2).sum(0)).sum())) - y
+            error = _logistic(bias + w[at].sum() + _pairs(f)) - y
             gb += error * error
             bias -= rate * error / gb ** 0.5
             step = error + decay * w[at]
@@ -104,7 +118,40 @@ def train(rows: list[tuple[np.ndarray, int]], epochs: int = 12, rate: float = 0.
             step = error * (total - f) + decay * f
             gv[at] += step ** 2
             v[at] -= rate * step / np.sqrt(gv[at])
-    return Model(bias, place, w.astype(np.float32), v.astype(np.float32))
+    base = [bias + float(w[at].sum()) + _pairs(v[at]) for at, _ in telling]
+    more = _further(known, base, k, epochs, rate, decay, rng)
+    return Model(bias, place, w.astype(np.float32), (v if more is None else np.hstack([v, more])).astype(np.float32))
+
+
+def _further(known: list[tuple[np.ndarray, int]], base: list[float], k: int, epochs: int, rate: float, decay: float,
+             rng: np.random.Generator) -> np.ndarray | None:
+    """Factors of all terms for what ``base`` leaves unexplained; none if they explain
+    nothing on the rows held back."""
+    order = rng.permutation(len(known))
+    back, seen = order[:len(known) // 10], order[len(known) // 10:]
+    if not len(back):
+        return None
+    v = rng.normal(0, SPREAD, (k + 1, FACTORS))
+    v[k] = 0
+    gv = np.ones((k + 1, FACTORS))  # first steps are as small as their gradients
+    for _ in range(epochs):
+        for i in rng.permutation(seen):
+            at, y = known[i]
+            f = v[at]
+            step = (_logistic(base[i] + _pairs(f)) - y) * (f.sum(0) - f) + decay * f
+            gv[at] += step ** 2
+            v[at] -= rate * step / np.sqrt(gv[at])
+    gain = np.array([_loss(base[i], known[i][1]) - _loss(base[i] + _pairs(v[known[i][0]]), known[i][1]) for i in back])
+    return v if gain.mean() > 2 * gain.std() / len(gain) ** 0.5 else None
+
+
+def _pairs(f: np.ndarray) -> float:
+    """The sum of the products of all pairs of factor vectors."""
+    return 0.5 * float((f.sum(0) ** 2 - (f ** 2).sum(0)).sum())
+
+
+def _loss(x: float, y: int) -> float:
+    return float(np.logaddexp(0, -x if y else x))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, part: int = 0, most: int = MOST,
@@ -130,13 +177,12 @@ def score(text: bytes | None, model: Model) -> float:
     at = model.place[terms(text)]
     at = at[at < len(model.weights) - 1]
     f = model.factors[at].astype(np.float64)
-    pairs = 0.5 * float((f.sum(0) ** 2 - (f ** 2).sum(0)).sum())
-    return _logistic(model.bias + float(model.weights[at].sum(dtype=np.float64)) + pairs)
+    return _logistic(model.bias + float(model.weights[at].sum(dtype=np.float64)) + _pairs(f))
 
 
 def scores(docs: DataFrame, model: Model, folds: int = 5, part: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of ``docs``."""
-    known = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS ints and TERMS rows of factors
+    known = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS ints, and rows of factors for the terms of the labelled sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

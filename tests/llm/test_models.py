@@ -47,6 +47,68 @@ def test_pairs_weigh_more_than_terms():
     assert toxicity.score(b"an Insult, to a group!", model) > 0.5 > max(low)
 
 
+@pytest.mark.parametrize("filling", [0, 8, 60])
+def test_pairs_of_terms_that_say_nothing_alone(filling):
+    """True if two words agree: each of the four is as common in both classes."""
+    rng = random.Random(filling)
+
+    def row():
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randrange(200)}" for _ in range(filling)] + [("alpha", "beta")[a], ("gamma", "delta")[b]]
+        rng.shuffle(words)
+        return " ".join(words).encode(), int(a == b)
+
+    rows, later = ([row() for _ in range(n)] for n in (1600, 400))
+    model = toxicity.train([(toxicity.terms(t), y) for t, y in rows])
+    assert area([toxicity.score(t, model) for t, _ in later], [y for _, y in later]) >= 0.95
+
+
+def test_further_factors_need_something_to_explain():
+    rng = random.Random(4)
+    rows = []
+    for i in range(1200):  # the label is one word's, but for noise
+        y = rng.random() < 0.5
+        words = [f"w{rng.randrange(100)}" for _ in range(30)] + ["bad"] * y
+        rows.append((toxicity.terms(" ".join(words).encode()), int(y ^ (rng.random() < 0.05))))
+    model = toxicity.train(rows)
+    assert model.factors.shape[1] == toxicity.FACTORS
+    assert toxicity.score(b"bad", model) > 0.8 > 0.2 > toxicity.score(b"good", model)
+
+
+def test_training_by_plain_loops():
+    """The same steps, term by term and pair by pair."""
+    rng = random.Random(7)
+    texts = [[f"t{rng.randrange(12)}" for _ in range(5)] + ["yes"] * (i % 2) for i in range(60)]
+    rows = [(toxicity.terms(" ".join(t).encode()), i % 2) for i, t in enumerate(texts)]
+    found = toxicity.train(rows, epochs=2)
+    alone, chosen = toxicity.informative(rows)
+    draw, n = np.random.default_rng(11), toxicity.FACTORS
+    first = draw.normal(0, 0.02, (len(alone) + 1, n))
+    w, v = {b: 0.0 for b in alone}, {b: [float(x) for x in first[j]] for j, b in enumerate(alone)}
+    gw, gv, gb, bias = {b: 1e-8 for b in alone}, {b: [1e-8] * n for b in alone}, 1e-8, float(np.log(31 / 31))
+    for _ in range(2):
+        for i in draw.permutation(len(rows)):
+            here, y = [b for b in rows[i][0] if b in w], rows[i][1]
+            x = bias + sum(w[b] for b in here)
+            x += sum(v[a][d] * v[b][d] for j, a in enumerate(here) for b in here[j + 1:] for d in range(n))
+            e = 1 / (1 + np.exp(-x)) - y
+            gb += e * e
+            bias -= 0.1 * e / gb ** 0.5
+            old = {b: list(v[b]) for b in here}
+            for b in here:
+                g = e + 1e-4 * w[b]
+                gw[b] += g * g
+                w[b] -= 0.1 * g / gw[b] ** 0.5
+                for d in range(n):
+                    g = e * sum(old[o][d] for o in here if o != b) + 1e-4 * old[b][d]
+                    gv[b][d] += g * g
+                    v[b][d] -= 0.1 * g / gv[b][d] ** 0.5
+    assert len(alone) and set(alone) <= set(chosen) and abs(found.bias - bias) < 1e-9
+    for b in alone:
+        at = found.place[b]
+        assert abs(found.weights[at] - w[b]) < 1e-5 and np.allclose(found.factors[at][:n], v[b], atol=1e-5)
+
+
 def test_ftrl_finds_the_sign():
     rows = [(np.array([1, k]), np.array([1.0, 1.0]), 1) for k in range(10, 40)] + [(np.array([2, k]), np.array([1.0, 1.0]), 0) for k in range(10, 40)]
     model = quality_model.ftrl(rows)
