@@ -1358,6 +1358,15 @@ def _(t):
     return archive.replay_failures(p, bad, as_of()).records.select("external_ref")
 
 
+@query("replay_of_sources", """
+SELECT 'etender' AS source_key, external_ref FROM notices WHERE id // 10 % 3 = 1""")
+def _(t):
+    pages = written(t.list_payloads().unionByName(t.offline_payloads()))
+    known = t.sources().filter("name LIKE '%etender'")
+    records = archive.replay_of_sources(pages, known.union(known), C("run_id") % 3 == 1, as_of()).records
+    return records.select("source_key", "external_ref")
+
+
 @query("probe_payloads", """
 SELECT count(*) AS records, array_to_string(list(external_ref ORDER BY external_ref)[1:3], ',') AS samples FROM notices GROUP BY id // 10""")
 def _(t):

@@ -186,3 +186,11 @@ def test_the_table_function_of_sql_reads_like_the_job(spark):
     found = spark.sql("SELECT p.url, size(t.rows) AS n, t.error IS NULL AS fine FROM some_payloads p, "
                       "LATERAL payload_cells(p.kind, p.content) t").collect()
     assert {r.url: r.fine for r in found}["b"] is False and {r.url for r in found} == {"a", "b", "c", "d"}
+
+
+def test_replay_of_registered_sources_only(spark):
+    pages = spark.createDataFrame([payload(LIST_ROW, url="a"), payload(LIST_ROW, url="b"), payload(OFFLINE_ROW, "offline", url="c")], PAYLOAD)
+    sources = spark.createDataFrame([("etender",), ("etender",), ("other",), (None,)], "source_key string")
+    found = archive.replay_of_sources(pages, sources, F.col("url") != "b", F.lit(AT))
+    assert [r.external_ref for r in found.records.collect()] == ["4400021"] and found.failures.count() == 0
+    assert archive.replay_of_sources(pages, sources.limit(0), F.lit(True), F.lit(AT)).records.count() == 0
