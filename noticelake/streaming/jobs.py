@@ -131,40 +131,71 @@ def first_opens(opens: DataFrame) -> DataFrame:
     return opens.groupBy("alert_id").agg(F.min("opened_at").alias("opened_at"))
 
 
-def subscription_health(sends: DataFrame) -> DataFrame:
+SUBSCRIBED, OK, GONE, FAILED = range(4)
+
+
+def subscription_health(sends: DataFrame, idle_days: int | None = None) -> DataFrame:
     """Failure count and retirement per endpoint, kept as state across batches.
 
     ``sends`` has (endpoint, ts, seq, outcome). The state of an endpoint is three
-    values however long its history; one batch of one endpoint is bounded by
-    the files a trigger reads."""
+    values however long its history. Its events of one micro-batch are folded chunk by
+    chunk to 17 bytes each, and only those since its last subscription so far are kept.
+    With ``idle_days`` the state of an endpoint ends when event time is that far beyond
+    its last event; one that comes back later starts afresh, and events that come later
+    than that are dropped."""
     out = "endpoint string, failure_count long, retired_at timestamp, last_success_at timestamp"
     state_schema = "failures long, retired_at timestamp, last_success_at timestamp"
+    codes = {"subscribe": SUBSCRIBED, "ok": OK, "gone": GONE}
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         failures, retired, success = state.get if state.exists else (0, None, None)
-        events = pd.concat(list(batches)).sort_values(["ts", "seq"], ignore_index=True)
-        good = events[events["outcome"] == "ok"]
-        success = good["ts"].iloc[-1] if len(good) else success
-        # A subscription starts afresh: only what follows the last one counts.
-        renewed = events.index[events["outcome"] == "subscribe"]
-        if len(renewed):
-            failures, retired, events = 0, None, events.loc[renewed[-1] + 1:]
+        since, last, parts = None, None, []
+        for rows in batches:
+            code = rows["outcome"].map(codes).fillna(FAILED).astype("int8")
+            part = pd.DataFrame({"ts": rows["ts"], "seq": rows["seq"], "code": code})
+            last = max([x for x in (last, part["ts"].max()) if x is not None])
+            good = part.loc[code == OK, "ts"]
+            if len(good):
+                success = good.max() if success is None else max(success, good.max())
+            new = part[code == SUBSCRIBED]
+            if len(new):
+                newest = max(zip(new["ts"], new["seq"]))
+                since = newest if since is None else max(since, newest)
+            parts.append(_after(part, since))
+        events = _after(pd.concat(parts), since).sort_values(["ts", "seq"], ignore_index=True)
+        if since is not None:  # a subscription starts afresh
+            failures, retired = 0, None
         if retired is None and len(events):
-            bad = ~events["outcome"].isin(["ok", "gone"])
-            run = (events["outcome"] == "ok").cumsum()
+            bad = events["code"] == FAILED
+            run = (events["code"] == OK).cumsum()
             streak = bad.groupby(run).cumsum() + failures * (run == 0)
-            over = events.index[(events["outcome"] == "gone") | bad & (streak >= MAX_FAILURES)]
-            last = over[0] if len(over) else events.index[-1]
-            retired = events.at[last, "ts"] if len(over) else None
-            failures = int(streak.at[last])
+            over = events.index[(events["code"] == GONE) | bad & (streak >= MAX_FAILURES)]
+            at = over[0] if len(over) else events.index[-1]
+            retired = events.at[at, "ts"] if len(over) else None
+            failures = int(streak.at[at])
         state.update((failures, retired, success))
+        if idle_days is not None:
+            # The watermark is ``idle_days`` behind: it reaches the last event when these are over.
+            state.setTimeoutTimestamp(max(int(last.value // 1_000_000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({
             "endpoint": [key[0]], "failure_count": [failures],
             "retired_at": pd.to_datetime(pd.Series([retired])),
             "last_success_at": pd.to_datetime(pd.Series([success]))})
 
-    return sends.groupBy("endpoint").applyInPandasWithState(
-        update, out, state_schema, "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout
+    if idle_days is not None:
+        sends, timeout = sends.withWatermark("ts", f"{idle_days} days"), GroupStateTimeout.EventTimeTimeout
+    return sends.groupBy("endpoint").applyInPandasWithState(update, out, state_schema, "update", timeout)
+
+
+def _after(events: pd.DataFrame, since: tuple | None) -> pd.DataFrame:
+    """The events after a (ts, seq); all of them without one."""
+    if since is None:
+        return events
+    return events[(events["ts"] > since[0]) | (events["ts"] == since[0]) & (events["seq"] > since[1])]
 
 
 def urgent_alerts(matches: DataFrame, notices: DataFrame, users: DataFrame, path: str, as_of: str,

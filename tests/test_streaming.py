@@ -157,6 +157,21 @@ def test_subscription_state_equals_the_batch(spark, tmp_path):
             for r in accounts.subscription_health(df).collect()} == want
 
 
+def test_idle_endpoints_leave_the_state(spark, tmp_path):
+    day = lambda d: T0 + timedelta(days=d)
+    rows = [("a", day(0), 1, "error"), ("a", day(0), 2, "error"), ("b", day(0), 3, "error"), ("b", day(20), 4, "error"),
+            ("c", day(40), 5, "ok"), ("b", day(41), 6, "error"), ("a", day(42), 7, "error"), ("c", day(43), 8, "error")]
+    schema = "endpoint string, ts timestamp, seq long, outcome string"
+    for row in rows:  # one micro-batch each
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    counts = {}
+    for idle in (30, None):
+        source = stream(spark, schema, str(tmp_path / "in"))
+        got = into_memory(spark, J.subscription_health(source, idle), f"idle_{idle}", "update", tmp_path)
+        counts[idle] = {e: [r.failure_count for r in got.collect() if r.endpoint == e][-1] for e in "abc"}
+    assert counts == {30: {"a": 1, "b": 3, "c": 1}, None: {"a": 3, "b": 3, "c": 1}}
+
+
 def test_verdicts_and_opens_keep_the_right_event(spark, tmp_path):
     rows = [(1, 7, "up", T0), (1, 7, "down", T0 + timedelta(hours=1)), (2, 7, "up", T0)]
     df = spark.createDataFrame(rows, "user_id long, notice_id long, verdict string, created_at timestamp")
