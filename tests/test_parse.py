@@ -194,3 +194,27 @@ def test_replay_of_registered_sources_only(spark):
     found = archive.replay_of_sources(pages, sources, F.col("url") != "b", F.lit(AT))
     assert [r.external_ref for r in found.records.collect()] == ["4400021"] and found.failures.count() == 0
     assert archive.replay_of_sources(pages, sources.limit(0), F.lit(True), F.lit(AT)).records.count() == 0
+
+
+def test_a_batch_of_pages_leaves_in_slices_of_bounded_size():
+    import pyarrow as pa
+
+    n = 40
+    page = (LIST_ROW * 600).encode()
+    batch = pa.RecordBatch.from_pydict({"url": [str(i) for i in range(n)], "kind": ["list"] * n, "content": [page] * n})
+    out = list(H.tokenize_batches([batch]))
+    cells = [sum(len(r) for p in b.column("rows") for r in p) for b in out]
+    assert len(out) > 2 and max(cells) < H.CELLS_AT_ONCE + 600 * 6
+    assert [u.as_py() for b in out for u in b.column("url")] == [str(i) for i in range(n)]
+    assert sum(cells) == n * 600 * 6
+
+
+def test_pages_of_plain_tags_are_split_in_one_step_and_others_are_not():
+    for plain in (LIST_ROW.replace("f('a>b')", "f()"), OFFLINE_ROW.replace("5'", "5")):
+        end, slow = 0, []
+        for start, stop, closing, tag, attributes in H._marks(plain):
+            slow.append((plain[end:start], closing, tag, attributes))
+            end = stop
+        assert list(H._nodes(plain))[:-1] == slow and len(H._PLAIN.split(plain)) // 4 == len(slow)
+    hidden = "<tr><td>a<!-- <td>b --><script>'<td>c'</script><td title='>'>d"
+    assert [[c["texts"] for c in r] for r in H.table_cells(hidden)] == [[["a"], ["d"]]]

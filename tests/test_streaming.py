@@ -266,3 +266,15 @@ def test_daily_chain_twice(spark, tables, tmp_path):
             for d in ("1998-01-01", "1998-01-02", "1998-01-03")}
     # The first day's mail failed and comes back, unless better matches came up; what was sent does not.
     assert days["1998-01-01"] & days["1998-01-02"] and not days["1998-01-02"] & days["1998-01-03"]
+
+
+def test_blobs_are_files_of_bounded_size(spark, sf, tmp_path, monkeypatch):
+    from noticelake.plans import streams as S
+
+    monkeypatch.setattr(S, "PAGES_PER_BLOB", 5)
+    monkeypatch.setattr(S, "scratch", lambda spark: str(tmp_path))
+    found = S.CATALOG["blob_files"].run(S.Tables(spark, sf))
+    assert found.count() == S.Tables(spark, sf).notices().count()
+    blobs = spark.read.option("wholetext", True).text(str(tmp_path / "etender/1998/01/02"))
+    rows = blobs.select((F.size(F.split("value", "<tr")) - 1).alias("n"))  # a page has ten
+    assert rows.agg(F.max("n")).first()[0] <= 50
