@@ -295,10 +295,9 @@ class Tables:
     def _payloads(self, rows: DataFrame, source: str, kind: str) -> DataFrame:
         """Pack (page, pos, html) rows, at most a page's worth each, into payloads.
 
-        Parsing costs far more per byte than a shuffle does, so the small pages
-        keep one partition per core instead of being coalesced by size."""
-        cores = self.spark.sparkContext.defaultParallelism
-        pages = rows.repartition(cores, "page").groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+        Pages are dealt over as many tasks as their size asks for, a core's worth at least:
+        parsing costs far more per byte than a shuffle does."""
+        pages = rows.repartition("page").groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
             F.struct("pos", "html"))), lambda x: x["html"]), "").alias("html"))
         return pages.select(
             F.lit(source).alias("source_key"), F.col("page").alias("run_id"),

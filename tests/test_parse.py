@@ -218,3 +218,10 @@ def test_pages_of_plain_tags_are_split_in_one_step_and_others_are_not():
         assert list(H._nodes(plain))[:-1] == slow and len(H._PLAIN.split(plain)) // 4 == len(slow)
     hidden = "<tr><td>a<!-- <td>b --><script>'<td>c'</script><td title='>'>d"
     assert [[c["texts"] for c in r] for r in H.table_cells(hidden)] == [[["a"], ["d"]]]
+
+
+def test_pages_are_dealt_by_their_size_and_not_into_a_task_per_core(spark, tables):
+    # The number of tasks is open, so the planner chooses it by size.
+    for pages in (tables.list_payloads(), tables.detail_payloads(), tables.award_payloads()):
+        plan = pages._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan
