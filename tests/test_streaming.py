@@ -268,6 +268,18 @@ def test_daily_chain_twice(spark, tables, tmp_path):
     assert days["1998-01-01"] & days["1998-01-02"] and not days["1998-01-02"] & days["1998-01-03"]
 
 
+def test_a_fed_batch_is_several_files_and_batches_keep_the_order_of_time(spark, tmp_path):
+    from noticelake.plans.streams import fed, updates
+
+    rows = spark.range(0, 6000, 1, 8).select("id", F.timestamp_seconds("id").alias("at"))
+    out = updates(fed(rows, str(tmp_path / "in"), "at"), str(tmp_path), "append")
+    files = len(list((tmp_path / "in").glob("*.parquet")))
+    spans = sorted((r.batch, r.low, r.high) for r in out.groupBy("batch").agg(
+        F.min("id").alias("low"), F.max("id").alias("high")).collect())
+    assert files > 3 and [s[0] for s in spans] == [0, 1, 2] and out.count() == 6000
+    assert spans[0][2] < spans[1][1] and spans[1][2] < spans[2][1]
+
+
 def test_blobs_are_files_of_bounded_size(spark, sf, tmp_path, monkeypatch):
     from noticelake.plans import streams as S
 
