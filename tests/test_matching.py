@@ -167,3 +167,28 @@ def test_keywords_are_ordered_by_count_then_word(spark):
     texts = spark.createDataFrame([(1, "pump pump water tube tube the 12"), (2, "পানি ১২ ab")], "user_id long, text string")
     rows = M.profile_keywords(texts, 3).orderBy("user_id", "position").collect()
     assert [(r.user_id, r.word) for r in rows] == [(1, "pump"), (1, "tube"), (1, "water"), (2, "পানি")]
+
+
+def test_users_of_equal_constraints_share_one_round_and_others_do_not(spark, tables, monkeypatch):
+    from noticelake.plans.proxies import AS_OF
+
+    profiles, notices = tables.customer_profiles(), tables.notices()
+    seen = tables.matches().select("user_id", "notice_id").filter("user_id % 2 = 0")
+    twice = profiles.unionByName(profiles.filter("user_id = 7").withColumn("district_names", F.array(F.lit("FRANCE"))))
+    rounds, whole = [], M.threshold_round
+
+    def spied(cells, users, *rest):
+        rounds.append(users.select("user_id").distinct().count())
+        return whole(cells, users, *rest)
+
+    def rows(df):
+        return sorted(map(tuple, df.select("user_id", "notice_id", "position").collect()))
+
+    for excluded in ([], [seen]):
+        monkeypatch.setattr(M, "threshold_round", spied)
+        shared = rows(M.candidates(notices, twice, AS_OF, excluded, limit=9, cell_rows=4))
+        monkeypatch.setattr(M, "_classes", lambda p, s: p.withColumn("head", F.col("user_id")))
+        alone = rows(M.candidates(notices, twice, AS_OF, excluded, limit=9, cell_rows=4))
+        monkeypatch.undo()
+        assert shared == alone and shared
+    assert rounds[0] < profiles.count()
