@@ -223,3 +223,16 @@ def test_streams_and_restarts_do_not_share_batch_names(spark, tmp_path):
             query = jobs.start(writer, str(tmp_path / folder / "checkpoint"))
             assert query.awaitTermination(300) and query.exception() is None
     assert {r.external_ref for r in M.read_notices(spark, str(tmp_path / "out")).collect()} == {"k0", "k1", "k2"}
+
+
+def test_both_paths_tell_an_unknown_document_from_document_zero(spark):
+    rows = [observation("a", None, title="A"), observation("a", 0, title="A"), observation("a", 0, title="A")]
+    fold = lambda hot: sorted((r.raw_document_id or -1, r._copies) for r in M.fold_observations(
+        empty(spark), frame(spark, rows), (), hot, 3600).select("raw_document_id", "_copies").collect())
+    assert fold(None) == fold(0) and len(fold(0)) == 2
+
+
+def test_the_fold_of_oversized_keys_shuffles_a_few_times(spark):
+    folded = M.fold_observations(empty(spark), frame(spark, random_rows(4, 3)), (), 0, 3600).select("external_ref", "outcome")
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 16
