@@ -647,13 +647,14 @@ def _two_batches(t: Tables) -> tuple[merge.MergeResult, merge.MergeResult]:
     observations = parse.as_observations(t.observations())
     early = C("raw_document_id") % 4 < 2
     first = merge.merge_observations(t.spark.createDataFrame([], NOTICE), observations.filter(early), always_latest=(), hot_rows=None)
+    first = first._replace(current=written(first.current))
     return first, merge.merge_observations(first.current, observations.filter(~early), always_latest=(), hot_rows=None)
 
 
 @query("merge_second_batch_current")
 def _(t):
     first, second = _two_batches(t)
-    return merge.apply_merge(first.current, second.current).select(
+    return merge.apply_merge(first.current, written(second.current)).select(
         "source_key", "external_ref", "title", "package_no", "description", "district",
         dbl("tender_security").alias("tender_security"), stamp("closing_at").alias("closing_at"),
         "status", "canonical_hash", stamp("last_seen_at").alias("last_seen_at"),
