@@ -19,7 +19,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from noticelake.functions.text import tokens
+from noticelake.functions.text import let, tokens
 from noticelake.operators import search
 from noticelake.session import written
 from noticelake.sources import buckets
@@ -44,15 +44,32 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.transform(places, lambda i: F.concat(F.lit("#"), F.substring(low, i, F.lit(GRAM)))))
 
 
+def _places(words: Column) -> Column:
+    """(term, positions) of the words of one text: sorted, equal words are a run."""
+    each = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
+
+    def runs(sorted_words: Column) -> Column:
+        term = lambda i: F.get(sorted_words, i)["term"]
+        ends = F.filter(F.sequence(F.lit(1), F.size(sorted_words)), lambda i: ~term(i).eqNullSafe(term(i - 1)))
+        return let(sorted_words["at"], lambda at: let(ends, lambda e: F.transform(e, lambda end, n: let(
+            F.coalesce(F.when(n > 0, F.get(e, n - 1)), F.lit(0)), lambda start: F.struct(
+                term(start).alias("term"), F.slice(at, start + 1, end - start).alias("positions"))))))
+
+    kind = "array<struct<term:string,positions:array<int>>>"
+    return F.when(F.size(words) > 0, let(each, runs)).otherwise(F.array().cast(kind))
+
+
 def postings(notices: DataFrame, keys: list[str]) -> DataFrame:
-    """(term, keys, digest, positions) of notices; a trigram has no positions."""
-    words = F.transform(tokens(search.document()), lambda w, i: F.struct(w.alias("term"), i.alias("at")))
-    none = F.lit(None).cast("int")
-    grams = [F.transform(F.coalesce(_grams(F.col(c)), F.array().cast("array<string>")), lambda g: F.struct(g.alias("term"), none.alias("at")))
+    """(term, keys, digest, positions) of notices; a trigram has no positions.
+
+    All words of a notice are in one row and are grouped there: nothing is shuffled."""
+    none = F.array().cast("array<int>")
+    grams = [F.transform(F.coalesce(_grams(F.col(c)), F.array().cast("array<string>")), lambda g: F.struct(g.alias("term"), none.alias("positions")))
              for c in _NUMBERS]
-    each = notices.select(*keys, digest().alias("digest"), F.explode(F.concat(words, *grams)).alias("p"))
-    # All words of a notice are in one row, so this needs no shuffle but that to the key.
-    return each.groupBy("p.term", *keys, "digest").agg(F.sort_array(F.collect_list("p.at")).alias("positions"))
+    terms = notices.select(*keys, digest().alias("digest"), let(tokens(search.document()), _places).alias("words"),
+                           F.array_distinct(F.concat(*grams)).alias("grams"))
+    each = terms.select(*keys, "digest", F.explode(F.concat("words", "grams")).alias("p"))
+    return each.select("p.term", *keys, "digest", "p.positions")
 
 
 def _indexed_schema(notices: DataFrame, keys: list[str]) -> T.StructType:
@@ -154,9 +171,9 @@ def search_notices(path: str, notices: DataFrame, keys: list[str], q: str) -> Da
     words = sorted({w for g in groups for t in g for w in t.words})
     positive = sorted({w for g in groups for t in g if not t.negated for w in t.words})
     grams = sorted({f"#{fragment[i:i + GRAM]}" for i in range(len(fragment) - GRAM + 1)})
-    rows = read(spark, path, words + grams).dropDuplicates(["term", *keys, "digest"])
-    # At most the query's terms come together for a notice.
-    hits = rows.groupBy(*keys, "digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("found"))
+    # At most the query's terms come together for a notice; equal postings of two segments are one.
+    hits = read(spark, path, words + grams).groupBy(*keys, "digest").agg(
+        F.map_from_entries(F.collect_set(F.struct("term", "positions"))).alias("found"))
     found = F.col("found")
     in_text = _any(_all(~_phrase(found, t.words) if t.negated else _phrase(found, t.words) for t in g) for g in groups)
     in_number = _all(F.map_contains_key(found, g) for g in grams)
@@ -176,8 +193,9 @@ def word_counts(path: str, keywords: DataFrame, notices: DataFrame, key: str = "
     spark = keywords.sparkSession
     salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
     vocabulary = keywords.select(F.col("word").alias("term")).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = read(spark, path).filter(~F.col("term").startswith("#")).withColumn("salt", salt).join(vocabulary, ["term", "salt"], "left_semi")
+    rows = (read(spark, path).filter(~F.col("term").startswith("#"))
+            .select("term", key, "digest", F.size("positions").cast("long").alias("n"), salt.alias("salt"))
+            .join(vocabulary, ["term", "salt"], "left_semi"))
     now = notices.select(key, digest().alias("digest"))
-    counted = rows.dropDuplicates(["term", key, "digest"]).join(now, [key, "digest"], "left_semi")
-    return counted.groupBy(F.col(key).alias("notice_id")).agg(F.map_from_entries(
-        F.collect_list(F.struct("term", F.size("positions").cast("long")))).alias("counts"))
+    counted = rows.groupBy(key, "digest").agg(F.map_from_entries(F.collect_set(F.struct("term", "n"))).alias("counts"))
+    return counted.join(now, [key, "digest"], "left_semi").select(F.col(key).alias("notice_id"), "counts")

@@ -93,3 +93,17 @@ def test_a_lost_segment_is_not_read(spark, tmp_path, monkeypatch):
     assert set(result(P.search_notices(path, rows, ["id"], "ref-"))) == set(range(10))
     P.add(path, rows, ["id"], "b", 4)
     assert set(result(P.search_notices(path, rows, ["id"], "ref-"))) == set(range(20))
+
+
+def test_words_of_a_notice_are_grouped_without_a_shuffle(spark):
+    rows = notices(spark, 3)
+    found = P.postings(rows, ["id"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for r in rows.select("id", search.tokens(search.document()).alias("words")).collect():
+        for i, w in enumerate(r.words):
+            want.setdefault((r.id, w), []).append(i)
+    got = [((r.id, r.term), r.positions) for r in found.filter("NOT startswith(term, '#')").collect()]
+    assert len(got) == len(want) and dict(got) == want
+    grams = found.filter("startswith(term, '#')").groupBy("id", "term").count()
+    assert grams.count() > 0 and grams.filter("count > 1").isEmpty()
