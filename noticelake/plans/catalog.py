@@ -642,18 +642,18 @@ def _(t):
 _CURRENT = CATALOG["merge_current"].oracle
 
 
-def _two_batches(t: Tables) -> tuple[merge.MergeResult, merge.MergeResult]:
+def _two_batches(t: Tables, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[merge.MergeResult, merge.MergeResult]:
     """Sweeps 0 and 1 stored, then sweeps 2 and 3 merged into them."""
     observations = parse.as_observations(t.observations())
     early = C("raw_document_id") % 4 < 2
     first = merge.merge_observations(t.spark.createDataFrame([], NOTICE), observations.filter(early), always_latest=(), hot_rows=None)
-    first = first._replace(current=written(first.current))
+    first = first._replace(current=keep(first.current))
     return first, merge.merge_observations(first.current, observations.filter(~early), always_latest=(), hot_rows=None)
 
 
 @query("merge_second_batch_current")
 def _(t):
-    first, second = _two_batches(t)
+    first, second = _two_batches(t, written)  # read by the second fold and by the result
     return merge.apply_merge(first.current, written(second.current)).select(
         "source_key", "external_ref", "title", "package_no", "description", "district",
         dbl("tender_security").alias("tender_security"), stamp("closing_at").alias("closing_at"),
