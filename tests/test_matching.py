@@ -192,3 +192,22 @@ def test_users_of_equal_constraints_share_one_round_and_others_do_not(spark, tab
         monkeypatch.undo()
         assert shared == alone and shared
     assert rounds[0] < profiles.count()
+
+
+def test_users_who_have_seen_something_share_the_list_of_their_class(spark, monkeypatch):
+    notices, _ = data(5)
+    users = [(u, ["A"], ["goods"], [], None, 500) for u in range(30)] + [(u, [], [], [], 50, None) for u in range(30, 60)]
+    every = brute(notices, users)
+    # Each has seen one notice of the list, but 3 the newest forty, 4 all and 40 all but the last two.
+    seen = {(u, every[u][u % 7]) for u in range(60)} | {(3, i) for i in every[3][:40]} | {(4, i) for i in every[4]} | {
+        (40, i) for i in every[40][:-2]}
+    rounds, once = [], M.threshold_round
+    monkeypatch.setattr(M, "threshold_round", lambda cells, heads, *rest: rounds.append(
+        heads.select("user_id").distinct().count()) or once(cells, heads, *rest))
+    n, u = frames(spark, notices, users)
+    s = spark.createDataFrame(sorted(seen), "user_id long, notice_id long")
+    got = {}
+    for row in M.candidates(n, u, AS_OF, [s.limit(40), s], limit=5, growth=2).orderBy("user_id", "position").collect():
+        got.setdefault(row.user_id, []).append(row.notice_id)
+    assert got == {k: v for k, v in brute(notices, users, seen, 5).items() if v}
+    assert len(got[40]) == 2 and 4 not in got and max(rounds) == 2 and len(rounds) > 2
