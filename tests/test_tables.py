@@ -100,3 +100,15 @@ def test_sitemap_of_the_newest(spark, tmp_path):
     locs = [r["loc"] for r in spark.read.parquet(str(tmp_path / "s")).collect()]
     assert len(locs) == 25 and "/tenders/district/A%20b" in locs and "/tenders/organization/org-co" in locs
     assert {x for x in locs if x[9:].isdigit()} == {f"/tenders/{i}" for m in (49, 48) for i in range(m, 500, 50)}
+
+
+def test_tasks_of_large_shuffles_stay_small(spark):
+    from noticelake.session import tune
+
+    other = tune(spark.newSession())
+    other.conf.set("spark.sql.shuffle.partitions", "64")
+    noise = F.concat(*[F.unhex(F.sha2(F.concat("id", F.lit(f"-{i}")), 256)) for i in range(8)])
+    rows = other.range(0, 400_000, 1, 8).select("id", noise.alias("noise"))
+    tasks = rows.repartition("id").select(F.length("noise").alias("n"), F.spark_partition_id().alias("task")).groupBy("task").agg(
+        F.sum("n").alias("bytes")).collect()
+    assert sum(t.bytes for t in tasks) == 400_000 * 256 and max(t.bytes for t in tasks) < 10e6
