@@ -220,6 +220,32 @@ def test_pages_of_plain_tags_are_split_in_one_step_and_others_are_not():
     assert [[c["texts"] for c in r] for r in H.table_cells(hidden)] == [[["a"], ["d"]]]
 
 
+def test_flat_pages_are_split_together_and_read_as_one_by_one(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(4)
+    inner = ["a", " ", "&lt;", "é", "e\u0301", ">", "'", "<br/>", "<span>", "</span>", "<p title=\"\">", "<a href='j?a=1&amp;b=2'>", "<a>",
+             "</a>", "<A class=q href=z>", "<abbr>", "<", "<!-- -->", "<th>", "<table>", "</td>", "<td>"]
+    cell = lambda: r.choice(["<td>", "<TD a=\"b\">", " <td\n>"]) + "".join(r.choices(inner, [9] * 16 + [1] * 6, k=r.randint(0, 6))) + "</td>"
+    row = lambda: r.choice(["<tr>", "x<TR id='x'>", "<tr/>"]) + "".join(cell() for _ in range(r.randint(0, 4))) + "</tr>"
+    pages = ["".join(row() for _ in range(r.randint(0, 3))).encode() for _ in range(2000)]
+    pages += [None, b"", b"\xff<tr><td>x</td></tr>", gzip.compress(OFFLINE_ROW.encode()), b"\x1f\x8bxx", b"<tr><td>Session Expired</td></tr>"]
+    kinds = ["list"] * len(pages)
+    pages, kinds = [*pages, AWARD_ROW.encode(), AWARD_ROW.encode()], [*kinds, "detail", None]
+    want = [H.read_payload(p, k) for p, k in zip(pages, kinds)]
+    alone, read = [], H.read_payload
+    monkeypatch.setattr(H, "read_payload", lambda content, kind: alone.append(content) or read(content, kind))
+    batch = pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "content": pa.array(pages, pa.binary())})
+    got = [x for b in H.tokenize_batches([batch]) for x in b.to_pylist()]
+    assert [(x["rows"], x["fields"], x["error"]) for x in got] == want[:-2] + [(want[-2][0], want[-2][1], None), want[-1]]
+    assert len(pages) // 3 < len(alone) < len(pages) * 2 // 3
+    alone.clear()
+    list(H.tokenize_batches([pa.RecordBatch.from_pydict({"kind": ["list"] * 9, "content": [(AWARD_ROW * 30).encode()] * 9})]))
+    assert not alone
+
+
 def test_pages_are_dealt_by_their_size_and_not_into_a_task_per_core(spark, tables):
     # The number of tasks is open, so the planner chooses it by size.
     for pages in (tables.list_payloads(), tables.detail_payloads(), tables.award_payloads()):
