@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from noticelake import session
 from noticelake.operators import accounts, merge, postings, search
 from noticelake.schemas import KEY, NOTICE, OBSERVATION, PAYLOAD
 from noticelake.sources import archive, buckets, parse
@@ -50,6 +51,37 @@ def test_merge_stream_equals_one_batch(spark, tmp_path):
     assert key(versions) == key(whole.versions)
 
 
+def test_batches_leave_no_intermediate_tables(spark, tmp_path):
+    import os
+
+    held = lambda: {os.path.join(d, f) for d, _, files in os.walk(session.checkpoint_folder(spark).removeprefix("file:")) for f in files}
+    before = held()
+    rows = [payload(LIST_ROW, url="a"), payload(OFFLINE_ROW, "offline", url="c")]
+    feed(spark.createDataFrame(rows, PAYLOAD), str(tmp_path / "in"), 1, "url")
+    out = str(tmp_path / "out")
+    run(J.ingest(J.read_payload_stream(spark, str(tmp_path / "in")), out, F.lit(T0), n_buckets=4, hot_rows=None), tmp_path, "left")
+    assert merge.read_notices(spark, out).count() == 2 and held() == before
+    with session.temporary(spark):
+        kept = session.written(spark.range(5))
+        with pytest.raises(ZeroDivisionError), session.temporary(spark):
+            session.written(spark.range(3))
+            1 / 0
+        assert kept.count() == 5 and len([f for f in held() - before if f.endswith(".parquet")]) == len(kept.inputFiles())
+    assert held() == before
+
+
+def test_stored_rows_are_not_copied_before_a_merge(spark, tmp_path, monkeypatch):
+    copied, stored = [], buckets.stored
+    monkeypatch.setattr(buckets, "stored", lambda df: copied.append(True) or stored(df))
+    frame(spark, random_rows(3, 4)).write.parquet(str(tmp_path / "in"))
+    rows = spark.read.schema(OBSERVATION).parquet(str(tmp_path / "in"))
+    merge.merge_into(str(tmp_path / "a"), rows.filter("kind IS NOT NULL"), "0", 4, hot_rows=None)
+    assert not copied
+    merge.merge_into(str(tmp_path / "b"), rows.distinct(), "0", 4, hot_rows=None)
+    key = lambda path: sorted(map(str, merge.read_notices(spark, str(tmp_path / path)).collect()))
+    assert copied and key("a") == key("b")
+
+
 def test_ingest_archives_parses_and_merges(spark, tmp_path):
     rows = [payload(LIST_ROW, url="a"), payload(b"\x1f\x8bxx", url="b"), payload(OFFLINE_ROW, "offline", url="c")]
     feed(spark.createDataFrame(rows, PAYLOAD), str(tmp_path / "in"), 1, "url")
