@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from noticelake.functions.text import let, tokens
 from noticelake.operators import search
-from noticelake.session import written
+from noticelake.session import temporary, written
 from noticelake.sources import buckets
 from noticelake.sources.tables import upsert
 
 TERM_BUCKETS = 64
 GRAM = 3
 SALTS = 16
+#: A batch is indexed by a task per megabyte, beyond so many tasks by a task per some.
+TASKS, TASK_MEGABYTES = 64, 8
 _NUMBERS = ("package_no", "reference_no")
 _COMPACT = "compact-"
 
@@ -83,16 +85,30 @@ def add(path: str, notices: DataFrame, keys: list[str], batch: str, n_buckets: i
         return False
     schema = _indexed_schema(notices, keys)
     held = buckets.read(spark, table, schema)
-    todo = written(notices.withColumn("digest", digest()).join(held, [*keys, "digest"], "left_anti"))
-    _write_segment(path, postings(todo, keys), batch, n_buckets)
-    return buckets.change(table, schema, keys, todo.select(*keys, "digest"),
-                          lambda old, new: upsert(old, new.withColumn("_at", F.lit(0)), keys, "_at"), batch)
+    with temporary(spark):
+        todo = written(notices.withColumn("digest", digest()).join(held, [*keys, "digest"], "left_anti"))
+        _write_segment(path, with_bucket(postings(_dealt(todo), keys), n_buckets), batch, n_buckets, keys)
+        return buckets.change(table, schema, keys, todo.select(*keys, "digest"),
+                              lambda old, new: upsert(old, new.withColumn("_at", F.lit(0)), keys, "_at"), batch)
 
 
-def _write_segment(path: str, rows: DataFrame, segment: str, n_buckets: int) -> None:
-    (rows.withColumn("bucket", buckets.bucket_of(["term"], n_buckets)).hint("rebalance", "bucket")
-     .sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket")
-     .parquet(f"{path}/segments/segment={segment}"))
+def _dealt(todo: DataFrame) -> DataFrame:
+    """Stored notices over as many tasks as they are megabytes; many of them over fewer, as
+    each task writes a file per bucket. A notice is a twentieth of its postings."""
+    size = int(str(todo._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    megabytes = max(1, -(-size // 2**20))
+    return todo.repartition(min(megabytes, max(TASKS, -(-megabytes // TASK_MEGABYTES))))
+
+
+def with_bucket(rows: DataFrame, n_buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", buckets.bucket_of(["term"], n_buckets))
+
+
+def _write_segment(path: str, rows: DataFrame, segment: str, n_buckets: int, keys: list[str]) -> None:
+    """The rows as they are dealt: every task sorts its own and writes its part of each bucket,
+    so postings are not shuffled."""
+    (rows.sortWithinPartitions("bucket", "term", *keys).write.mode("overwrite").option("compression", "zstd")
+     .partitionBy("bucket").parquet(f"{path}/segments/segment={segment}"))
     buckets.create_once(rows.sparkSession, f"{path}/layout", "buckets", str(n_buckets))
     buckets.create_once(rows.sparkSession, f"{path}/layout", "schema", rows.schema.json())
 
@@ -131,7 +147,9 @@ def compact(spark: SparkSession, path: str, notices_schema: T.StructType, keys:
     schema = T.StructType([notices_schema[k] for k in keys] + [T.StructField("digest", T.LongType())])
     held = buckets.read(spark, f"{path}/indexed", schema)
     valid = read(spark, path).dropDuplicates(["term", *keys, "digest"]).join(held, [*keys, "digest"], "left_semi")
-    _write_segment(path, valid, name, _layout(spark, path))
+    n = _layout(spark, path)
+    # Here the postings were shuffled by notice: one more brings a bucket's together.
+    _write_segment(path, with_bucket(valid, n).hint("rebalance", "bucket"), name, n, keys)
     buckets.change(f"{path}/indexed", schema, keys, held, lambda old, new: old, name)
     return name
 

@@ -107,3 +107,18 @@ def test_words_of_a_notice_are_grouped_without_a_shuffle(spark):
     assert len(got) == len(want) and dict(got) == want
     grams = found.filter("startswith(term, '#')").groupBy("id", "term").count()
     assert grams.count() > 0 and grams.filter("count > 1").isEmpty()
+
+
+def test_segments_are_written_without_shuffling_postings(spark, tmp_path, monkeypatch):
+    path, rows, plans, kept = str(tmp_path), notices(spark, 5, 60), [], P._write_segment
+    monkeypatch.setattr(P, "_write_segment", lambda path, rows, *rest: plans.append(
+        rows._jdf.queryExecution().optimizedPlan().toString()) or kept(path, rows, *rest))
+    P.add(path, rows, ["id"], "a", 4)
+    # The notices are dealt before their words are split.
+    assert "Rebalance" not in plans[0] and plans[0].index("Generate explode") < plans[0].index("Repartition 1, true")
+    P.compact(spark, path, rows.schema, ["id"])
+    assert "Rebalance" in plans[1] and result(P.search_notices(path, rows, ["id"], "road")) == scanned(rows, "road")
+    monkeypatch.setattr(P, "TASKS", 2)
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().partition("\n")[0]
+    big = spark.range(0, 5 << 20, 1, 8).select((F.col("id") * 7).alias("id"))  # 40 MB in 8 bytes a row
+    assert size(P._dealt(big)).startswith("Repartition 5, true")
