@@ -121,6 +121,22 @@ def test_copies_collapse_but_are_counted(spark, hot_rows):
     assert n == {"new": 1, "unchanged": 49, "changed": 1}
 
 
+@pytest.mark.parametrize("hot_rows", [None, 0])
+def test_observations_are_dealt_once_and_without_their_order(spark, hot_rows):
+    import re
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as it is with large tables
+    try:
+        folded = M.fold_observations(empty(spark), frame(spark, random_rows(2, 3)), (), hot_rows)
+        plan = folded._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    parts = [re.split(r", \d+\), ", line)[0] for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert parts and not [p for p in parts if "title" in p or "_ord" in p]
+    assert plan.count("REPARTITION_BY_COL") == (1 if hot_rows is None else 2)  # both uses share one when it runs
+    assert "_ord" not in plan[plan.rindex("REPARTITION_BY_COL"):]
+
+
 def test_ten_list_sweeps_after_a_detail_make_no_version(spark):
     rows = [observation("a", 0, "detail", title="Proper Title", package_no="P-1", district="X")]
     rows += [observation("a", i, at=T0 + timedelta(hours=i), title="proper title") for i in range(1, 11)]
